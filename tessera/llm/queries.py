@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, packing, quality_rules, token_counts, url_filters
+from tessera.llm import byte_bpe, embedding_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, url_filters
 from tessera.llm.common import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,6 +28,15 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -32,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_counts, op6_url_filters, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_embedding_dedup, op4_token_counts, op6_url_filters, op7_quality_classifier, op8_minhash, op9_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
