@@ -160,6 +160,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that are the first of their component, with all their columns. Rows without an id stay."""
+    first = components(docs, width, percent).where("kept").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def _remove(spark, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, embedding_dedup, minhash, packing, quality_classifier, quality_rules, token_counts, url_filters
+from tessera.llm import byte_bpe, embedding_dedup, minhash, packing, pii, quality_classifier, quality_rules, revisits, token_counts, url_filters
 from tessera.llm.common import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -16,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.components(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -24,6 +29,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads and headers as digests."""
+    done = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return done.select("record_id", "canonical_url", "kind", "verdict", "response_id", F.md5(F.coalesce("payload", F.lit(""))).alias("payload_md5"), F.md5(said).alias("headers_md5"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES)
 
@@ -45,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_embedding_dedup, op4_token_counts, op6_url_filters, op7_quality_classifier, op8_minhash, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_embedding_dedup, op4_token_counts, op5_revisits, op6_url_filters, op7_quality_classifier, op8_minhash, op9_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
