@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ class BoundedCache:
 
     def ready(self, keys: list[str]) -> dict:
         """A dictionary that holds every one of `keys`."""
-        missing = set(keys).difference(self.young)
+        missing = set(filterfalse(self.young.__contains__, keys))
         if missing:
             if len(self.young) + len(missing) > self.limit and self.young:
                 self.old, self.young = self.young, {}
