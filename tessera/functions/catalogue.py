@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions import kernels, special
+from tessera.session import ship
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,17 @@ def _mean(v: str) -> str:
     return f"({_sum(v)} / size({v}))"
 
 
+# Moments are updated value by value (Welford), so an expression has no lambda inside a lambda: Spark cannot hand such an
+# argument to a Python kernel.
 def _squares(v: str) -> str:
-    """Sum of squares about the mean, in two passes."""
-    return _let(_mean(v), "m", _sum(f"transform({v}, y -> (y - m) * (y - m))"))
+    """Sum of squares about the mean."""
+    return f"aggregate({v}, named_struct('n', 0D, 'm', 0D, 's', 0D), (s, x) -> named_struct('n', s.n + 1, 'm', s.m + (x - s.m) / (s.n + 1), 's', s.s + (x - s.m) * (x - s.m) * s.n / (s.n + 1)), s -> s.s)"
 
 
 def _cross(p: str, q: str) -> str:
-    return _let(_mean(p), "m", _let(_mean(q), "n", _sum(f"zip_with({p}, {q}, (y, z) -> (y - m) * (z - n))")))
+    """Sum of products about the means."""
+    pairs = f"zip_with({p}, {q}, (y, z) -> named_struct('y', y, 'z', z))"
+    return f"aggregate({pairs}, named_struct('n', 0D, 'm', 0D, 'k', 0D, 's', 0D), (s, x) -> named_struct('n', s.n + 1, 'm', s.m + (x.y - s.m) / (s.n + 1), 'k', s.k + (x.z - s.k) / (s.n + 1), 's', s.s + (x.y - s.m) * (x.z - s.k) * s.n / (s.n + 1)), s -> s.s)"
 
 
 SAME = ("size(a) <> size(b)", "the vectors have different lengths")
@@ -132,8 +137,8 @@ ENTRIES: list[Entry] = [
     _v("vec_cumulative_integral", "calculus", "vec", "vec", "prefix areas by trapezoids", "aggregate(a, named_struct('o', cast(array() as array<double>), 'l', 0D, 'p', cast(null as double)), (s, x) -> named_struct('o', array_append(s.o, s.l + coalesce((s.p + x) / 2, 0D)), 'l', s.l + coalesce((s.p + x) / 2, 0D), 'p', x), s -> s.o)"),
     # matrices
     _v("mat_is_square", "matrix", "vec", "num", "1 if the length is a square", "case when sqrt(size(a)) = floor(sqrt(size(a))) and size(a) > 0 then 1D else 0D end"),
-    _v("mat_trace", "matrix", "vec", "num", "sum of the diagonal", _let("cast(sqrt(size(a)) as int)", "n", _sum("transform(sequence(0, n - 1), i -> element_at(a, i * (n + 1) + 1))")), ("sqrt(size(a)) <> floor(sqrt(size(a))) or size(a) = 0", "the matrix is not square")),
-    _v("mat_transpose", "matrix", "vec", "vec", "transpose of a square matrix", _let("cast(sqrt(size(a)) as int)", "n", "transform(a, (y, i) -> element_at(a, cast((i % n) * n + i div n + 1 as int)))"), ("sqrt(size(a)) <> floor(sqrt(size(a))) or size(a) = 0", "the matrix is not square")),
+    _v("mat_trace", "matrix", "vec", "num", "sum of the diagonal", _sum("filter(a, (y, i) -> i % (cast(sqrt(size(a)) as int) + 1) = 0)"), ("sqrt(size(a)) <> floor(sqrt(size(a))) or size(a) = 0", "the matrix is not square")),
+    _v("mat_transpose", "matrix", "vec", "vec", "transpose of a square matrix", "transform(a, (y, i) -> element_at(a, cast((i % cast(sqrt(size(a)) as int)) * cast(sqrt(size(a)) as int) + i div cast(sqrt(size(a)) as int) + 1 as int)))", ("sqrt(size(a)) <> floor(sqrt(size(a))) or size(a) = 0", "the matrix is not square")),
     _v("mat_vec", "matrix", "vec vec", "vec", "matrix times vector; rows follow from the vector's length", "transform(sequence(0, size(a) div size(b) - 1), i -> " + _sum("zip_with(slice(a, cast(i * size(b) + 1 as int), size(b)), b, (y, z) -> y * z)") + ")", ("size(b) = 0 or size(a) % size(b) <> 0 or size(a) = 0", "the shapes do not fit")),
     *(_k(n, "matrix", t, g, d) for n, t, g, d in (("mat_determinant", "vec", "num", "determinant"), ("mat_inverse", "vec", "vec", "inverse"), ("mat_multiply", "vec vec", "vec", "product of square matrices"), ("mat_solve", "vec vec", "vec", "solution of a x = b"), ("mat_is_symmetric", "vec", "num", "1 if symmetric"))),
     *(_k(n, "decomposition", "vec", g, d) for n, g, d in (("mat_cholesky", "vec", "lower factor"), ("mat_eigenvalues", "vec", "eigenvalues, largest first"), ("mat_eigenvectors", "vec", "eigenvectors in columns, dominant entry positive"), ("mat_is_positive_definite", "num", "1 if the Cholesky factor exists"), ("mat_qr_q", "vec", "orthogonal factor"), ("mat_qr_r", "vec", "triangular factor"), ("mat_singular_values", "vec", "singular values, largest first"))),
@@ -243,6 +248,7 @@ _REGISTERED: set[str] = set()
 
 def register(spark: SparkSession, names: list[str] | None = None) -> None:
     """Make the functions known to this session's SQL."""
+    ship(spark)
     key = f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}"
     for e in ENTRIES if names is None else [BY_NAME[n] for n in names]:
         if f"{key}/{e.name}" in _REGISTERED:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +43,20 @@ def shared_cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tessera")
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package when neither PYTHONPATH nor the working folder has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = os.environ.get("PYTHONPATH", "").split(":") + [os.getcwd()]
+    if any(os.path.exists(os.path.join(p, "tessera")) for p in places if p) or getattr(spark.sparkContext, "_tessera_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as d:
+        at = os.path.join(d, "tessera.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "tessera")):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+        spark.sparkContext.addPyFile(at)
+    spark.sparkContext._tessera_shipped = True
