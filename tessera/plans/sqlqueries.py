@@ -52,7 +52,7 @@ add("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FR
 add("needle_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_orderkey = 4711")
 
 # Projections, filters, predicates
-add("project_case_cast", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CAST(o_totalprice AS DECIMAL(18, 2)) AS price, CAST(o_orderkey AS STRING) AS k, o_orderkey % 7 AS m FROM orders")
+add("project_case_cast", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS price, CAST(o_orderkey AS STRING) AS k, o_orderkey % 7 AS m FROM orders")
 add("integer_division", "SELECT o_orderkey, o_orderkey DIV 7 AS d, -o_orderkey DIV 7 AS neg, -o_orderkey % 7 AS r FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d, -o_orderkey // 7 AS neg, -o_orderkey % 7 AS r FROM orders")
 add("filter_predicates", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 25 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23', 'Brand#3') AND p_type IS NOT NULL AND NOT (p_name LIKE '%7_')")
 add("three_valued_logic", """SELECT c_custkey, (x > 0) AS gt, (x > 0 OR TRUE) AS t, (x > 0 AND FALSE) AS f, x IS NULL AS missing, x IS DISTINCT FROM 1 AS dist, coalesce(x, -1) AS c
