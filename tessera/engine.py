@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions import catalogue
+from tessera.functions import catalogue, scalars
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
 from tessera.operators.exact import require_exact, require_stable
 from tessera.operators.graph import Graph
@@ -32,6 +32,7 @@ class Engine:
         self.aggregations: dict[str, Callable] = {}
         self.feeds: dict[str, str] = {}
         catalogue.register(spark)
+        scalars.register(spark)
 
     # tables
     def add(self, name: str, df: DataFrame) -> None:

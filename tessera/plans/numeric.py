@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import catalogue
+from tessera.functions import catalogue, scalars
 from tessera.plans.sqlqueries import views
 
 SQL: dict[str, str] = {}
@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def of(text: str) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             catalogue.register(spark)
+            scalars.register(spark)
             views(spark, sf_dir, text)
             return spark.sql(text)
 
@@ -139,3 +140,10 @@ D1 = "((ln(q / 25) + (0.03 + 0.02) * 0.5) / (0.2 * sqrt(0.5)))"
 D2 = "((ln(q / 25) + (0.03 - 0.02) * 0.5) / (0.2 * sqrt(0.5)))"
 add("option_prices", f"SELECT q, {_r({'call': 'black_scholes_call(q, 25D, 0.03D, 0.2D, 0.5D)', 'put': 'black_scholes_put(q, 25D, 0.03D, 0.2D, 0.5D)', 'delta': 'greeks_delta(q, 25D, 0.03D, 0.2D, 0.5D)', 'vega': 'greeks_vega(q, 25D, 0.03D, 0.2D, 0.5D)'}, 6)} FROM {X} WHERE q BETWEEN 15 AND 40",
     f"SELECT q, {_r({'call': f'q * {PHI.format(D1)} - 25 * exp(-0.015) * {PHI.format(D2)}', 'put': f'q * {PHI.format(D1)} - 25 * exp(-0.015) * {PHI.format(D2)} - q + 25 * exp(-0.015)', 'delta': PHI.format(D1), 'vega': f'q * exp(-pow({D1}, 2) / 2) / sqrt(2 * pi()) * sqrt(0.5)'}, 6)} FROM {X} WHERE q BETWEEN 15 AND 40")
+
+# Scalar functions beside the catalogue, and packs
+add("scalar_gaps", "SELECT o_orderkey, gcd(o_orderkey, o_custkey) AS g, lcm(o_orderkey, o_custkey) AS l, trunc_number(-o_totalprice, 1) AS t, iszero(o_totalprice) AS z, strpos(o_orderpriority, '-') AS p, substr_index(o_orderpriority, '-', 1) AS s, to_hex(o_orderkey) AS h, starts_with(o_orderpriority, '1') AS sw, ends_with(o_orderpriority, 'H') AS ew, regexp_match(o_orderpriority, '[A-Z]+') AS m, concat_known(o_orderstatus, nullif(o_orderpriority, '5-LOW')) AS c, date_bin(INTERVAL '3' DAY, CAST(o_orderdate AS TIMESTAMP), TIMESTAMP '1995-01-02 00:00:00') AS b, to_unixtime(CAST(o_orderdate AS TIMESTAMP)) AS u, to_timestamp_millis(o_orderkey) AS ms FROM orders",
+    "SELECT o_orderkey, CAST(gcd(o_orderkey, o_custkey) AS BIGINT) AS g, CAST(lcm(o_orderkey, o_custkey) AS BIGINT) AS l, trunc(-o_totalprice * 10) / 10 AS t, o_totalprice = 0 AS z, CAST(strpos(o_orderpriority, '-') AS INTEGER) AS p, split_part(o_orderpriority, '-', 1) AS s, lower(to_hex(o_orderkey)) AS h, starts_with(o_orderpriority, '1') AS sw, ends_with(o_orderpriority, 'H') AS ew, regexp_extract(o_orderpriority, '[A-Z]+') AS m, concat(o_orderstatus, nullif(o_orderpriority, '5-LOW')) AS c, time_bucket(INTERVAL '3 days', o_orderdate, TIMESTAMP '1995-01-02') AS b, CAST(epoch(o_orderdate) AS BIGINT) AS u, make_timestamp(o_orderkey * 1000) AS ms FROM orders")
+add("pack_functions", "SELECT l_orderkey, l_linenumber, l_partkey, round(telemetry_breach_severity(l_quantity, 20), 8) AS severity, telemetry_window_start(l_partkey - 100, 60) AS w, round(logistics_leg_cost(l_quantity, l_tax), 8) AS cost, logistics_dwell_hours(TIMESTAMP '1990-01-01 00:00:00', CAST(l_shipdate AS TIMESTAMP)) AS hours, logistics_check_digit(CAST(l_orderkey AS STRING)) AS digit FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, round(greatest((l_quantity - 20) / 20, 0), 8) AS severity, CAST(floor((l_partkey - 100) / 60.0) * 60 AS BIGINT) AS w, round(l_quantity * l_tax, 8) AS cost, datediff('hour', TIMESTAMP '1990-01-01', l_shipdate)::DOUBLE AS hours, CAST((11 - list_sum(list_transform(range(1, length(CAST(l_orderkey AS VARCHAR)) + 1), lambda i: CAST(substr(CAST(l_orderkey AS VARCHAR), i, 1) AS INTEGER) * ((i - 1) % 6 + 2))) % 11) % 11 AS BIGINT) AS digit FROM lineitem")
+add("pack_table_function", "SELECT band, lower, upper FROM telemetry_threshold_bands(10D)", "SELECT * FROM (VALUES ('nominal', 0.0::DOUBLE, 10.0::DOUBLE), ('elevated', 10.0, 15.0), ('critical', 15.0, 'Infinity'::DOUBLE)) t(band, lower, upper)")
