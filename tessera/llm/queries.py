@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, embedding_dedup, minhash, packing, pii, quality_classifier, quality_rules, revisits, token_counts, url_filters
+from tessera.llm import byte_bpe, embedding_dedup, minhash, oracles, packing, pii, quality_classifier, quality_rules, revisits, token_counts, url_filters
 from tessera.llm.common import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -54,8 +54,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_embedding_dedup, op4_token_counts, op5_revisits, op6_url_filters, op7_quality_classifier, op8_minhash, op9_byte_bpe, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op5_revisits": oracles.REVISITS,
+    "op6_url_filters": oracles.url_filters(RULES),
+    "op8_minhash": oracles.MINHASH,
+    "op10_quality_rules": oracles.quality_rules_sql(),
+}

@@ -87,7 +87,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     """Pages as archive records in the order of their ids: each is a full response; a third of them (by hash) are asked for
     again 10,000 places later, by another spelling of the url, and answered "not modified". The answers' ETags are those of
     the page's text, of an older version, or missing, by hash."""
-    hashed = F.crc32(F.col("page_id").cast("string").cast("binary"))
+    hashed = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("int")
     etag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
     day = F.concat(F.lit("day "), F.floor(F.col("page_id") / 1000).cast("string"))
 
