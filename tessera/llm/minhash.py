@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BoundedCache, arrow, chunks, cut, once, rows, shared_dir, ship
+from tessera.llm.common import BoundedCache, arrow, chunks, cut, mix, once, rows, shared_dir, ship
 from tessera.operators.components import connected_components
 
 K = 64
@@ -39,12 +39,6 @@ AGREE = 34
 SLACK = 0.25
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingles:
     """Hashed shingle sets in one worker; word hashes are kept in a bounded cache."""
 
@@ -62,8 +56,8 @@ class Shingles:
         k = min(self.width, len(a))
         h = a[: len(a) - k + 1]
         for j in range(1, k):
-            h = _mix(h) + a[j : len(a) - k + 1 + j]
-        return np.unique(_mix(h).view(np.int64))
+            h = mix(h) + a[j : len(a) - k + 1 + j]
+        return np.unique(mix(h).view(np.int64))
 
 
 def _shingles(width: int) -> Shingles:

@@ -15,6 +15,7 @@ learned. Repeated rows each give a row. Other columns (labels, lang, source) are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import BoundedCache, arrow, chunks, once, rows, ship
+from tessera.llm.common import BoundedCache, arrow, chunks, mix, once, rows, ship
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,26 @@ class Parameters:
     seed: int = 7
 
 
-def features(word: bytes, p: Parameters) -> list[int]:
-    """Buckets of a word: the word, and the n-grams of its characters between marks."""
-    text = "<" + word.decode() + ">"
-    grams = [text[i : i + n] for n in range(p.shortest, p.longest + 1) for i in range(len(text) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(g.encode()) % p.buckets for g in (text, *grams)]
+def features(words: list[bytes], p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, in their order, and how many each word has: the word itself, and the n-grams of its characters
+    between marks. All words of a call are hashed together, as arrays of code points."""
+    marked = [f"<{w.decode()}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner, ends = np.repeat(np.arange(len(marked)), lengths), np.repeat(np.cumsum(lengths), lengths)
+    places = np.arange(len(c))
+    owners = [np.arange(len(marked))]
+    hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))]
+    h = c
+    for n in range(1, p.longest + 1):
+        if n > 1:
+            h = mix(h[:-1]) + c[n - 1 :]
+        if n >= p.shortest:
+            inside = places[: len(h)] + n <= ends[: len(h)]
+            owners.append(owner[: len(h)][inside])
+            hashes.append(mix(h[inside] ^ np.uint64(n << 32)))
+    of, ids = np.concatenate(owners), (np.concatenate(hashes) % np.uint64(p.buckets)).astype(np.int64)
+    return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,10 +86,11 @@ class Model:
             return self
         rng, p = np.random.default_rng(self.p.seed), self.p
         steps, step = p.epochs * len(docs), 0
-        shares = [(i, (n / n.sum())[:, None], c) for i, n, c in docs]
+        shares = [(i, n / n.sum(), c) for i, n, c in docs]
         for _ in range(p.epochs):
             for k in rng.permutation(len(docs)).tolist():
                 ids, share, c = shares[k]
+                share = share[:, None]
                 rate = p.rate * (1 - step / steps)
                 step += 1
                 own = self.vectors[ids]
@@ -103,11 +120,11 @@ class Scorer:
 
     def _words(self, words: list[bytes]) -> list[complex]:
         """The sum over a word's features, and their number as the imaginary part."""
-        found = [features(w, self.p) for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        values = self.odds[np.fromiter((i for f in found for i in f), np.int64, int(counts.sum()))]
-        sums = np.add.reduceat(values, np.concatenate(([0], np.cumsum(counts)[:-1])))
-        return (sums + 1j * counts).tolist()
+        out: list[complex] = []
+        for k in range(0, len(words), 20_000):
+            ids, counts = features(words[k : k + 20_000], self.p)
+            out += (np.add.reduceat(self.odds[ids], np.cumsum(counts) - counts) + 1j * counts).tolist()
+        return out
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
@@ -128,24 +145,32 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
     drawn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     drawn = drawn.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(p.sample_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = once(("quality_features", p), lambda: BoundedCache(lambda ws: [features(w, p) for w in ws], 30_000))
         for held in chunks(rows(batches, "doc_id", "text", "quality")):
             out = []
             for doc_id, text, quality in held:
-                words = words_of(text)
-                known = cache.ready(words)
-                ids, n = np.unique(np.fromiter((i for w in words for i in known[w]), np.int32), return_counts=True)
-                out.append((doc_id, quality, ids, n))
+                words = Counter(words_of(text))
+                total = np.zeros(p.buckets)
+                if words:
+                    ids, counts = features(list(words), p)
+                    total = np.bincount(ids, weights=np.repeat(np.fromiter(words.values(), np.int64), counts), minlength=p.buckets)
+                found = np.flatnonzero(total)
+                out.append((doc_id, quality, found.astype(np.int32), total[found].astype(np.int32)))
             yield arrow(schema, list(zip(*out, strict=True)))
 
     # The drawn ids are at most sample_rows, so their side may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id long, quality int, ids array<int>, n array<long>")
-    got = sample.toArrow()
-    found = [(np.array(i, np.int64), np.array(n, float), q) for _, q, i, n in sorted(zip(*(got.column(c).to_pylist() for c in got.column_names), strict=True), key=lambda r: (r[0], r[1], r[2])) if q in (0, 1)]
-    return Model(p).train(found)
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id long, quality int, ids array<int>, n array<int>")
+    found = []
+    for b in sample.toArrow().to_batches():
+        ids, n = b.column(2), b.column(3)
+        values, counts, at = ids.values.to_numpy(), n.values.to_numpy(), ids.offsets.to_numpy()
+        for i, (doc_id, q) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if q in (0, 1):
+                found.append((doc_id, q, values[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]))
+    found.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))  # the order decides the steps
+    return Model(p).train([(ids, n, q) for _, q, ids, n in found])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
