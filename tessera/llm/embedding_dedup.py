@@ -4,9 +4,10 @@ Cosine of at least c between two vectors is a Euclidean distance of at most r =
 Pivots (vectors drawn by hash) partition the unit vectors into cells, each vector at home with its nearest pivot. A vector
 is also sent to every cell that could hold a home vector within r of it: by the triangle inequality its distance to that
 cell's pivot exceeds the distance to its own by at most 2r, and exceeds the cell's covering radius by at most r (the
-bisecting plane of the two pivots bounds it more closely still). Every link is thus seen in the home cell of each of its
-two vectors, and cells join independently: a cell is cut into blocks of bounded size, which compare single-precision
-products first and decide all that are near the threshold in double precision.
+bisecting plane of the two pivots bounds it more closely still). So a link between vectors of two homes could be seen in
+both; of each two cells only one sends to the other (turn and turn about, so none is favoured), and each link is seen once.
+Cells join independently: a cell is cut into blocks of bounded size, which compare single-precision products first and
+decide all that are near the threshold in double precision. Vectors that single precision holds exactly travel as such.
 
 A block returns for each home vector the number of vectors linked with it, and edges of a spanning forest of its links,
 never the pairs. Vectors with the same components are one class from the start, counted with their number.
@@ -49,8 +50,13 @@ def _valid(v: list | None) -> np.ndarray | None:
     return x
 
 
+def _numbers(data: bytes, dim: int) -> np.ndarray:
+    """The doubles of a vector, which may have travelled as singles."""
+    return np.frombuffer(data, np.float32).astype(np.float64) if len(data) == 4 * dim else np.frombuffer(data)
+
+
 def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, the key of the class of equal vectors (null: linked with nothing), and the vector's doubles."""
+    """vec_id, the key of the class of equal vectors (null: linked with nothing), and the vector's numbers."""
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("dim", pa.int32()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +65,8 @@ def _classes(vectors: DataFrame) -> DataFrame:
             for vec_id, v in rows(iter([b]), "vec_id", "embedding"):
                 x = _valid(v)
                 data = None if x is None else (x + 0.0).tobytes()
-                out.append((vec_id, data and xxhash.xxh3_128_digest(data), None if x is None else len(x), data))
+                small = None if x is None else x.astype(np.float32)
+                out.append((vec_id, data and xxhash.xxh3_128_digest(data), None if x is None else len(x), small.tobytes() if data and (small == x).all() else data))
             if out:
                 yield arrow(schema, list(zip(*out, strict=True)))
 
@@ -75,7 +82,7 @@ def _assign(reps: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataFra
         for b in batches:
             out = []
             for key, w, dim, vec in rows(iter([b]), "key", "w", "dim", "vec"):
-                x = np.frombuffer(vec)
+                x = _numbers(vec, dim)
                 p = given.value.get(dim)
                 d = np.zeros(1) if p is None else np.sqrt(np.maximum(0, 2 - 2 * (p @ (x / np.linalg.norm(x)))))
                 out.append((key, w, dim, vec, int(d.argmin()), float(d.min())))
@@ -100,12 +107,14 @@ def _sent(cells: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple[in
                 if (p := pivots.get(dim)) is None:
                     out.append((key, w, dim, vec, home, [home]))
                     continue
-                x = np.frombuffer(vec)
+                x = _numbers(vec, dim)
                 d = np.sqrt(np.maximum(0, 2 - 2 * (p @ (x / np.linalg.norm(x)))))
                 cover = np.array([radius.get((dim, j), -1.0) for j in range(len(p))])
                 go = (cover >= 0) & (d - d[home] <= 2 * r + e) & (d <= cover + r + e)
                 if dim in apart:
                     go &= d * d - d[home] ** 2 <= 2 * apart[dim][home] * (r + e) + e
+                others = np.arange(len(p))
+                go &= np.where((others + home) % 2 == 1, others < home, others > home)
                 go[home] = True
                 out.append((key, w, dim, vec, home, np.flatnonzero(go).astype(np.int32)))
             if out:
@@ -115,15 +124,17 @@ def _sent(cells: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple[in
 
 
 def _join(x: list, y: list, cos: float) -> tuple[list, list]:
-    """(key, linked weight) of each home row, and forest edges. Rows: key, weight, doubles."""
+    """(key, linked weight) of the rows with links, and forest edges. Rows: key, weight, doubles, whether it is at home here.
+    A visitor's links are counted here for both ends, as its own cell does not see them."""
     a, b = np.array([r[2] for r in x]), np.array([r[2] for r in y])
     ua, ub = _unit(a), _unit(b)
-    wb = np.array([r[1] for r in y], np.int64)
+    wa, wb = np.array([r[1] for r in x], np.int64), np.array([r[1] for r in y], np.int64)
+    visits = ~np.array([r[3] for r in y])
     place = {r[0]: j for j, r in enumerate(y)}
     a32, b32 = ua.astype(np.float32), ub.astype(np.float32).T
     label = np.arange(len(x) + len(y))
     touched = np.zeros(len(label), bool)
-    counts = np.zeros(len(x), np.int64)
+    counts, back = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     for at in range(0, len(x), 512):
         s = a32[at : at + 512] @ b32
         linked = s > cos + BAND
@@ -136,17 +147,19 @@ def _join(x: list, y: list, cos: float) -> tuple[list, list]:
             if not len(js):
                 continue
             counts[at + i] = wb[js].sum()
+            back[js[visits[js]]] += wa[at + i]
             nodes = np.append(js + len(x), at + i)
             touched[nodes] = True
             if len(found := np.unique(label[nodes])) > 1:
                 label[np.isin(label, found)] = found[0]
     keys = [r[0] for r in x] + [r[0] for r in y]
     edges = [(keys[n], keys[label[n]]) for n in np.flatnonzero(touched & (label != np.arange(len(label)))).tolist()]
-    return [(r[0], int(c)) for r, c in zip(x, counts, strict=True) if c], edges
+    return [(r[0], int(c)) for rows_, found in ((x, counts), (y, back)) for r, c in zip(rows_, found, strict=True) if c], edges
 
 
-def components(vectors: DataFrame, cos: float = 0.95, cell: int = 4096, block: int = 4096, max_pivots: int = 4096) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding)."""
+def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: int = 8192, max_pivots: int = 4096) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding). A block has at most `block` rows
+    a side, fewer if vectors have over 512 numbers."""
     ship(vectors.sparkSession)
     r = float(np.sqrt(2 - 2 * cos))
     base = cut(_classes(vectors))
@@ -155,19 +168,20 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 4096, block: i
     wanted = max(1, min(max_pivots, -(-n // cell)))
     pivots: dict[int, list] = {}
     for row in reps.select("dim", "vec").orderBy("key").limit(wanted).collect():  # keys are hashes: a uniform draw
-        pivots.setdefault(row["dim"], []).append(np.frombuffer(bytes(row["vec"])))
+        pivots.setdefault(row["dim"], []).append(_numbers(bytes(row["vec"]), row["dim"]))
     points = {k: _unit(np.array(v)) for k, v in pivots.items()}
     cells = cut(_assign(reps.select("key", "w", "dim", "vec"), points, r))
     radius = {(x["dim"], x["home"]): x["d"] for x in cells.groupBy("dim", "home").agg(F.max("d").alias("d")).collect()}  # a row for each cell
     sent = cut(_sent(cells, points, radius, r))
 
     # Blocks: home rows of a cell against all its rows.
-    at_home = sent.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("nx"))
-    spread = sent.select("key", "w", "dim", "vec", F.explode("cells").alias("cell"))
-    sizes = at_home.join(sent.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("ny")), ["dim", "cell"])
+    side = F.least(F.lit(block), F.ceil(512 * block / F.col("dim")))
+    at_home = sent.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / side).cast("int").alias("nx"))
+    spread = sent.select("key", "w", "dim", "vec", "home", F.explode("cells").alias("cell"))
+    sizes = at_home.join(sent.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / side).cast("int").alias("ny")), ["dim", "cell"])
     h = F.abs(F.hash("key").cast("long"))
-    x = sent.withColumnRenamed("home", "cell").join(sizes, ["dim", "cell"]).select("dim", "cell", (h % F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(0).alias("role"), "key", "w", "vec")
-    y = spread.join(sizes, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), (h % F.col("ny")).cast("int").alias("by"), F.lit(1).alias("role"), "key", "w", "vec")
+    x = sent.withColumnRenamed("home", "cell").join(sizes, ["dim", "cell"]).select("dim", "cell", (h % F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(0).alias("role"), "key", "w", "vec", F.lit(True).alias("own"))
+    y = spread.join(sizes, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), (h % F.col("ny")).cast("int").alias("by"), F.lit(1).alias("role"), "key", "w", "vec", (F.col("home") == F.col("cell")).alias("own"))
     both = x.unionByName(y).repartition("dim", "cell", "bx", "by").sortWithinPartitions("dim", "cell", "bx", "by", "role")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
@@ -181,11 +195,11 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 4096, block: i
                 if out:
                     yield arrow(schema, list(zip(*out, strict=True)))
 
-        for dim, c, bx, by, role, key, w, vec in rows(batches, "dim", "cell", "bx", "by", "role", "key", "w", "vec"):
+        for dim, c, bx, by, role, key, w, vec, own in rows(batches, "dim", "cell", "bx", "by", "role", "key", "w", "vec", "own"):
             if at != (dim, c, bx, by):
                 yield from solved()
                 at, sides = (dim, c, bx, by), ([], [])
-            sides[role].append((key, w, np.frombuffer(vec)))
+            sides[role].append((key, w, _numbers(vec, dim), own))
         yield from solved()
 
     found = cut(both.mapInArrow(run, "a binary, b binary, n long"))
