@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from tessera.functions import kernels, special
 from tessera.session import ship
@@ -216,7 +216,7 @@ def body(e: Entry) -> str:
 
 
 def udf(e: Entry):
-    """An Arrow-backed kernel with the null and element contract."""
+    """An Arrow-backed kernel with the null and element contract. Arrow keeps a null element apart from NaN."""
     vec, kernel, name, one = [t == "vec" for t in e.takes], e.kernel, e.name, e.gives == "vec"
 
     def row(values: tuple):
@@ -233,14 +233,15 @@ def udf(e: Entry):
         out = kernel(*args)
         return out if out is None or not one else np.asarray(out, float).tolist()
 
-    def run(*columns: pd.Series) -> pd.Series:
-        lists = [c.tolist() if v else [None if x is None or x is pd.NA else x for x in c.astype(object).where(c.notna(), None)] for c, v in zip(columns, vec, strict=True)]
-        return pd.Series([row(t) for t in zip(*lists, strict=True)], dtype=object)
+    kind = pa.list_(pa.float64()) if one else pa.float64()
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([row(t) for t in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
 
     shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c), 4: lambda a, b, c, d: run(a, b, c, d), 5: lambda a, b, c, d, e_: run(a, b, c, d, e_)}
     f = shapes[len(e.takes)]
-    f.__annotations__ = dict.fromkeys(f.__code__.co_varnames[: f.__code__.co_argcount], pd.Series) | {"return": pd.Series}
-    return pandas_udf(f, "array<double>" if one else "double")
+    f.__annotations__ = dict.fromkeys(f.__code__.co_varnames[: f.__code__.co_argcount], pa.Array) | {"return": pa.Array}
+    return arrow_udf(f, "array<double>" if one else "double")
 
 
 _REGISTERED: set[str] = set()
