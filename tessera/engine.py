@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import catalogue, scalars
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
-from tessera.operators.exact import require_exact, require_stable
+from tessera.operators.exact import require_exact, require_stable, supplied
 from tessera.operators.graph import Graph
 from tessera.operators.policy import Policy
 from tessera.session import Refused
@@ -21,8 +22,8 @@ NAME = r"([A-Za-z_][\w.]*)"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None, allow_approximate: bool = False, max_rows: int | None = None):
-        self.spark, self.allow, self.max_rows = spark, allow_approximate, max_rows
+    def __init__(self, spark: SparkSession, root: str | None = None, allow_approximate: bool = False, max_rows: int | None = None, allow_aggregations: bool = False):
+        self.spark, self.allow, self.max_rows, self.allow_aggregations = spark, allow_approximate, max_rows, allow_aggregations
         self.warehouse = Warehouse(spark, root) if root else None
         self.views: dict[str, DataFrame] = {}
         self.cubes: dict[str, Cube] = {}
@@ -56,7 +57,9 @@ class Engine:
 
     # SQL
     def sql(self, text: str) -> DataFrame:
-        text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.S).strip().rstrip(";").strip()
+        if "$$" not in text:
+            text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.S)
+        text = text.strip().rstrip(";").strip()
         if (out := self._house(text)) is not None:
             return out
         df = self._query(text)
@@ -72,6 +75,64 @@ class Engine:
     def rows(self, text: str) -> list[tuple]:
         return [tuple(r) for r in self.sql(text).collect()]
 
+    def one(self, text: str) -> tuple:
+        """The only row; refused if there are none or more."""
+        found = self.sql(text).limit(2).collect()
+        if len(found) != 1:
+            raise Refused(f"{'no row' if not found else 'more than one row'} where one is expected")
+        return tuple(found[0])
+
+    # the same verbs without SQL
+    def schemas(self) -> list[str]:
+        return sorted({t.split(".")[0] for t in self.tables() if "." in t})
+
+    def columns(self, table: str) -> list[tuple[str, str]]:
+        return self.table(table).dtypes
+
+    def functions(self) -> DataFrame:
+        return catalogue.functions(self.spark)
+
+    def fn(self, name: str, *args):
+        return catalogue.fn(name, *args)
+
+    def clone(self, name: str, origin: str, version: int | None = None) -> None:
+        self._need().clone(name, origin, version)
+
+    def lineage(self, table: str) -> DataFrame:
+        return self.sql(f"SHOW LINEAGE OF {table}")
+
+    def snapshots(self) -> DataFrame:
+        return self._need().show_snapshots()
+
+    def rollup(self, cube: str, measure: str, by: list[str], **options) -> DataFrame:
+        return self._cube(cube).rollup(measure, by, **options)
+
+    def slice(self, cube: str, measure: str, dimension: str, member: str) -> DataFrame:
+        return self._cube(cube).slice(measure, (dimension, member))
+
+    def consolidate(self, cube: str, measure: str, along: str, to: str | None = None) -> DataFrame:
+        return self._cube(cube).consolidate(measure, along, to)
+
+    def reachable(self, graph: str, seeds: list, **options) -> DataFrame:
+        return self._graph(graph).reachable(seeds, **options)
+
+    def shortest_path(self, graph: str, source, target, k: int = 1) -> DataFrame:
+        return self._graph(graph).shortest_path(source, target, k)
+
+    def _need(self) -> Warehouse:
+        if self.warehouse is None:
+            raise Refused("there is no warehouse")
+        return self.warehouse
+
+    def _create_aggregation(self, name: str, code: str) -> None:
+        if not self.allow_aggregations:
+            raise Refused("aggregations from SQL run Python; say allow_aggregations=True")
+        if name in self.aggregations:
+            raise Refused(f"aggregation {name!r} is there already")
+        made = supplied(name, textwrap.dedent(code).strip())
+        self.spark.udf.register(name, made.as_sql)
+        self.aggregations[name] = made
+
     def _query(self, text: str) -> DataFrame:
         text = TABLE_FUNCTION.sub(lambda m: self._as_view(self._call(m[1].lower(), re.findall("'([^']*)'", m[2]))), text)
         self._refuse_commands(text)
@@ -177,8 +238,7 @@ class Engine:
         return None
 
     def _statements(self):
-        w, frame = self.warehouse, self.spark.createDataFrame
-        need = lambda: w or (_ for _ in ()).throw(Refused("there is no warehouse"))
+        frame, need = self.spark.createDataFrame, self._need
         full = lambda n: need().resolve(n)
         yield rf"CREATE\s+CUBE\s+{NAME}\s+FROM\s+(\(.*?\)|[\w.]+)\s+(DIMENSION.*)", lambda m: self._create_cube(m[1], m[2], m[3])
         yield rf"DROP\s+CUBE\s+(IF\s+EXISTS\s+)?{NAME}", lambda m: self._drop(self.cubes, m[2], bool(m[1]), "cube")
@@ -197,6 +257,7 @@ class Engine:
         yield rf"DROP\s+TABLE\s+{NAME}", lambda m: need().drop(full(m[1]))
         yield rf"SHOW\s+LINEAGE\s+OF\s+{NAME}", lambda m: frame(need().lineage(full(m[1])), "step int, origin string, origin_version long, cloned_at double")
         yield rf"SHOW\s+DEPENDENTS\s+OF\s+{NAME}", lambda m: frame(need().dependents(full(m[1])), "dependent string, relation string, reads_version long")
+        yield rf"CREATE\s+AGGREGATION\s+{NAME}\s+LANGUAGE\s+PYTHON\s+AS\s+\$\$(.*)\$\$", lambda m: self._create_aggregation(m[1], m[2])
         yield r"SHOW\s+AGGREGATIONS", lambda m: frame([(n,) for n in self.aggregations], "aggregation string")
         yield rf"DROP\s+AGGREGATION\s+{NAME}", lambda m: self._drop(self.aggregations, m[1], False, "aggregation")
         yield r"SHOW\s+FEEDS", lambda m: frame(list(self.feeds.items()), "feed string, state string")

@@ -67,6 +67,12 @@ def quantile_of_sum(df: DataFrame, vector: str, q: float) -> float:
     return sums.agg(F.expr(f"percentile(x, {q}D)")).first()[0]
 
 
+def overflow_risk(rows: int, low: int, high: int, bits: int = 64) -> bool:
+    """Whether a sum of so many whole numbers between the bounds could leave the type. Bounds come from a table's log."""
+    limit = 1 << bits - 1
+    return not -limit <= rows * min(low, 0) <= rows * max(high, 0) < limit
+
+
 def _partials(values) -> list[float]:
     """Shewchuk's exact partial sums."""
     parts: list[float] = []
@@ -157,4 +163,24 @@ def user_aggregation(name: str, accumulate: Callable, merge: Callable, finish: C
 
         return keys.mapInPandas(part, f"{head}, _s binary").groupBy(*by).agg(combine("_s").alias(name))
 
+    @pandas_udf("double")
+    def whole(x: pd.Series) -> float:
+        state = start()
+        for v in x.dropna().tolist():
+            state = accumulate(state, v)
+        return float(finish(state))
+
+    apply.as_sql = whole
     return apply
+
+
+PARTS = ("start", "accumulate", "merge", "finish")
+
+
+def supplied(name: str, code: str):
+    """A user aggregation from Python text that defines start, accumulate, merge and finish."""
+    space: dict = {}
+    exec(compile(code, f"<aggregation {name}>", "exec"), space)  # noqa: S102  only where the engine's owner allows it
+    if lost := [p for p in PARTS if not callable(space.get(p))]:
+        raise Refused(f"aggregation {name!r} does not define {', '.join(lost)}")
+    return user_aggregation(name, space["accumulate"], space["merge"], space["finish"], space["start"])

@@ -74,6 +74,24 @@ def user_aggregation(spark, sf_dir):
     return spread(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal")
 
 
+@query("SELECT c_mktsegment, round(sqrt(avg(c_acctbal * c_acctbal)), 4) AS rms FROM customer GROUP BY c_mktsegment")
+def user_aggregation_by_sql(spark, sf_dir):
+    """Declared by a statement, asked in a query."""
+    e = Engine(spark, allow_aggregations=True)
+    e.add("customer", read(spark, sf_dir, "customer"))
+    e.sql("""CREATE AGGREGATION rms LANGUAGE PYTHON AS $$
+        def start():
+            return (0.0, 0)
+        def accumulate(s, x):
+            return (s[0] + x * x, s[1] + 1)
+        def merge(a, b):
+            return (a[0] + b[0], a[1] + b[1])
+        def finish(s):
+            return (s[0] / s[1]) ** 0.5
+    $$""")
+    return e.sql("SELECT c_mktsegment, round(rms(c_acctbal), 4) AS rms FROM customer GROUP BY c_mktsegment")
+
+
 # Cubes: orders by region, segment and year; urgent orders have no region, so they are withheld.
 FACTS = """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE r_name END AS region, c_mktsegment AS segment, n_name AS nation, CAST(year(o_orderdate) AS {text}) AS year, o_totalprice AS amount
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
@@ -291,6 +309,16 @@ def file_skipping_read(spark, sf_dir):
     return versions(spark, sf_dir).table("shop.orders", where=[("o_totalprice", ">", 250000.0)])
 
 
+@query(f"SELECT {ORDER} FROM orders WHERE o_orderstatus = 'F'")
+def expired_read(spark, sf_dir):
+    """Files of other states leave the newest version."""
+    w, orders = Warehouse(spark, scratch(spark)), read(spark, sf_dir, "orders").select(*ORDER.split(", "))
+    w.publish("shop.orders", orders.where("o_orderstatus <> 'F'").withColumn("day", F.lit("2001-01-01").cast("date")))
+    w.publish("shop.orders", orders.where("o_orderstatus = 'F'").withColumn("day", F.lit("2002-01-01").cast("date")))
+    w.expire("shop.orders", "day", "2001-06-01")
+    return w.table("shop.orders").drop("day")
+
+
 @query(f"SELECT {ORDER} FROM orders WHERE o_orderstatus = 'F'")
 def snapshot_read(spark, sf_dir):
     """A snapshot is taken between the two commits."""
@@ -351,6 +379,15 @@ def tier_splice(spark, sf_dir):
     return splice(c.where("commit_pos <= 100"), c.where("commit_pos > 50"), 100, 50, 10**12, 10**10 - 1).select("o_orderkey", "price")
 
 
+@query("SELECT o_custkey AS xid, o_orderkey AS seq, max(o_orderkey) OVER (PARTITION BY o_custkey) + 1000000000 AS commit_pos, 'I' AS op FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) < 8)")
+def transaction_batches(spark, sf_dir):
+    """Each customer's orders are a transaction; those of few orders are aborted."""
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("xid"), F.col("o_orderkey").alias("commit_pos"), F.lit("I").alias("op"))
+    ends = o.groupBy(F.col("o_custkey").alias("xid")).agg((F.max("o_orderkey") + 1_000_000_000).alias("commit_pos"), F.when(F.count("*") < 8, "ABORT").otherwise("COMMIT").alias("op"))
+    return feeds.sealed(rows.unionByName(ends)).select("xid", "seq", "commit_pos", "op")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS price FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'X', o_totalprice FROM orders")
 def fill_unchanged(spark, sf_dir):
     """Updates that carry the status alone take the rest from the row before."""

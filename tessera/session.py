@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,25 @@ def ship(spark: SparkSession) -> None:
                         z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
         spark.sparkContext.addPyFile(at)
     spark.sparkContext._tessera_shipped = True
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], object]):
+    """What `action` gives, or a refusal once its Spark jobs have taken more than `seconds`: they are cancelled."""
+    context, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a query with a deadline", True)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise Refused(f"the query took more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)

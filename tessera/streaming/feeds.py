@@ -129,6 +129,14 @@ def apply_changes(changes: DataFrame, warehouse: Warehouse, table: str, key: lis
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sealed(rows: DataFrame, xid: str = "xid") -> DataFrame:
+    """Change rows of the transactions that have committed (a row with op "COMMIT"), at the commit's position and in their
+    own order within it (`seq`). Transactions that are open or aborted (op "ABORT") give nothing."""
+    ends = rows.where("op in ('COMMIT', 'ABORT')").groupBy(xid).agg(F.min(F.when(F.col("op") == "COMMIT", F.col("commit_pos"))).alias("_at"), F.count_if(F.col("op") == "ABORT").alias("_no"))
+    done = ends.where("_at is not null and _no = 0").select(xid, "_at")
+    return rows.where("op not in ('COMMIT', 'ABORT', 'BEGIN')").join(done, xid).withColumn("seq", F.col("commit_pos")).withColumn("commit_pos", F.col("_at")).drop("_at")
+
+
 def fill_unchanged(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Updates carry only what changed: other columns (null in an update) take the key's last value, up to its last delete."""
     from pyspark.sql import Window as W

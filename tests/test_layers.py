@@ -11,7 +11,7 @@ from tessera.operators import exact
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
 from tessera.operators.graph import Budget, Graph
 from tessera.operators.policy import Mask, Policy
-from tessera.session import Refused, check
+from tessera.session import Refused, check, within
 from tessera.sources.warehouse import Warehouse, latest_per_key, splice
 from tessera.streaming import feeds
 
@@ -324,6 +324,41 @@ def test_row_limit_and_graphs_by_sql(door, spark):
     assert door.scalar("SELECT sum(n) FROM many") == 2
 
 
+def test_verbs_without_sql(door, spark):
+    assert door.schemas() == ["shop"] and door.columns("t") == [("k", "bigint"), ("v", "string")]
+    door.clone("shop.c", "t")
+    assert door.lineage("shop.c").count() == 1 and door.functions().count() == 157 and door.snapshots().count() == 0
+    assert door.one("SELECT max(k) FROM t") == (2,)
+    with pytest.raises(Refused):
+        door.one("SELECT k FROM t")
+    door.graphs["g"] = graph(spark, E1)
+    assert door.reachable("g", ["a"], max_depth=1).count() == 3 and door.shortest_path("g", "a", "b").count() == 2
+
+
+def test_supplied_aggregations(door):
+    code = "CREATE AGGREGATION {n} LANGUAGE PYTHON AS $$ def start(): return 0.0\ndef accumulate(s, x): return {a}\ndef merge(a, b): return a + b\ndef finish(s): return s\n$$"
+    with pytest.raises(Refused, match="allow"):
+        door.sql(code.format(n="total", a="s + x"))
+    door.allow_aggregations = True
+    with pytest.raises(Refused, match="depends"):
+        door.sql(code.format(n="total", a="s / 2 + x"))
+    with pytest.raises(Refused, match="define"):
+        door.sql("CREATE AGGREGATION total LANGUAGE PYTHON AS $$ x = 1 $$")
+    door.sql(code.format(n="total", a="s + x"))
+    assert door.scalar("SELECT total(k) FROM t") == 3.0 and door.sql("SHOW AGGREGATIONS").count() == 1
+    door.sql("DROP AGGREGATION total")
+
+
+def test_deadline(spark):
+    with pytest.raises(Refused, match="seconds"):
+        within(spark, 1.0, lambda: spark.range(10**12).selectExpr("sum(sqrt(id))").first())
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+
+
+def test_overflow_risk():
+    assert exact.overflow_risk(10, 0, 2**62) and exact.overflow_risk(3, -(2**62), 0) and not exact.overflow_risk(1000, -(10**9), 10**9)
+
+
 # Feeds
 FEED = feeds.Feed("f", (feeds.FeedColumn("id", "bigint", False), feeds.FeedColumn("price", "decimal(9,2)"), feeds.FeedColumn("day", "date"), feeds.FeedColumn("note", "string", key="text")))
 LINES = {
