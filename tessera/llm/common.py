@@ -9,7 +9,8 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Letters, numbers and white space of the first 256 code points, as the tokenizers' Unicode classes have them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -95,6 +96,22 @@ def chunks(items: Iterator[tuple], text_at: int = 1, chars: int = 1_000_000) ->
         yield held
 
 
+def ranked(least: Column, key: Column) -> Column:
+    """A node's name that sorts by its least id (nulls last), then by its key: the smallest node of a component tells the
+    component's smallest id, with no grouping by component."""
+    sign = F.when(least.isNull(), "02").when(least < 0, "00").otherwise("01")
+    return F.concat(F.unhex(F.concat(sign, F.lpad(F.hex(F.coalesce(least, F.lit(0))), 16, "0"))), key)
+
+
+def least_of(node: Column) -> Column:
+    """The least id in a node's name."""
+    return F.when(F.hex(F.substring(node, 1, 1)) != "02", F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long"))
+
+
+#: Bytes before the key in a node's name.
+RANK_BYTES = 9
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -15,9 +15,10 @@
 Steps 2 and 4 lose a link only if fewer than `t` of k retained values agree although 80 % of the union do: under 1e-6 for
 a pair just at the threshold with k = 64, t = 34, and far less above it. Sets of up to 51 shingles lose none.
 
-Null and empty texts, and texts without a word, have no shingles and are linked with nothing. Rows with a null doc_id are
-returned with their component's smallest id. Repeated rows are copies of one another; a doc_id with several texts gives a
-row for each. Other columns are ignored.
+Null and empty texts, and texts without a word, have no shingles and are linked with nothing. Rows with a null doc_id take
+the smallest id of their text's copies and of what is linked with those; a text that only such rows have is linked with its
+copies alone. Repeated rows are copies of one another; a doc_id with several texts gives a row for each. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BoundedCache, arrow, chunks, cut, mix, once, rows, shared_dir, ship
+from tessera.llm.common import RANK_BYTES, BoundedCache, arrow, chunks, cut, least_of, mix, once, ranked, rows, shared_dir, ship
 from tessera.operators.components import connected_components
 
 K = 64
@@ -111,7 +112,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     docs = docs.select("doc_id", "text")
     base = cut(sketches(docs, width))
     reps = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-    reps = cut(reps)
+    reps = cut(reps.select(F.col("key").alias("class"), ranked(F.col("doc_id"), F.col("key")).alias("key"), "doc_id", "n", "sketch"))
 
     # Inverted lists of the rarest values, and their leaders.
     values = reps.select("key", "n", F.explode("sketch").alias("v"))
@@ -145,9 +146,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     more = cut(_unsettled(met, texts, width, percent, block))
     final = known if more.isEmpty() else connected_components(links.unionByName(more), cut)
 
-    of_class = cut(reps.select("key", F.col("doc_id").alias("least")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("comp")))
-    ids = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(ids, "comp").select("key", "component_id")
+    of_class = reps.select(F.col("class").alias("key"), F.col("key").alias("node")).join(final, "node", "left").select("key", least_of(F.coalesce("component", "node")).alias("component_id"))
     out = base.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     out = cut(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
     _remove(spark, at)
@@ -155,7 +154,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are the first of their component, with all their columns. Rows without an id stay."""
+    """The rows of `docs` that are the first of their component, with all their columns. Rows without an id stay, and so do
+    all rows that repeat a kept id."""
     first = components(docs, width, percent).where("kept").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
@@ -181,7 +181,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, rows_each: int = 256
             out = []
             for leader, text, role, key in held:
                 s = of.set(text)
-                if _key(s) != key:  # another text of a repeated doc_id
+                if _key(s) != key[RANK_BYTES:]:  # another text of a repeated doc_id
                     continue
                 if role == 0:
                     head, name = s, leader
@@ -253,7 +253,7 @@ def _unsettled(met: DataFrame, texts: DataFrame, width: int, percent: int, block
                     yield arrow(schema, list(zip(*found, strict=True)))
                 at, sides = (leader, bx, by), ([], [])
             s = of.set(text)
-            if _key(s) == key:
+            if _key(s) == key[RANK_BYTES:]:
                 sides[role].append((key, lo, hi, comp, s))
         if found := solve(*sides):
             yield arrow(schema, list(zip(*found, strict=True)))
