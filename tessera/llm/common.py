@@ -1,9 +1,13 @@
-"""What the text operators share: table access, a bounded cache, batches by characters, and code shipping."""
+"""What the text operators share: table access, bounded caches, batches by characters, node names."""
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import re
+import threading
+import time
 from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
@@ -12,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Letters, numbers and white space of the first 256 code points, as the tokenizers' Unicode classes have them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -42,8 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_used = 0.0
+
+
 class BoundedCache:
-    """A worker's memory of values by string. At `limit` entries the older half-generation is dropped, so memory stays bounded."""
+    """A worker's memory of values by string, in two generations of at most `limit` entries: the older one is dropped when the
+    younger is full, so memory stays bounded."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 200_000):
         self.young: dict = {}
@@ -52,6 +62,8 @@ class BoundedCache:
 
     def ready(self, keys: list[str]) -> dict:
         """A dictionary that holds every one of `keys`."""
+        global _used
+        _used = time.monotonic()
         missing = set(filterfalse(self.young.__contains__, keys))
         if missing:
             if len(self.young) + len(missing) > self.limit and self.young:
@@ -65,13 +77,33 @@ class BoundedCache:
 
 
 _PER_PROCESS: dict = {}
+_KEPT = 2  # values of that many kinds stay in a worker; the one used longest ago goes first
+_IDLE_SECONDS = 3.0
 
 
 def once(key, make: Callable[[], object]):
-    """A value made once in a Python worker and kept for its later tasks."""
-    if key not in _PER_PROCESS:
-        _PER_PROCESS[key] = make()
-    return _PER_PROCESS[key]
+    """A value made once in a Python worker and kept for its later tasks. A worker that has used none of its caches for
+    `_IDLE_SECONDS` gives the memory back: Spark lets idle workers live on beside the next stage's."""
+    global _used
+    _used = time.monotonic()
+    if key in _PER_PROCESS:
+        _PER_PROCESS[key] = _PER_PROCESS.pop(key)
+        return _PER_PROCESS[key]
+    while len(_PER_PROCESS) >= _KEPT:
+        _PER_PROCESS.pop(next(iter(_PER_PROCESS)))
+    value = _PER_PROCESS[key] = make()
+    if not any(t.name == "give-back" for t in threading.enumerate()):
+        threading.Thread(target=_give_back, name="give-back", daemon=True).start()
+    return value
+
+
+def _give_back() -> None:
+    while time.monotonic() - _used < _IDLE_SECONDS:
+        time.sleep(_IDLE_SECONDS / 4)
+    _PER_PROCESS.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -121,25 +153,3 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def arrow(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package when neither PYTHONPATH nor the working folder has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    places = os.environ.get("PYTHONPATH", "").split(":") + [os.getcwd()]
-    if root in map(os.path.abspath, filter(None, places)) or any(os.path.exists(os.path.join(p, "tessera")) for p in places if p):
-        return
-    if getattr(spark.sparkContext, "_tessera_shipped", False):
-        return
-    import tempfile
-    import zipfile
-
-    with tempfile.TemporaryDirectory() as d:
-        at = os.path.join(d, "tessera.zip")
-        with zipfile.ZipFile(at, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "tessera")):
-                for n in names:
-                    if n.endswith(".py"):
-                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
-        spark.sparkContext.addPyFile(at)
-    spark.sparkContext._tessera_shipped = True

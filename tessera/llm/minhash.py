@@ -43,7 +43,7 @@ SLACK = 0.25
 class Shingles:
     """Hashed shingle sets in one worker; word hashes are kept in a bounded cache."""
 
-    def __init__(self, width: int, cache: int = 300_000):
+    def __init__(self, width: int, cache: int = 150_000):
         self.width = width
         self.words = BoundedCache(lambda ws: map(xxhash.xxh3_64_intdigest, ws), cache)
 

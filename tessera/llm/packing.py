@@ -36,7 +36,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Ids of texts in one worker, word by word through a bounded cache; texts beyond U+00FF go to the tokenizer whole."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -114,7 +114,7 @@ class Model:
 class Scorer:
     """Scores texts in one worker."""
 
-    def __init__(self, odds: np.ndarray, bias: float, p: Parameters, cache: int = 250_000):
+    def __init__(self, odds: np.ndarray, bias: float, p: Parameters, cache: int = 150_000):
         self.odds, self.bias, self.p = odds, bias, p
         self.words = BoundedCache(self._words, cache)
 
