@@ -46,13 +46,14 @@ def _lowered(headers: Column) -> Column:
 
 
 def as_of(records: DataFrame) -> DataFrame:
-    """record_id, canonical_url, verdict and response_id of every row of `records` (record_id, url, captured_at, kind, status,
-    headers, payload)."""
-    headers = _lowered(F.col("headers"))
+    """record_id, canonical_url, captured_at, kind, verdict, response_id of every row of `records` (record_id, url,
+    captured_at, kind, status, headers, payload); with the headers and payload of revisits."""
+    headers, again = _lowered(F.col("headers")), F.col("kind") == "revisit"
     slim = records.select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), "captured_at", "kind",
         ((F.col("kind") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull()).alias("full"),
         F.regexp_replace(headers["etag"], "^W/", "").alias("etag"), headers["last-modified"].alias("modified"),
+        F.when(again, headers).alias("headers"), F.when(again, F.col("payload")).alias("payload"),
     )
     slim = cut(slim.repartitionByRange("canonical_url", "captured_at", "record_id").withColumn("part", F.spark_partition_id()))
     response = F.struct("record_id", "etag", "modified")
@@ -64,23 +65,24 @@ def as_of(records: DataFrame) -> DataFrame:
     carried = ends.select("part", "canonical_url", F.last("last", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
     met = seen.join(carried, ["part", "canonical_url"], "left").withColumn("r", F.coalesce("inside", "carried"))
     same = F.when(F.col("etag").isNotNull() & F.col("r.etag").isNotNull(), F.col("etag") == F.col("r.etag")).when(F.col("etag").isNull() & F.col("modified").isNotNull() & F.col("r.modified").isNotNull(), F.col("modified") == F.col("r.modified"))
-    verdict = F.when(F.col("kind") == "revisit", F.when(F.col("r").isNull() | F.col("canonical_url").isNull(), "no_response").when(same, "resolved").when(~same, "mismatch").otherwise("no_validator"))
-    met = met.select("record_id", "canonical_url", "captured_at", "kind", verdict.alias("verdict"), F.col("r.record_id").alias("r_id"))
-    return met.select("record_id", "canonical_url", "captured_at", "kind", "verdict", F.when(F.col("verdict") == "resolved", F.col("r_id")).alias("response_id"))
+    verdict = F.when(again, F.when(F.col("r").isNull() | F.col("canonical_url").isNull(), "no_response").when(same, "resolved").when(~same, "mismatch").otherwise("no_validator"))
+    met = met.select("record_id", "canonical_url", "captured_at", "kind", verdict.alias("verdict"), F.col("r.record_id").alias("r_id"), "headers", "payload")
+    return met.withColumn("response_id", F.when(F.col("verdict") == "resolved", F.col("r_id"))).drop("r_id")
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Every record with verdict, response_id, merged headers and payload."""
-    own = records.select("record_id", _lowered(F.col("headers")).alias("headers"), "payload")
-    found = cut(as_of(records))
+    """Every record with verdict, response_id, merged headers and payload. Only revisits are joined with anything; of the
+    responses, only those that resolve one lend their payload."""
+    out = ["record_id", "canonical_url", "kind", "verdict", "response_id", "headers", "payload"]
+    found = cut(as_of(records).where("kind = 'revisit'").select(*out))
+    others = records.where(~F.col("kind").eqNullSafe("revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "kind", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast(records.schema["record_id"].dataType).alias("response_id"), _lowered(F.col("headers")).alias("headers"), "payload")
     hits = found.where("verdict = 'resolved'")
-    base = own.join(hits.select(F.col("response_id").alias("record_id")).distinct(), "record_id", "left_semi").groupBy("record_id").agg(F.min_by(F.struct("headers", "payload"), "payload").alias("base"))
+    full = records.where("kind = 'response' and status = 200 and payload is not null").select(F.col("record_id").alias("response_id"), _lowered(F.col("headers")).alias("headers"), "payload")
+    base = full.join(hits.select("response_id").distinct(), "response_id", "left_semi").groupBy("response_id").agg(F.min_by(F.struct("headers", "payload"), "payload").alias("base"))
     allowed = F.map_filter(F.col("headers"), lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter(F.col("base.headers"), lambda k, v: ~F.map_contains_key(allowed, k))
-    filled = hits.join(base.withColumnRenamed("record_id", "response_id"), "response_id").join(own.select("record_id", "headers"), "record_id")
-    filled = filled.select("record_id", "canonical_url", "kind", "verdict", "response_id", F.map_concat(kept, allowed).alias("headers"), F.col("base.payload").alias("payload"))
-    rest = found.where("verdict is null or verdict <> 'resolved'").join(own, "record_id").select("record_id", "canonical_url", "kind", "verdict", "response_id", "headers", "payload")
-    return filled.unionByName(rest)
+    filled = hits.drop("payload").join(base, "response_id").withColumns({"headers": F.map_concat(kept, allowed), "payload": F.col("base.payload")}).select(*out)
+    return others.unionByName(filled).unionByName(found.where("verdict <> 'resolved'"))
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

@@ -139,5 +139,10 @@ def test_as_of_against_brute_force(spark):
             assert (got["verdict"], got["response_id"], got["payload"]) == ((verdict, last[0], last[6]) if verdict == "resolved" else (verdict, None, None))
 
 
+def test_repeated_records(spark):
+    rows = revisits.resolve(frame(spark, [(*r, "x") for r in [response(1, "http://a.com", 1, "b"), response(1, "http://a.com", 1, "a"), again(2, "http://a.com", 2), again(2, "http://a.com", 2), (3, "http://a.com", 3, None, None, None, None)]], SCHEMA)).collect()
+    assert sorted((r["record_id"], str(r["verdict"])) for r in rows) == [(1, "None"), (1, "None"), (2, "no_validator"), (2, "no_validator"), (3, "None")]
+
+
 def test_no_records(spark):
     assert revisits.resolve(frame(spark, [], SCHEMA)).count() == 0
