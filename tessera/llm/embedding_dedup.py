@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow, cut, rows, ship
+from tessera.llm.common import arrow, cut, least_of, ranked, rows, ship
 from tessera.operators.components import connected_components
 
 BAND = 1e-4  # single precision decides outside of it
@@ -163,11 +163,11 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: i
     ship(vectors.sparkSession)
     r = float(np.sqrt(2 - 2 * cos))
     base = cut(_classes(vectors))
-    reps = cut(base.where("key is not null").groupBy("key").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    reps = cut(base.where("key is not null").groupBy("key").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).select(F.col("key").alias("class"), ranked(F.col("least"), F.col("key")).alias("key"), "w", "dim", "vec"))
     n = reps.count()
     wanted = max(1, min(max_pivots, -(-n // cell)))
     pivots: dict[int, list] = {}
-    for row in reps.select("dim", "vec").orderBy("key").limit(wanted).collect():  # keys are hashes: a uniform draw
+    for row in reps.select("dim", "vec", "class").orderBy("class").limit(wanted).collect():  # classes are hashes: a uniform draw
         pivots.setdefault(row["dim"], []).append(_numbers(bytes(row["vec"]), row["dim"]))
     points = {k: _unit(np.array(v)) for k, v in pivots.items()}
     cells = cut(_assign(reps.select("key", "w", "dim", "vec"), points, r))
@@ -205,9 +205,7 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: i
     found = cut(both.mapInArrow(run, "a binary, b binary, n long"))
     known = connected_components(found.where("b is not null").select("a", "b"), cut)
     degree = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    named = reps.select("key", "w", "least").join(known.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    named = cut(named.select("key", "w", "least", F.coalesce("component", "key").alias("comp"), F.coalesce("n", F.lit(0)).alias("n")))
-    ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "comp").select("key", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id")
+    named = reps.select("class", "key", "w").join(known.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+    of = named.select(F.col("class").alias("key"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), least_of(F.coalesce("component", "key")).alias("component_id"))
     out = base.select("vec_id", "key").join(of, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
