@@ -75,6 +75,15 @@ class BoundedCache:
                 self.young.update(zip(rest, self.compute(rest), strict=True))
         return self.young
 
+    def values(self, keys: list[str]) -> list:
+        """The value of each of `keys`, by one look-up for each that is held."""
+        out = list(map(self.young.get, keys))
+        if at := [i for i, v in enumerate(out) if v is None]:
+            held = self.ready([keys[i] for i in at])
+            for i in at:
+                out[i] = held[keys[i]]
+        return out
+
 
 _PER_PROCESS: dict = {}
 _KEPT = 2  # values of that many kinds stay in a worker; the one used longest ago goes first

@@ -36,7 +36,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Ids of texts in one worker, word by word through a bounded cache; texts beyond U+00FF go to the tokenizer whole."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,18 +60,19 @@ class WordTokenizer:
 
     def _plain(self, text: str) -> bytes:
         words = WORD_PIECES.findall(text.lower())
-        return b"".join(map(self.cache.ready(words).__getitem__, words))
+        return b"".join(self.cache.values(words))
 
 
-def tokenize(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """The pieces of every row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, and ids if wanted."""
+def tokenize(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, cache: int = 500_000) -> DataFrame:
+    """The pieces of every row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, and ids if wanted. A worker
+    remembers at most twice `cache` words; fewer cost time and save memory."""
     ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = once(("word_tokenizer", path), lambda: WordTokenizer(path))
+        tok = once(("word_tokenizer", path, cache), lambda: WordTokenizer(path, cache))
         for held in chunks(rows(batches, "doc_id", "text")):
             out = []
             for doc_id, text in held:
