@@ -35,8 +35,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of at most 2048 tokens."""
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """The documents' pieces, packed into sequences of at most 2048 tokens. The stages before have left workers and compiled
+    code behind, so the tokenizer's cache is half the usual one."""
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), cache=250_000))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classify), ("minhash_dedup", dedup), ("pii", redact), ("packing", pack)]
