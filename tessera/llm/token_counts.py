@@ -17,6 +17,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,21 +72,22 @@ class Lengths:
         return sum(filter(None, known)) + sum(map(held.__getitem__, rest))
 
 
-def frequent_lengths(docs: DataFrame, path: str, size: int, sample_rows: int) -> tuple[str, bytes]:
-    """The lengths of the `size` most frequent pre-tokens among `sample_rows` rows. What is sent to the driver is bounded by
-    `sample_rows` and `size`; it only decides which lengths are shipped ahead."""
+def frequent_lengths(docs: DataFrame, path: str, size: int, sample_rows: int, parts: int = 4) -> tuple[str, bytes]:
+    """The lengths of the most frequent pre-tokens among `sample_rows` rows, at most `size`. The rows are the first of some
+    `parts` partitions: each partition tallies its own to one row, and only as many run as the limit asks for, so nothing is
+    shuffled. The sample only decides which lengths are shipped ahead."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for (text,) in rows(batches, "text"):
+        for (text,) in islice(rows(batches, "text"), sample_rows // parts):
             if text and not BEYOND_LATIN1.search(text):
                 seen.update(t for t in PRETOKEN.findall(text) if "\x01" not in t)
-        top = seen.most_common(size)
-        yield pa.RecordBatch.from_pydict({"t": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+        if top := seen.most_common(size):
+            yield pa.RecordBatch.from_pydict({"t": pa.array([[t for t, _ in top]], pa.list_(pa.string())), "n": pa.array([[n for _, n in top]], pa.list_(pa.int64()))})
 
     total: Counter = Counter()
-    for t, n in docs.select("text").limit(sample_rows).mapInArrow(tally, "t string, n long").collect():
-        total[t] += n
+    for found in docs.select("text").mapInArrow(tally, "t array<string>, n array<long>").limit(parts).collect():
+        total.update(dict(zip(found["t"], found["n"], strict=True)))
     if not (top := [t for t, n in total.most_common(size) if n > 1]):
         return "", b""
     lengths = Lengths(path)._encode(top)
