@@ -239,7 +239,10 @@ class Graph:
         n = self.vertices().count()
         part = self.edges.select("src", "dst").distinct().limit(GENEROUS.visits + 1)
         out: dict[str, list[str]] = defaultdict(list)
-        for s, d in sorted(map(tuple, part.collect())):
+        found = part.collect()
+        if len(found) > GENEROUS.visits:
+            raise Refused("the graph is too large for an estimate of betweenness")
+        for s, d in sorted(map(tuple, found)):
             out[s].append(d)
         given = self.spark.sparkContext.broadcast(dict(out))
 
