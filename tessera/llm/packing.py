@@ -42,11 +42,26 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.cache = BoundedCache(self._encode, cache)
+        vocabulary = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        """Many words go to the tokenizer as one text, with spaces between: each is a piece of its own and ends with the only
+        token that closes a word, where the ids are cut. Should the ends not be as many as the words, each goes alone."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
