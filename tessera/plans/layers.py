@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.engine import Engine
 from tessera.operators import exact
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
-from tessera.operators.graph import Budget, Graph
+from tessera.operators.graph import GENEROUS, Budget, Graph
 from tessera.operators.policy import Mask, Policy
 from tessera.session import shared_cut
 from tessera.sources.warehouse import Warehouse, splice
@@ -226,7 +226,7 @@ def graph_reachable(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EDGES_2}, r(v, d, p) USING KEY (v) AS (SELECT '1', CAST(0 AS DOUBLE), ['1'] UNION SELECT dst, min(r.d + weight), arg_min(list_append(r.p, dst), r.d + weight) FROM r JOIN e ON r.v = src LEFT JOIN recurring.r x ON x.v = dst WHERE x.v IS NULL OR r.d + weight < x.d GROUP BY dst)
   SELECT CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS position, unnest(p) AS vertex, round(d, 4) AS path_cost, CAST(len(p) - 1 AS INTEGER) AS path_hops FROM r WHERE v = '2'""")
 def graph_shortest_path(spark, sf_dir):
-    return graph(spark, sf_dir).shortest_path(1, 2).select("position", "vertex", F.round("path_cost", 4).alias("path_cost"), "path_hops")
+    return graph(spark, sf_dir, budget=GENEROUS).shortest_path(1, 2).select("position", "vertex", F.round("path_cost", 4).alias("path_cost"), "path_hops")
 
 
 @query(f"""WITH {EDGES_2}, c AS (SELECT src || '>' || src AS cycle FROM e WHERE src = dst UNION SELECT a.src || '>' || a.dst || '>' || a.src FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.dst > a.src
@@ -268,7 +268,7 @@ def graph_strong_components(spark, sf_dir):
 
 @query()
 def graph_time_respecting(spark, sf_dir):
-    return graph(spark, sf_dir).time_respecting([1], at=0, min_dwell=1, max_dwell=400)
+    return graph(spark, sf_dir, budget=GENEROUS).time_respecting([1], at=0, min_dwell=1, max_dwell=400)
 
 
 @query()

@@ -1,7 +1,9 @@
 """Cubes, graphs, versioned tables, policies, exactness, feeds and the SQL door: refusals and small cases."""
 
+import heapq
 import json
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tessera.operators import exact
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
 from tessera.operators.graph import Budget, Graph
 from tessera.operators.policy import Mask, Policy
+from tessera.plans import layers
 from tessera.session import Refused, check, within
 from tessera.sources.warehouse import Warehouse, latest_per_key, splice
 from tessera.streaming import feeds
@@ -400,3 +403,29 @@ def test_digest_ignores_order(spark):
 
 def test_settings(spark):
     assert check(spark) == []
+
+
+def test_paths_answer_over_more_edges_than_the_default_budget(spark):
+    """At sf0.1 150,000 edges lie within reach of customer 1: the cheapest path by plain Dijkstra, arrivals each by an edge."""
+    sf = "/root/testdata/sf0.1"
+    edges = [tuple(r) for r in layers.graph(spark, sf).edges.select("src", "dst", "weight", "valid_from").collect()]
+    assert len(edges) > Budget().visits
+    out = defaultdict(list)
+    for s, d, w, _ in edges:
+        out[s].append((d, w))
+    cost, heap = {}, [(0.0, "1")]
+    while heap:
+        c, v = heapq.heappop(heap)
+        if v not in cost:
+            cost[v] = c
+            for d, w in out[v]:
+                heapq.heappush(heap, (c + w, d))
+    path = sorted(layers.graph_shortest_path(spark, sf).collect())
+    assert [path[0]["vertex"], path[-1]["vertex"]] == ["1", "2"] and path[0]["path_cost"] == pytest.approx(cost["2"], abs=1e-4)
+    arrivals = {r["vertex"]: r for r in layers.graph_time_respecting(spark, sf).collect()}
+    since = {(s, d, a) for s, d, _, a in edges}
+    assert len(arrivals) > 1 and arrivals["1"]["hops"] == 0
+    for v, r in arrivals.items():
+        if r["via"] is not None:
+            wait = r["arrival"] - arrivals[r["via"]]["arrival"]
+            assert (r["via"], v, r["arrival"]) in since and wait >= 1 and (r["hops"] == 1 or wait <= 400)
