@@ -2,7 +2,8 @@
 
 What proceeds level by level is a loop of joins over the frontier, whatever the size of the graph. What does not (label
 setting in time or cost order, loopless paths) runs as a kernel over the part of the graph that lies within the budget's
-depth of the seeds, and is refused beyond the budget's edges instead of being cut short.
+depth of the seeds, and is refused instead of being cut short: beyond the budget's edges, where a vertex on the way has more
+than the budget's degree, and, for cheapest paths and arrivals, where the depth leaves out what could change the result.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ class Graph:
     def reachable(self, seeds: Iterable, max_depth: int | None = None, types: list[str] | None = None, direction: str = "out", at: int | None = None) -> DataFrame:
         """(vertex, depth, via, truncated): breadth first; `via` is the least vertex one level nearer. A vertex of more than the
         budget's degree is returned and not expanded; `truncated` says whether that or the depth left anything unseen."""
+        found, by_degree, by_depth = self._reach(seeds, max_depth, types, direction, at)
+        return found.withColumn("truncated", F.lit(by_degree or by_depth))
+
+    def _reach(self, seeds: Iterable, max_depth: int | None = None, types: list[str] | None = None, direction: str = "out", at: int | None = None) -> tuple[DataFrame, bool, bool]:
+        """What is reached, whether a vertex nearer than the depth was too wide to expand, whether the depth left anything unseen."""
         edges, b = self._typed(types), self.budget
         if at is not None:
             edges = edges.where(f"coalesce(valid_from, {at}) <= {at} and coalesce(valid_until, {at} + 1) > {at}")
@@ -75,22 +81,23 @@ class Graph:
         edges = shared_cut(edges.select("src", "dst").distinct())
         wide = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > b.degree).select(F.col("src").alias("vertex"))
         found = shared_cut(self._seeds(seeds).select("vertex", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
-        front, truncated, depth = found, False, 0
+        front, by_degree, by_depth, depth = found, False, False, 0
         limit = b.depth if max_depth is None else max_depth
         while True:
             near = front.select("vertex").join(wide, "vertex", "left_anti")
-            truncated = truncated or front.join(wide, "vertex", "left_semi").limit(1).count() > 0
+            if front.join(wide, "vertex", "left_semi").limit(1).count() > 0:
+                by_degree, by_depth = by_degree or depth < limit, by_depth or depth >= limit
             reached = edges.join(near.withColumnRenamed("vertex", "src"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("via"))
             fresh = shared_cut(reached.join(found.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(depth + 1).alias("depth"), "via"))
             if fresh.isEmpty():
                 break
             if depth >= limit:
-                truncated = True
+                by_depth = True
                 break
             depth += 1
             found = shared_cut(found.unionByName(fresh))
             front = fresh
-        return found.withColumn("truncated", F.lit(truncated))
+        return found, by_degree, by_depth
 
     def influence(self, seeds: Iterable, damping: float = 1.0, floor: float = 1e-4) -> DataFrame:
         """(vertex, influence): the sum over walks of the products of damped weights, a walk ending where its product is under
@@ -167,10 +174,16 @@ class Graph:
             colour = new.select("vertex", F.col("n").alias("c"))
 
     # kernels over a bounded part
-    def _near(self, seeds: Iterable, types: list[str] | None = None) -> list[tuple]:
-        """Edges within the budget's depth of the seeds; refused beyond the budget's visits."""
+    def _near(self, seeds: Iterable, types: list[str] | None = None, whole: bool = False) -> list[tuple]:
+        """Edges within the budget's depth of the seeds; refused beyond the budget's visits, past a vertex of more than its
+        degree and, if what is reached must be `whole`, beyond its depth."""
         seeds = list(seeds)
-        found = self.reachable(seeds, types=types).select(F.col("vertex").alias("src"))
+        found, by_degree, by_depth = self._reach(seeds, types=types)
+        if by_degree:
+            raise Refused(f"a vertex within depth {self.budget.depth} has more than {self.budget.degree} neighbours; give a larger budget")
+        if whole and by_depth:
+            raise Refused(f"the graph goes on beyond depth {self.budget.depth}; give a larger budget")
+        found = found.select(F.col("vertex").alias("src"))
         part = self._typed(types).join(found, "src", "left_semi").limit(self.budget.visits + 1).collect()
         if len(part) > self.budget.visits:
             raise Refused(f"more than {self.budget.visits} edges lie within depth {self.budget.depth}; give a larger budget")
@@ -180,7 +193,7 @@ class Graph:
         """The k cheapest loopless paths (Dijkstra, Yen), one row a step: path_id, position, vertex, path_cost, path_hops."""
         source, target = str(source), str(target)
         out: dict[str, dict[str, float]] = defaultdict(dict)
-        for s, d, w, _, _ in self._near([source]):
+        for s, d, w, _, _ in self._near([source], whole=True):
             if w < 0:
                 raise Refused("a weight is negative")
             out[s][d] = min(w, out[s].get(d, float("inf")))
@@ -190,7 +203,7 @@ class Graph:
         return self.spark.createDataFrame(rows, "path_id int, position int, vertex string, path_cost double, path_hops int")
 
     def cycles(self, seeds: Iterable) -> DataFrame:
-        """Simple circuits through a seed that is their least vertex: (cycle_id, position, vertex), closed."""
+        """Simple circuits, of up to the budget's depth in steps, through a seed that is their least vertex: (cycle_id, position, vertex), closed."""
         out: dict[str, set[str]] = defaultdict(set)
         for s, d, *_ in self._near(seeds):
             out[s].add(d)
@@ -211,12 +224,14 @@ class Graph:
         return self.spark.createDataFrame(rows, "cycle_id int, position int, vertex string")
 
     def time_respecting(self, seeds: Iterable, at: int = 0, min_dwell: int = 0, max_dwell: int | None = None, min_conservation: float = 0.0) -> DataFrame:
-        """(vertex, arrival, hops, via): earliest arrivals over edges whose validity starts no earlier than one stands there."""
+        """(vertex, arrival, hops, via): earliest arrivals over edges whose validity starts no earlier than one stands there;
+        refused if the budget's depth in hops leaves out an arrival or an earlier one."""
         out: dict[str, list[tuple]] = defaultdict(list)
         for s, d, w, a, b in self._near(seeds):
             if a is not None and (b is None or b > a):
                 out[s].append((a, d, w))
         best: dict[str, tuple] = {}
+        beyond: dict[str, int] = {}
         heap = [(at, 0, str(s), None, None) for s in seeds]
         heapq.heapify(heap)
         while heap:
@@ -224,12 +239,15 @@ class Graph:
             if v in best:
                 continue
             best[v] = (t, hops, via)
-            if hops >= self.budget.depth:
-                continue
             for a, d, x in out[v]:
                 wait = a - t
                 if wait >= min_dwell and (max_dwell is None or hops == 0 or wait <= max_dwell) and (w is None or x >= w * min_conservation) and d not in best:
+                    if hops >= self.budget.depth:
+                        beyond[d] = min(a, beyond.get(d, a))
+                        continue
                     heapq.heappush(heap, (a, hops + 1, d, v, x))
+        if any(v not in best or a < best[v][0] for v, a in beyond.items()):
+            raise Refused(f"arrivals go on beyond {self.budget.depth} hops; give a larger budget")
         rows = [(v, t, h, via) for v, (t, h, via) in sorted(best.items())]
         return self.spark.createDataFrame(rows, "vertex string, arrival long, hops int, via string")
 

@@ -220,7 +220,7 @@ def graph(spark: SparkSession, sf_dir: str, weight: str = "weight", budget: Budg
 @query(f"""WITH RECURSIVE {EDGES_2}, r(v, d) USING KEY (v) AS (SELECT * FROM (VALUES ('1', 0), ('2', 0)) s(v, d) UNION SELECT dst, min(r.d) + 1 FROM r JOIN e ON r.v = src LEFT JOIN recurring.r x ON x.v = dst WHERE r.d < 3 AND x.v IS NULL GROUP BY dst)
   SELECT r.v AS vertex, r.d AS depth, min(p.v) AS via FROM r LEFT JOIN (SELECT r.v, r.d, dst FROM r JOIN e ON r.v = src) p ON p.dst = r.v AND p.d = r.d - 1 GROUP BY r.v, r.d""")
 def graph_reachable(spark, sf_dir):
-    return graph(spark, sf_dir).reachable([1, 2], max_depth=3).select("vertex", "depth", "via")
+    return graph(spark, sf_dir, budget=GENEROUS).reachable([1, 2], max_depth=3).select("vertex", "depth", "via")
 
 
 @query(f"""WITH RECURSIVE {EDGES_2}, r(v, d, p) USING KEY (v) AS (SELECT '1', CAST(0 AS DOUBLE), ['1'] UNION SELECT dst, min(r.d + weight), arg_min(list_append(r.p, dst), r.d + weight) FROM r JOIN e ON r.v = src LEFT JOIN recurring.r x ON x.v = dst WHERE x.v IS NULL OR r.d + weight < x.d GROUP BY dst)

@@ -115,6 +115,24 @@ def test_paths(spark):
     assert sorted(tuple(r["vertex"] for r in sorted(rows, key=lambda r: r["position"])) for rows in by(g.cycles(["a", "b"]).collect(), "cycle_id")) == [("a", "a"), ("b", "c", "d", "b")]
 
 
+def test_what_the_budget_cuts_is_refused(spark):
+    """A vertex of more neighbours than the budget's degree, or a way longer than its depth, refuses what it could change."""
+    hot = graph(spark, [("a", "h", 1.0, 1, 9), ("h", "x", 1.0, 2, 9), ("h", "y", 1.0, 2, 9), ("x", "a", 1.0, 3, 9), ("a", "z", 9.0, 1, 9), ("z", "x", 9.0, 4, 9)], budget=Budget(degree=2))
+    assert hot.shortest_path("a", "x").first()["path_cost"] == 2.0
+    hot.budget = Budget(degree=1)
+    for asked in (lambda: hot.shortest_path("a", "x"), lambda: hot.cycles(["a"]), lambda: hot.time_respecting(["a"])):
+        with pytest.raises(Refused):
+            asked()
+    edges = [(f"v{i}", f"v{i + 1}", 1.0, i, 99) for i in range(8)]
+    far = graph(spark, [*edges, ("v8", "v0", 1.0, 50, 99)])
+    for asked in (lambda: far.shortest_path("v0", "v8"), lambda: far.shortest_path("v0", "v2"), lambda: far.time_respecting(["v0"])):
+        with pytest.raises(Refused):
+            asked()
+    far.budget = Budget(depth=9)
+    assert far.shortest_path("v0", "v8").count() == 9 and far.time_respecting(["v0"]).count() == 9
+    assert graph(spark, edges, budget=Budget(depth=3)).cycles(["v0"]).count() == 0
+
+
 def by(rows, key):
     out: dict = {}
     for r in rows:
