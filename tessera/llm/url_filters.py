@@ -1,24 +1,25 @@
 """Operator 6: judging urls by nested host and path rules, by a sort-merge range join.
 
 A host's key is its labels reversed, each with "/" behind it (a sign no host holds): www.example.com is com/example/www/.
-A rule's host is then a prefix, so it covers an interval of keys, and nested rules are nested intervals. Urls are range
-partitioned and sorted by key; one sweep over each sorted partition keeps a stack of the rules whose intervals are open.
-Of those, the rules whose path the url's path begins with fit; the longest (host and path together, then the longer host,
-then the first given) wins. A url that no rule fits is allowed unless `default` says otherwise.
-
-A third of all urls may have one host: the range partitioning also goes by path and page id, so such a host spans many
-partitions, each of which opens the rules above its first key by look-up.
-
-Rules are sent to every task only while they are at most `MAX_RULES`; a larger rule table is joined on the keys of each
-host's parents instead, which shuffles both sides.
-
-Null urls and urls without "://" have empty host and path, and no rule fits them. Repeated rows each give a row. Other
-columns are ignored.
+A rule's host is then a prefix, so it covers an interval of keys, and nested rules are nested intervals. Urls and rules are
+range partitioned together by key (urls by path too) and sorted; one sweep over each cell keeps a stack of the hosts whose
+intervals are open. Of those hosts' rules the ones whose path the url's path begins with fit; the longest (host and path
+together, then the longer host) wins. Of rules with equal host and path the greatest verdict in byte order wins, whatever
+their order: block before allow. A url that no rule fits is allowed unless `default` says otherwise.
+
+The cells' bounds are drawn from both tables (a fixed number of keys for each cell). A rule goes to every cell that its
+interval meets: one or two for most, many only for a rule above much of the urls. A third of all urls may have one host, or
+be one and the same url: paths divide the first, and a value that is several bounds at once is dealt over all their cells by
+a hash. Rules of one host are held as a dictionary of paths, so a url costs a look-up for each distinct length of path.
+Any number of rules goes this one way; neither table is collected or broadcast.
+
+Null urls and urls without "://" have empty host and path, and no rule fits them. Rules whose host or verdict is null are
+ignored, a null path is an empty one. Repeated rows each give a row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship
 
-MAX_RULES = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
-
+RULES = "verdict string, host string, path string"
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
@@ -45,79 +45,98 @@ def key_of(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "/"), F.lit("/")))
 
 
-def rule_key(host: str) -> str:
-    return "".join(label + "/" for label in reversed(host.split(".")))
+class Sweep:
+    """The hosts whose intervals are open, and their rules; rules and urls must come in the order of their keys."""
 
+    def __init__(self, default: str):
+        self.default = default
+        self.stack: list[tuple[str, str, dict[str, str], list[int]]] = []  # key, host, verdicts by path, lengths of paths, longest first
 
-class Sweep:
-    """Rules in the order of their keys, and the stack of those open at the last key asked for; keys must not descend."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        self.at: dict[str, list[tuple]] = {}
-        for i, (verdict, host, path) in enumerate(rules):
-            self.at.setdefault(rule_key(host), []).append((-len(host) - len(path), -len(host), i, path, host + path, verdict))
-        self.keys = sorted(self.at)
-        self.stack: list[str] = []
-        self.next, self.last, self.open = 0, None, []
-
-    def seek(self, key: str) -> None:
-        """Begin at `key`: open the rules above it."""
-        ends = [i + 1 for i, c in enumerate(key) if c == "/"]
-        self.stack = [key[:e] for e in ends if key[:e] in self.at]
-        self.next = bisect_right(self.keys, key)
-
-    def rules(self, key: str) -> list[tuple]:
-        """Open rules, best first."""
-        if key == self.last:
-            return self.open
-        if self.last is None:
-            self.seek(key)
-        while self.stack and not key.startswith(self.stack[-1]):
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
-        while self.next < len(self.keys) and self.keys[self.next] <= key:
-            if key.startswith(self.keys[self.next]):
-                self.stack.append(self.keys[self.next])
-            self.next += 1
-        self.last, self.open = key, sorted(r for k in self.stack for r in self.at[k])
-        return self.open
-
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of `pages` (page_id, url). Rules are (verdict, host, path)."""
+    def open(self, key: str, host: str, path: str, verdict: str) -> None:
+        self._close(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, host, {}, []))
+        _, _, verdicts, lengths = self.stack[-1]
+        verdicts[path] = verdict
+        at = bisect_left(lengths, -len(path), key=lambda n: -n)
+        if at == len(lengths) or lengths[at] != len(path):
+            lengths.insert(at, len(path))
+
+    def judge(self, key: str, path: str) -> tuple[str | None, str]:
+        self._close(key)
+        best, rule, verdict = (-1, -1), None, self.default
+        for _, host, verdicts, lengths in self.stack:
+            for n in lengths:
+                if n <= len(path) and (found := verdicts.get(path[:n])) is not None:
+                    if (len(host) + n, len(host)) > best:
+                        best, rule, verdict = (len(host) + n, len(host)), host + path[:n], found
+                    break
+        return rule, verdict
+
+
+def _place(x: Column, bounds: list[str], upto: bool) -> Column:
+    """How many of the sorted `bounds` are below `x` (`upto`: or equal to it), through a list of every so many of them."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = (lambda b: b <= x) if upto else (lambda b: b < x)
+    fine = F.array(*(F.array(*map(F.lit, g)) for g in groups))
+    first = F.size(F.filter(F.array(*(F.lit(g[0]) for g in groups)), below))
+    return F.when(first == 0, 0).otherwise((first - 1) * step + F.size(F.filter(F.get(fine, first - 1), below)))
+
+
+def _bounds(places: DataFrame, cells: int, each: int = 32, longest: int = 256) -> list[str]:
+    """Bounds of `cells` cells from a draw of about `each` places a cell. They decide where rows go, not what they give."""
+    n = places.count()
+    if cells < 2 or not n:
+        return []
+    drawn = places.select(F.substring("at", 1, longest).alias("at"))
+    drawn = sorted(r[0].encode() for r in drawn.sample(min(1.0, cells * each / n), 1).collect())
+    return [drawn[len(drawn) * k // cells].decode() for k in range(1, cells)] if drawn else []
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", cells: int | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of `pages` (page_id, url). Rules are (verdict, host, path). `cells`:
+    as many as the session's shuffles have partitions."""
+    spark = pages.sparkSession
+    ship(spark)
+    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.coalesce(F.col("url"), F.lit("")))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("key", key_of(F.col("host")))
-    if isinstance(rules, DataFrame):
-        rules = rules.select("verdict", "host", "path")
-        some = rules.limit(MAX_RULES + 1).collect()
-        if len(some) > MAX_RULES:
-            return _by_join(urls, rules, default)
-        rules = [tuple(r) for r in some]
-    elif len(rules) > MAX_RULES:
-        raise ValueError("give a rule set of this size as a DataFrame")
-    ship(pages.sparkSession)
-    given = pages.sparkSession.sparkContext.broadcast(list(rules))
+    given = rules.select("verdict", "host", "path") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), RULES)
+    given = given.where("host is not null and verdict is not null").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.max("verdict").alias("verdict"))
+    given = given.withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", "\\.", -1)), "/"), F.lit("/")))
+
+    urls = urls.withColumn("at", F.concat("key", F.lit("\0"), "path"))
+    bounds = _bounds(urls.select("at").unionByName(given.select(F.col("key").alias("at"))), cells)
+    low, high = _place(F.col("at"), bounds, False), _place(F.col("at"), bounds, True)
+    urls = urls.select(F.struct(low.alias("low"), high.alias("high")).alias("c"), F.lit(1).alias("role"), "at", "key", "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    urls = urls.withColumn("cell", F.expr("c.low + cast(pmod(xxhash64(page_id, at), c.high - c.low + 1) as int)")).drop("c")
+    # "0" comes right behind "/": the first key behind the rule's interval.
+    beyond = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("0"))
+    spans = F.sequence(_place(F.col("key"), bounds, False), _place(beyond, bounds, False))
+    given = given.select(F.explode(spans).alias("cell"), F.lit(0).alias("role"), F.col("key").alias("at"), "key", F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    both = urls.unionByName(given).repartitionById(len(bounds) + 1, F.col("cell")).sortWithinPartitions("at", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep(given.value)
+        sweep = Sweep(default)
         for b in batches:
-            names, verdicts = [], []
-            for key, path in zip(b.column("key").to_pylist(), b.column("path").to_pylist(), strict=True):
-                found = next(((r[4], r[5]) for r in sweep.rules(key) if path.startswith(r[3])), (None, default)) if key else (None, default)
-                names.append(found[0])
-                verdicts.append(found[1])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], schema=SCHEMA)
-
-    ordered = urls.repartitionByRange("key", "path", "page_id").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
-
-
-def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Rule tables of any size: each url meets the rules of its host's parents by equal keys."""
-    given = rules.select(key_of(F.col("host")).alias("rule_key"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    distinct = urls.select("key", "path").distinct()
-    parts = F.split("key", "/", -1)
-    parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    near = distinct.where("key <> ''").select("key", "path", F.explode(parents).alias("rule_key"))
-    met = near.join(given, "rule_key").where(F.expr("startswith(path, rule_path)"))
-    best = met.groupBy("key", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("rule_verdict"))).alias("best"))
-    return urls.join(best, ["key", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+            at, names, verdicts = [], [], []
+            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("role", "key", "host", "path", "verdict"))
+            for i, (role, key, host, path, verdict) in enumerate(zip(*columns, strict=True)):
+                if not role:
+                    sweep.open(key, host, path, verdict)
+                    continue
+                name, found = sweep.judge(key, path) if key else (None, default)
+                at.append(i)
+                names.append(name)
+                verdicts.append(found)
+            own = b.select(["page_id", "host", "path"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], schema=SCHEMA)
+
+    return both.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")

@@ -26,9 +26,9 @@ def brute(url, rules, default="allow"):
     return host, path, best and best[2], best[3] if best else default
 
 
-def check(spark, urls, rules, given=None):
+def check(spark, urls, rules, given=None, cells=None):
     pages = frame(spark, [(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, key int")
-    found = url_filters.judge(pages, given if given is not None else rules).collect()
+    found = url_filters.judge(pages, given if given is not None else rules, cells=cells).collect()
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found} == {i: brute(u, rules) for i, u in enumerate(urls)}
     assert len(found) == len(urls)
 
@@ -54,15 +54,27 @@ def test_one_host_has_most_urls(spark):
     check(spark, ["http://hot.example.com/en/" + str(i) for i in range(300)] + URLS, RULES)
 
 
-def test_rule_tables(spark, monkeypatch):
-    """The same from a table of rules, sent to all tasks or, if it is large, joined."""
+@pytest.mark.parametrize("cells", [1, 2, 7, 60])
+def test_rule_tables(spark, cells):
+    """The same from a table of rules, however many cells there are."""
     urls, rules = many(200)
+    urls += ["http://a.b.c/x/y"] * 100
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
-    check(spark, urls, rules, table)
-    monkeypatch.setattr(url_filters, "MAX_RULES", 10)
-    check(spark, urls, rules, table)
-    with pytest.raises(ValueError):
-        url_filters.judge(frame(spark, [], "page_id long, url string"), rules)
+    check(spark, urls, rules, table, cells)
+    check(spark, urls, rules, None, cells)
+
+
+def test_contradicting_rules(spark):
+    """One order of ties, whatever comes first and however many rules there are; rules without host or verdict say nothing."""
+    urls = ["http://a.com/x", "http://b.a.com/x/y", "http://z.org/"]
+    some = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "b.a.com", "/x"), ("allow", "b.a.com", "/x")]
+    for rules in (some, some[::-1]):
+        check(spark, urls, rules)
+        more = rules + [("allow", f"h{i}.a.com", "/x") for i in range(3000)]
+        check(spark, urls, more, spark.createDataFrame(more, "verdict string, host string, path string"), 9)
+        assert not url_filters._bounds(spark.createDataFrame([], "at string"), 9)
+    nulls = spark.createDataFrame([*some, (None, "z.org", "/"), ("block", None, "/"), ("block", "z.org", None)], "verdict string, host string, path string")
+    check(spark, urls, [*some, ("block", "z.org", "")], nulls)
 
 
 def test_repeated_rows_and_empty(spark):
