@@ -23,6 +23,7 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 SPACES = "\t-\r \x85\xa0"
 BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
+BEYOND_BMP = re.compile("[^\x00-\uffff]")
 
 #: White space that separates words in the contracts: space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,13 +53,13 @@ _used = 0.0
 
 
 class BoundedCache:
-    """A worker's memory of values by string, in two generations of at most `limit` entries: the older one is dropped when the
-    younger is full, so memory stays bounded."""
+    """A worker's memory of values by string, in two generations of at most `limit` entries (a long string counts for several):
+    the older one is dropped when the younger is full, so memory stays bounded."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 200_000):
         self.young: dict = {}
         self.old: dict = {}
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.size = compute, limit, 0
 
     def ready(self, keys: list[str]) -> dict:
         """A dictionary that holds every one of `keys`."""
@@ -66,15 +67,20 @@ class BoundedCache:
         _used = time.monotonic()
         missing = set(filterfalse(self.young.__contains__, keys))
         if missing:
-            if len(self.young) + len(missing) > self.limit and self.young:
-                self.old, self.young = self.young, {}
+            if self.size + self._weight(missing) > self.limit and self.young:
+                self.old, self.young, self.size = self.young, {}, 0
                 missing = set(keys)
+            self.size += self._weight(missing)
             found = {k: self.old[k] for k in missing if k in self.old}
             self.young.update(found)
             if rest := [k for k in missing if k not in found]:
                 self.young.update(zip(rest, self.compute(rest), strict=True))
         return self.young
 
+    @staticmethod
+    def _weight(keys: set) -> int:
+        return len(keys) + sum(map(len, keys)) // 64
+
     def values(self, keys: list[str]) -> list:
         """The value of each of `keys`, by one look-up for each that is held."""
         out = list(map(self.young.get, keys))

@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BEYOND_LATIN1, LETTERS, NUMBERS, SPACES, BoundedCache, chunks, cut, once, rows, ship
+from tessera.llm.pretokens import SPACE_KINDS, class_of
 
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+
+@cache
+def white_space() -> re.Pattern:
+    return re.compile(f"[{class_of(0xFFFF, *SPACE_KINDS)}]+")
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of texts in one worker, word by word through a bounded cache; texts beyond U+00FF go to the tokenizer whole."""
+    """Ids of texts in one worker, through a bounded cache: word by word, and what stands between white space as a whole where
+    it has a code point above U+00FF (its lower case and composed form may depend on its neighbours; white space parts them)."""
 
     def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +61,12 @@ class WordTokenizer:
     def _encode(self, words: list[str]) -> list[bytes]:
         """Many words go to the tokenizer as one text, with spaces between: each is a piece of its own and ends with the only
         token that closes a word, where the ids are cut. Should the ends not be as many as the words, each goes alone."""
+        if any(map(BEYOND_LATIN1.search, words)):
+            wide = [w for w in words if BEYOND_LATIN1.search(w)]
+            found = dict(zip(wide, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(wide, add_special_tokens=False)), strict=True))
+            plain = [w for w in words if w not in found]
+            found |= zip(plain, self._encode(plain), strict=True)
+            return [found[w] for w in words]
         out: list[bytes] = []
         for k in range(0, len(words), 1000):
             some = words[k : k + 1000]
@@ -67,14 +83,20 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if BEYOND_LATIN1.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.split and self.split.search(text):
             return b"".join(self.special[p] if p in self.special else self._plain(p) for p in self.split.split(text))
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        words = WORD_PIECES.findall(text.lower())
+        if not BEYOND_LATIN1.search(text):
+            words = WORD_PIECES.findall(text.lower())
+        else:
+            words = []
+            for part in white_space().split(text):
+                if BEYOND_LATIN1.search(part):
+                    words.append(part)
+                else:
+                    words += WORD_PIECES.findall(part.lower())
         return b"".join(self.cache.values(words))
 
 

@@ -48,6 +48,18 @@ def classes() -> np.ndarray:
     return of
 
 
+def class_of(last: int, *kinds: int) -> str:
+    """The inside of a regular expression's brackets: all code points up to `last` whose class is one of `kinds`."""
+    inside = np.isin(classes()[: last + 1], kinds)
+    inside[0xD800:0xE000] = False
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).tolist()
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+#: Kinds of letters, of numbers and of white space.
+LETTER_KINDS, NUMBER_KINDS, SPACE_KINDS = (LETTER, S_T_M_D, R_, V_, E_, L_), (NUMBER,), (SPACE, WHITE)
+
+
 def _step(state: int, kind: int) -> int:
     if kind == RESET:
         return START

@@ -175,16 +175,22 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Mod
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of `docs` (doc_id, text)."""
-    return _scored(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored, name = _scored(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` with a score of at least `threshold`, with all their columns."""
-    return _scored(docs, model).where(F.col("score") >= threshold).drop("score")
+    """The rows of `docs` with a score of at least `threshold`, with all their columns, whatever they are called."""
+    scored, name = _scored(docs, model)
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """`docs` with the score in a column of a name that none of its own has, and that name."""
     ship(docs.sparkSession)
+    name, taken = "score", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
     odds, bias = model.odds()
     given = docs.sparkSession.sparkContext.broadcast((odds.tobytes(), bias, model.p))
 
@@ -193,6 +199,6 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         scorer = once(("quality", hash(data), bias, p), lambda: Scorer(np.frombuffer(data), bias, p))
         for b in batches:
             scores = [scorer.score(t) for (t,) in rows(iter([b]), "text")]
-            yield b.append_column("score", pa.array(scores, pa.float64()))
+            yield b.append_column(name, pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name

@@ -5,7 +5,8 @@ lengths, broadcast (its size is a parameter) and opened as a hash table once per
 not in it is encoded once by the tokenizer itself and remembered in the worker's bounded cache. Pre-tokens are never
 shuffled, and no count depends on what either tier holds.
 
-Texts with a code point above U+00FF go to the tokenizer whole, since its Unicode version decides their classes.
+All texts go this way: the pattern's classes of letters, numbers and white space are those of `pretokens`, of all code points,
+written up to U+00FF, U+FFFF or the last one as a text needs, since short classes are matched faster.
 
 Nulls and empty texts count 0 tokens and 0 bytes. Repeated rows each give a row. Other columns are ignored.
 """
@@ -17,16 +18,31 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import BEYOND_LATIN1, LETTERS, NUMBERS, SPACES, BoundedCache, arrow, once, rows, ship
+from tessera.llm.common import BEYOND_BMP, BEYOND_LATIN1, LETTERS, NUMBERS, SPACES, BoundedCache, arrow, once, rows, ship
+from tessera.llm.pretokens import LETTER_KINDS, NUMBER_KINDS, SPACE_KINDS, class_of
 
-PRETOKEN = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
+
+def _pretoken(letters: str, numbers: str, spaces: str) -> re.Pattern:
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+PRETOKEN = _pretoken(LETTERS, NUMBERS, SPACES)
+
+
+@cache
+def pretoken_upto(last: int) -> re.Pattern:
+    return _pretoken(*(class_of(last, *kinds) for kinds in (LETTER_KINDS, NUMBER_KINDS, SPACE_KINDS)))
+
+
+def pretokens_of(text: str) -> list[str]:
+    if not BEYOND_LATIN1.search(text):
+        return PRETOKEN.findall(text)
+    return pretoken_upto(0x10FFFF if BEYOND_BMP.search(text) else 0xFFFF).findall(text)
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
@@ -55,15 +71,13 @@ class Lengths:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if BEYOND_LATIN1.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
         if self.special and self.special.search(text):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self._plain, parts))
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        found = PRETOKEN.findall(text)
+        found = pretokens_of(text)
         known = list(map(self.first.get, found))
         if None not in known:
             return sum(known)
@@ -72,21 +86,24 @@ class Lengths:
         return sum(filter(None, known)) + sum(map(held.__getitem__, rest))
 
 
-def frequent_lengths(docs: DataFrame, path: str, size: int, sample_rows: int, parts: int = 4) -> tuple[str, bytes]:
-    """The lengths of the most frequent pre-tokens among `sample_rows` rows, at most `size`. The rows are the first of some
-    `parts` partitions: each partition tallies its own to one row, and only as many run as the limit asks for, so nothing is
-    shuffled. The sample only decides which lengths are shipped ahead."""
+def frequent_lengths(docs: DataFrame, path: str, size: int, sample_rows: int) -> tuple[str, bytes]:
+    """The lengths of the most frequent pre-tokens, at most `size`, among about `sample_rows` rows drawn from all of the table.
+    Each partition tallies what is drawn from it to one row, so nothing is shuffled, and the driver gets no more than those
+    rows' own pre-tokens. The draw only decides which lengths are shipped ahead."""
+    if not (n := docs.count()):
+        return "", b""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for (text,) in islice(rows(batches, "text"), sample_rows // parts):
-            if text and not BEYOND_LATIN1.search(text):
-                seen.update(t for t in PRETOKEN.findall(text) if "\x01" not in t)
+        for (text,) in rows(batches, "text"):
+            if text:
+                seen.update(t for t in pretokens_of(text) if "\x01" not in t and len(t) < 64)
         if top := seen.most_common(size):
             yield pa.RecordBatch.from_pydict({"t": pa.array([[t for t, _ in top]], pa.list_(pa.string())), "n": pa.array([[n for _, n in top]], pa.list_(pa.int64()))})
 
     total: Counter = Counter()
-    for found in docs.select("text").mapInArrow(tally, "t array<string>, n array<long>").limit(parts).collect():
+    drawn = docs.select("text").sample(min(1.0, sample_rows / n), 1)
+    for found in drawn.mapInArrow(tally, "t array<string>, n array<long>").collect():
         total.update(dict(zip(found["t"], found["n"], strict=True)))
     if not (top := [t for t, n in total.most_common(size) if n > 1]):
         return "", b""

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import byte_bpe, packing, pretokens, queries, token_counts
+from tessera.llm import byte_bpe, common, packing, pretokens, queries, token_counts
 from tests.llm.helpers import frame
 
 SCHEMA = "doc_id long, text string, ids string, length int"
@@ -71,6 +71,37 @@ def test_small_cache_counts_alike():
         assert counter.count(t) == len(tok.encode(t or "", add_special_tokens=False).ids)
 
 
+WIDE = ["“curly” quotes—dashes… and € signs, it’s ‘so’", "中文字符，没有空格的一段文字。日本語のテキスト", "emoji 😀 👩‍👩‍👧 🇩🇪 and ① Ⅷ 𝔘𝔫𝔦 𐐀𐐁", "ΣΑΣ Σ ΟΔΥΣΣΕΥΣ. İstanbul ǅ ẞ", "e\u0301 a\u0308\u0323 \u0301x K Å ﬁ", "a\u2003b\u3000c\u2028d\u1680 e\u200bf\ufeff g", "don’t 'll ’ll it's “it's”", "क्षि हिन्दी ไทย עברית العربية ٣٤ 12٣", "a\u00a0“\u0085”\u2029"]
+
+
+def test_wide_texts_go_through_both_tiers(monkeypatch):
+    """Counts and ids of texts beyond U+00FF are the libraries', and no such text is encoded whole."""
+    r = random.Random(3)
+    signs = "ab Z1'.,\n’“”—€é中文😀Σς\u0301\u2003\u3000ıİǅ٣"
+    texts = WIDE + [" ".join(WIDE)] + ["".join(r.choice(signs) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    a, b = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
+    counter, words = token_counts.Lengths(public_tokenizers.path("byte_bpe_50k.json")), packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for t in texts:
+        assert counter.count(t) == len(a.encode(t, add_special_tokens=False).ids), t
+        assert words.ids(t) == np.array(b.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert "“" in counter.second.young and " quotes" in counter.second.young
+    assert "“curly”" in words.cache.young and "quotes" not in words.cache.young and "dashes" not in words.cache.young
+
+
+def test_frequent_table_holds_wide_pretokens(spark):
+    docs = frame(spark, [(i, "“so” — 中文 é", None, None) for i in range(50)], SCHEMA)
+    table, lengths = token_counts.frequent_lengths(docs, public_tokenizers.path("byte_bpe_50k.json"), 100, 40)
+    assert {"“", "so", "”", " —", " 中文", " é"} <= set(table.split("\x01")) and len(lengths) == 2 * len(table.split("\x01"))
+
+
+def test_caches_stay_bounded():
+    cache = common.BoundedCache(lambda keys: [k + "!" for k in keys], 10)
+    for i in range(200):
+        key = str(i) * (1 + 40 * (i % 7))
+        assert cache.values([key, "0"]) == [key + "!", "0!"]
+        assert len(cache.young) + len(cache.old) <= 22
+
+
 # Operator 9
 def test_round_trip(spark, documents):
     enc = encoding()
