@@ -38,6 +38,7 @@ class Tagger:
         for d in "fb":
             w["t" + d] = rng.normal(0, 0.3, (VOCABULARY, 4 * hidden))
             w["t" + d][:, hidden : 2 * hidden] += 1.0  # remember at first
+            w["t" + d][PAD, : 2 * hidden] = -60.0  # padding takes nothing in and keeps nothing: it can't be told from no text
             w["u" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
         w["o"] = rng.normal(0, 0.3, (2 * hidden, LABELS))
         w["c"] = np.zeros(LABELS)
@@ -135,113 +136,140 @@ class Tagger:
         out.h, out.w = self.h, {k: p.astype(np.float32) for k, p in self.w.items()}
         return out
 
-    def tag(self, texts: list[str], width: int = 96, step: int = 64, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
-        """Spans of whole texts. Overlapping windows cover every digit and "@" (no span is without); each position's scores
-        are averaged over its windows, nearer to the middle counting more, and one Viterbi pass over each run of touching
-        windows decodes them together."""
-        weight = np.minimum(np.arange(1, width + 1), np.arange(width, 0, -1)).astype(np.float32)
-        coded = [codes(t) for t in texts]
-        windows: list[tuple[int, int]] = []
-        runs: list[tuple[int, int, int, int, int]] = []  # text, start, end, first window, windows
-        for n, c in enumerate(coded):
-            at = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64))
-            if not len(at):
-                continue
-            # Window w is [w * step - lead, ...): all windows that hold a trigger.
-            lead = width - step
-            low = np.maximum(0, -((width - 1 - lead - at) // step))
-            high = (at + lead) // step
-            chosen = np.unique(np.concatenate([np.minimum(low + k, high) for k in range(-(-width // step))]))
-            groups = np.split(chosen, np.flatnonzero(np.diff(chosen) > 1) + 1)
-            for g in groups:
-                runs.append((n, int(g[0]) * step - lead, int(g[-1]) * step - lead + width, len(windows), len(g)))
-                windows += [(n, w * step - lead) for w in g.tolist()]
-        if not windows:
-            return [[] for _ in texts]
-        scores = np.empty((len(windows), width, LABELS), np.float32)
-        for k in range(0, len(windows), batch):
-            x = np.full((width, len(windows[k : k + batch])), PAD, np.int32)
-            for j, (n, a) in enumerate(windows[k : k + batch]):
-                own = coded[n][max(a, 0) : a + width]
-                x[max(-a, 0) : max(-a, 0) + len(own), j] = own
-            scores[k : k + batch] = self.emissions(x).transpose(1, 0, 2)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """`emissions` in single precision, both directions side by side. Three gates are sigmoids, (1 + tanh(z / 2)) / 2: their
+        weights are halved once, so one tanh serves all four."""
+        h, (time, batch) = self.h, x.shape
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])
+        table = np.concatenate([self.w["tf"], self.w["tb"]]).astype(np.float32) * half
+        u = np.stack([self.w["uf"], self.w["ub"]]).astype(np.float32) * half
+        both = np.stack([x, x[::-1] + VOCABULARY], 1)
+        out = np.empty((time, batch, 2 * h), np.float32)
+        state, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
+        for k in range(time):
+            z = np.matmul(state, u)
+            z += table[both[k]]
+            np.tanh(z, out=z)
+            s = z[..., : 3 * h]
+            s *= 0.5
+            s += 0.5
+            cell *= s[..., h : 2 * h]
+            cell += s[..., :h] * z[..., 3 * h :]
+            np.multiply(np.tanh(cell), s[..., 2 * h :], out=state)
+            out[k, :, :h], out[time - 1 - k, :, h:] = state[0], state[1]
+        return out @ self.w["o"].astype(np.float32) + self.w["c"].astype(np.float32)
+
+    def tag(self, texts: list[str], width: int = 512, overlap: int = 96, cells: int = 262_144) -> list[list[tuple[str, int, int]]]:
+        """Spans of whole texts. Windows of a bounded width cover every character and overlap; each is scored and decoded by
+        itself. They are reconciled over all of a text: each position has the label of the window it lies deepest in, so
+        windows meet in the middle of their overlaps, and spans are the runs of one label across all windows."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        joined = codes("".join(texts))
+        labels = np.zeros(len(joined), np.int8)
+        # First position, length, and how much of either end is left to the neighbours.
+        windows = [(int(begin) + a, min(width, size - a), overlap // 2 if a else 0, overlap // 2 if a + width < size else 0) for begin, size in zip(begins.tolist(), sizes.tolist(), strict=False) if size for a in range(0, max(1, size - overlap), width - overlap)]
+        windows.sort(key=lambda w: w[1])  # windows of a batch are about as long
+        while windows:
+            longest = windows[-1][1]
+            some = windows[-max(1, cells // longest) :]
+            del windows[-len(some) :]
+            x = np.full((len(some), longest), PAD, np.int32)
+            for j, (a, n, _, _) in enumerate(some):
+                x[j, :n] = joined[a : a + n]
+            e = self.scores(np.ascontiguousarray(x.T)).transpose(0, 2, 1).copy()
+            lengths = np.array([n for _, n, _, _ in some])
+            short = np.flatnonzero(lengths < longest)
+            if len(short):  # behind a window: "none", and the step to it costs nothing
+                e += np.where((np.arange(longest)[:, None] >= lengths)[:, None, :], np.array([0] + [-1e4] * (LABELS - 1), np.float32)[None, :, None], np.float32(0))
+                e[lengths[short] - 1, :, short] -= self.w["a"][:, 0].astype(np.float32)
+            found = np.ascontiguousarray(self._viterbi(e).T)
+            for own, (a, n, left, right) in zip(found, some, strict=True):
+                labels[a + left : a + n - right] = own[left : n - right]
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        order = sorted(range(len(runs)), key=lambda r: runs[r][2] - runs[r][1])
-        span = lambda r: runs[r][2] - runs[r][1]
-        while order:  # longest first, so that padding is short and its cells are bounded by the longest run's, or a million
-            long = span(order[-1])
-            some = [runs[r] for r in order[-max(1, min(256, 1_000_000 // long)) :]]
-            del order[-len(some) :]
-            e = np.zeros((long, len(some), LABELS), np.float32)
-            for j, (_, a, b, first, count) in enumerate(some):
-                total, norm = np.zeros((b - a, LABELS), np.float32), np.zeros((b - a, 1), np.float32)
-                for w in range(count):
-                    total[w * step : w * step + width] += scores[first + w] * weight[:, None]
-                    norm[w * step : w * step + width] += weight[:, None]
-                e[: b - a, j] = total / norm
-                e[b - a :, j, 1:] = -1e4
-            for (n, a, _, _, _), labels in zip(some, self._viterbi(e).T, strict=True):
-                edge = np.flatnonzero(np.diff(labels, prepend=0, append=0))
-                for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    if labels[s] and a + s >= 0 and a + t <= len(coded[n]):
-                        found[n].append((KINDS[labels[s] - 1], a + s, a + t))
-        return [sorted(f, key=lambda x: x[1]) for f in found]
+        turns = np.flatnonzero(np.diff(labels, prepend=0) != 0)
+        turns = np.unique(np.concatenate((turns, begins[(begins > 0) & (begins < len(labels))], [len(labels)])))
+        for s, t in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
+            if labels[s]:
+                n = int(np.searchsorted(begins, s, "right")) - 1
+                found[n].append((KINDS[labels[s] - 1], s - int(begins[n]), t - int(begins[n])))
+        return found
 
     def _viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best labels (time, batch)."""
-        back = np.empty(e.shape, np.int8)
+        """Best labels (time, batch) of scores (time, label, batch)."""
+        a = self.w["a"].astype(e.dtype)[:, :, None]
+        back = np.zeros(e.shape, np.int8)
         best = e[0]
         for k in range(1, len(e)):
-            s = best[:, :, None] + self.w["a"]
-            back[k] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[k]
-        out = np.empty(e.shape[:2], np.int8)
-        out[-1] = best.argmax(axis=1)
-        rows = np.arange(e.shape[1])
+            top = best[0] + a[0]
+            for p in range(1, LABELS):
+                other = best[p] + a[p]
+                back[k][other > top] = p
+                np.maximum(top, other, out=top)
+            best = top + e[k]
+        out = np.empty((len(e), e.shape[2]), np.int8)
+        out[-1] = best.argmax(axis=0)
+        columns = np.arange(e.shape[2])
         for k in range(len(e) - 1, 0, -1):
-            out[k - 1] = back[k][rows, out[k]]
+            out[k - 1] = back[k][out[k], columns]
         return out
 
 
 def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Texts with labelled spans: prose of invented syllables around personal data in usual and unusual spellings, and
-    around numbers that are none (dates, versions, amounts, tokens)."""
+    around numbers and words that are none (dates, versions, amounts, tokens, "at" and "dot" in prose)."""
     r = random.Random(seed)
-    syllables = "an er the on re ti ha en st ing ou ea nd de que la ch ge ung ció os ado é".split()
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    syllables = "an er the on re ti ha en st ing ou ea nd de que la ch ge ung ció os ado é lo mi ba ku sa".split()
+    plain = lambda: "".join(r.choice(syllables[:19]) for _ in range(r.randint(1, 4)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
+    def word() -> str:
+        w = "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+        return r.choice([w] * 8 + [w.capitalize(), w.capitalize(), w.upper(), r.choice(["at", "dot", "the", "of", "a", "und", "y", "point"])])
+
     def email() -> str:
-        at = r.choice(["@"] * 4 + [" @ ", "(@)", " @"])
-        return word() + r.choice(["", "." + word(), "_" + digits(2), "." + digits(2)]) + at + word() + r.choice(["", digits(1)]) + "." + r.choice(["com", "org", "example.com", "net", "de"])
+        local = plain() + r.choice(["", "." + plain(), "_" + digits(2), "." + digits(2), "+" + plain()])
+        local = local.capitalize() if r.random() < 0.2 else local
+        at, dot = r.choice([("@", ".")] * 4 + [(" @ ", "."), (" @", "."), ("(@)", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", " [dot] "), *[(" at ", " dot ")] * 3, ("(at)", "(dot)"), (" AT ", " DOT "), ("@", " . "), ("@", "[.]")])
+        return local + at + plain() + r.choice(["", digits(1), "-" + plain()]) + dot + r.choice(["com", "org", "example.com", "net", "de", "fr", "io"])
 
     def ip() -> str:
-        return r.choice(["."] * 3 + ["[.]", " . "]).join(str(r.randint(0, 255)) for _ in range(4))
+        return r.choice(["."] * 3 + ["[.]", " . ", "(.)", "[dot]", ". "]).join(str(r.randint(0, 255)) for _ in range(4))
 
     def card() -> str:
-        d = [r.randint(0, 9) for _ in range(15)]
-        s = sum(x if i % 2 else (2 * x - 9 * (x > 4)) for i, x in enumerate(d))
+        size, some = r.choice([16] * 6 + [15, 13, 19]), r.choice(["0123456789"] * 3 + [digits(2), "41", "5"])
+        d = [int(r.choice(some)) for _ in range(size - 1)]
+        s = sum(x if (size - i) % 2 else (2 * x - 9 * (x > 4)) for i, x in enumerate(d))
         d = "".join(map(str, d)) + str(-s % 10)
-        return r.choice([d, d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)), ".".join(d[k : k + 4] for k in range(0, 16, 4))])
+        sep = r.choice(["", " ", "-", ".", ".", "/", "  ", " - ", "_"])
+        return sep.join(d[k : k + 4] for k in range(0, size, 4))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"00{digits(2)} {a} {b}{c}", f"+{digits(2)}{a}{b}{c}"])
+        return r.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"00{digits(2)} {a} {b}{c}", f"00{digits(2)}{a}{b}{c}", f"+{digits(2)}{a}{b}{c}", f"+{digits(2)}/{a}/{b}{c}", f"0{a}/{b}{c}", f"+1 {a}/{b}-{c}"])
 
     def other() -> str:
-        return r.choice([f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 99999)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))), "password=" + "".join(r.choice("0123456789abcdef") for _ in range(18)), f"{r.randint(1, 999)},{digits(2)}", "AKIA" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(16)), f"{digits(2)}:{digits(2)}", "v" + digits(1) + "." + digits(2) + "." + digits(1)])
+        year, month, day = r.randint(1900, 2030), r.randint(1, 12), r.randint(1, 28)
+        return r.choice([
+            f"{year}-{month:02d}-{day:02d}", f"{day}.{month}.{year}", f"{day:02d}/{month:02d}/{year}", f"{year}-{month:02d}-{day:02d} {digits(2)}:{digits(2)}", f"{year}", f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 99999)}",
+            "".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 32, 40]))), "password=" + "".join(r.choice("0123456789abcdef") for _ in range(18)), f"{r.randint(1, 999)},{digits(2)}", f"{r.randint(1, 99)}.{digits(3)}.{digits(3)},{digits(2)}", "AKIA" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(16)),
+            f"{digits(2)}:{digits(2)}", "v" + digits(1) + "." + digits(2) + "." + digits(1), f"{digits(1)}.{digits(1)}.{digits(1)}", f"#{digits(6)}", f"{digits(10)}", f"{digits(16)}", f"No. {digits(4)}-{digits(4)}", f"pp. {digits(3)}-{digits(3)}", f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+            f"{plain()} at {plain()}. {plain()}", f"@{plain()}", f"{plain()}.{plain()}", f"http://{plain()}.{plain()}.com/{digits(3)}", f"{digits(3)} + {digits(3)} = {digits(3)}", f"{digits(1)}, {digits(1)}, {digits(2)}, {digits(2)}", "-" * r.randint(3, 20), "*" * r.randint(2, 9), "<br>", "{}()[];", "...",
+        ])
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    lead = {"email": ["mail ", "e-mail: ", "write to "], "ip": ["from ", "host ", "IP "], "card": ["card ", "Visa ", "no. "], "phone": ["call ", "tel. ", "Tel: ", "phone "]}
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(2, 5)):
-            text += " ".join(word() for _ in range(r.randint(1, 6))) + r.choice([" ", " ", " ", ": ", "\n", " ("])
+            text += " ".join(word() + r.choice([""] * 9 + [",", ".", ":"]) for _ in range(r.randint(1, 9) if r.random() < 0.8 else r.randint(10, 60))) + r.choice([" ", " ", " ", ": ", "\n", " ("])
             if r.random() < 0.6:
                 kind = r.choice(KINDS)
+                text += r.choice(lead[kind]) if r.random() < 0.4 else ""
                 s = make[kind]()
                 spans.append((kind, len(text), len(text) + len(s)))
-                text += s
+                text += s + (r.choice([" " + digits(3), " cvv " + digits(3), " 12/27"]) if kind == "card" and r.random() < 0.2 else "")
             else:
                 text += other()
             text += r.choice([" ", ". ", ", ", "\n", " ", "! ", ") "])
@@ -250,6 +278,6 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 
 @cache
-def trained(examples: int = 3000, seed: int = 5) -> Tagger:
+def trained(examples: int = 4000, seed: int = 5, hidden: int = 12, steps: int = 1000) -> Tagger:
     """The tagger that the queries use; seeded, so it is the same in every session, and made once in each."""
-    return Tagger(seed=seed).train(labelled(examples, seed), seed=seed).single()
+    return Tagger(hidden, seed).train(labelled(examples, seed), width=160, batch=32, steps=steps, seed=seed).single()

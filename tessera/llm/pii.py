@@ -3,7 +3,7 @@
 Base spans are the contract's patterns, leftmost and without overlap in each kind, with its checks (parts of an address,
 digits and Luhn of a card, digits of a phone number); a match that fails its check is dropped and not retried. The model
 (`char_tagger`, trained in numpy from labelled spans) adds spans that overlap no base span and pass a plausibility check of
-their kind. Every added span holds a digit or "@", so windows without either are not read by the model: they can't give one.
+their kind. It reads every character of every text.
 
 Whole texts are read. Null and empty texts have no spans. Repeated rows each give a row. `redact` keeps every column and
 puts the kind's mark in the place of each span; overlapping spans are replaced as one, under the kind that begins first.
@@ -73,34 +73,42 @@ def _order(span: Span) -> tuple[int, int]:
     return span[1], KINDS.index(span[0])
 
 
+AT = r"(?:\s*@\s*|\s*[(\[]\s*(?:@|at|AT)\s*[)\]]\s*|\s+(?:at|AT)\s+)"
+POINT = r"(?:\.|\s\.\s|\s*[(\[]\s*(?:\.|dot|DOT)\s*[)\]]\s*|\s+(?:dot|DOT)\s+)"
+EMAIL_LIKE = re.compile(rf"[A-Za-z0-9._%+-]+{AT}[A-Za-z0-9-]+(?:{POINT}[A-Za-z0-9-]+)*{POINT}[A-Za-z]{{2,24}}")
+IP_LIKE = re.compile(rf"[0-9]{{1,3}}(?:(?:{POINT}|\.\s)[0-9]{{1,3}}){{3}}")
+CARD_LIKE = re.compile(r"[0-9](?:[\s./_-]{0,3}[0-9])+")
+PHONE_LIKE = re.compile(r"(?:\+|00|0|\()?[0-9(][0-9\s()./-]*[0-9]")
+DATE_LIKE = re.compile(r"(?:1[89]|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:1[89]|20)[0-9]{2}")
+
+
 def plausible(kind: str, text: str) -> bool:
-    """A check of what the model adds."""
+    """A check of what the model adds: the shape of its kind, and the base patterns' checks of numbers. A phone number has a
+    separator, or begins with "+" or "00"; a date is none."""
     digits = NOT_DIGIT.sub("", text)
     if kind == "email":
-        return "@" in text and "." in text and len(text) <= 254
+        return len(text) <= 254 and EMAIL_LIKE.fullmatch(text) is not None
     if kind == "ip":
-        parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(text) <= 32
+        return len(text) <= 40 and IP_LIKE.fullmatch(text) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", text))
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits) and len(text) <= 40
-    return 9 <= len(digits) <= 15 and len(text) <= 32 and not re.search("[A-Za-z]", text)
+        return len(text) <= 64 and 12 <= len(digits) <= 19 and CARD_LIKE.fullmatch(text) is not None and luhn(digits)
+    separate = len(digits) < len(text) or text.startswith(("+", "00"))
+    return len(text) <= 32 and 9 <= len(digits) <= 15 and separate and PHONE_LIKE.fullmatch(text) is not None and not DATE_LIKE.search(text)
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and these with what the model adds, of each text."""
     base = [base_spans(t) for t in texts]
-    some = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
-    both = [(b, b) for b in base]
-    for i, tagged in zip(some, tagger.tag([texts[i] for i in some]), strict=True):
-        ends = sorted((s, e) for _, s, e in base[i])
+    both = []
+    for text, own, tagged in zip(texts, base, tagger.tag([t or "" for t in texts]), strict=True):
+        ends = [(s, e) for _, s, e in own]
         added = []
         for kind, s, e in tagged:
-            piece = texts[i][s:e]
-            s, e = s + len(piece) - len(piece.lstrip()), e - (len(piece) - len(piece.rstrip()))
-            if s < e and plausible(kind, texts[i][s:e]) and not _meets(ends, s, e):
+            piece = text[s:e].rstrip(" \t\r\n.,:;!?")
+            s, e = s + len(piece) - len(piece.lstrip()), s + len(piece)
+            if s < e and plausible(kind, text[s:e]) and not _meets(ends, s, e):
                 added.append((kind, s, e))
-        if added:
-            both[i] = (base[i], sorted(base[i] + added, key=_order))
+        both.append((own, sorted(own + added, key=_order) if added else own))
     return both
 
 

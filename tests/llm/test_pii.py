@@ -1,6 +1,7 @@
 """Personal data: base spans against the contract's patterns, and what the model adds."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -75,10 +76,53 @@ def test_model_finds_unusual_spellings():
     truth = [(i, *s) for i, (_, spans) in enumerate(examples) for s in spans]
     got = [(i, *s) for i, spans in enumerate(found) for s in spans]
     hit = len(set(truth) & set(got))
-    assert hit / len(truth) > 0.85 and hit / len(got) > 0.85
+    assert hit / len(truth) > 0.95 and hit / len(got) > 0.95
     both = pii.all_spans([t for t, _ in examples], tagger)
     missed = [(i, s) for i, (_, spans) in enumerate(examples) for s in spans if s not in both[i][0]]
-    assert sum(s in both[i][1] for i, s in missed) > 0.5 * len(missed)
+    missed = [(i, s) for i, s in missed if not any(a < s[2] and s[1] < e for _, a, e in both[i][0])]  # base spans stay
+    assert len(missed) > 300 and sum(s in both[i][1] for i, s in missed) > 0.95 * len(missed)
+    added = [(i, s) for i, (base, spans) in enumerate(both) for s in spans if s not in base]
+    assert sum(s in examples[i][1] for i, s in added) > 0.98 * len(added)
+
+
+@pytest.mark.parametrize("kind,spelling", [("card", "4111.1111.1111.1111"), ("card", "5555/5555/5555/4444"), ("card", "4111  1111  1111  1111"), ("phone", "(555) 123-4567"), ("phone", "555.867.5309"), ("phone", "0049 170 1234567"), ("ip", "192[.]168[.]10[.]1"), ("ip", "10 . 20 . 30 . 40"), ("email", "anna.stone (at) larende.org"), ("email", "Rolande at tingerhan dot com"), ("email", "resti @ landering.de")])
+def test_real_spellings(kind, spelling):
+    """Spellings without a base span; some have neither a digit nor "@", so all of a text must be read."""
+    assert not [s for s in brute(spelling) if s[0] == kind]
+    for before, after in (("the tingen de la ", " and the onder."), ("Erander ouch: ", "\nLa reti onande"), ("nd the anti. " * 70, " that en la chande" * 40)):
+        assert (kind, len(before), len(before) + len(spelling)) in pii.all_spans([before + spelling + after], char_tagger.trained())[0][1], before[-20:]
+
+
+def test_prose_is_left_alone():
+    """Dates, versions, amounts and words are no personal data."""
+    for text in ("meet at noon. Then at the dot of two.", "on 2024-05-12 and 12.05.2024, 2024/05/12 10:30", "version 1.2.3 of 10.4", "1.234.567,89 or 12,50", "pages 123-456", "#123456 is order 4155"):
+        assert pii.all_spans([text * 5], char_tagger.trained())[0][1] == pii.all_spans([text * 5], char_tagger.trained())[0][0], text
+
+
+def test_decoding_is_the_best_path():
+    """Viterbi against all paths; a window's own padding changes nothing."""
+    rng = np.random.default_rng(4)
+    model = char_tagger.Tagger(hidden=3, seed=2)
+    model.w["a"] = rng.normal(0, 1, (5, 5))
+    e = rng.normal(0, 1, (4, 5, 6))
+    found = model._viterbi(e)
+    for j in range(6):
+        score = lambda y, j=j: sum(e[k, y[k], j] for k in range(4)) + sum(model.w["a"][a, b] for a, b in zip(y, y[1:], strict=False))
+        assert tuple(found[:, j]) == max(itertools.product(range(5), repeat=4), key=score)
+    texts = ["tel. (555) 123-4567", "", "x", "mail a @ bonde.de " * 80]
+    tagger = char_tagger.trained()
+    assert tagger.tag(texts) == [tagger.tag([t])[0] for t in texts]
+
+
+def test_single_precision_scores():
+    model = char_tagger.Tagger(hidden=5, seed=3)
+    x = np.random.default_rng(1).integers(0, 130, (40, 7))
+    assert np.allclose(model.scores(x), model.emissions(x), atol=1e-4)
+
+
+def test_repeated_rows(spark):
+    docs = frame(spark, [(1, "call (555) 123-4567"), (1, "call (555) 123-4567"), (None, "a@b.cc")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in pii.find(docs).collect()) == [(0, "email:0:6"), (1, "phone:5:19"), (1, "phone:5:19")]
 
 
 def test_windows_agree_with_the_whole():
