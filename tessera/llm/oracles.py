@@ -53,26 +53,26 @@ REVISITS = f"""WITH p AS (SELECT *, CAST('0x' || substr(md5(CAST(page_id AS VARC
 
 
 def quality_rules_sql() -> str:
-    """Histograms and distances spelled out class by class and word by word."""
-
-    def distance(p: list[str], q: list[float]) -> str:
-        part = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ({m})) ELSE 0 END"
-        terms = " + ".join(f"({part(a, f'({a} + {b!r}) / 2')} + {part(repr(b), f'({a} + {b!r}) / 2')}) / 2" for a, b in zip(p, q, strict=True))
-        return f"sqrt(greatest({terms}, 0))"
-
-    classes = [f"({c}) / chars" for c in ("letters - upper", "upper", "number", "chars - word_chars", "punct", "chars - letters - number - punct - (chars - word_chars)")]
-    langs = quality_rules.WORD_SHARES
-    by_class = " ".join(f"WHEN lang = '{k}' THEN {distance(classes, list(quality_rules._reference(k)))}" for k in langs)
-    words = {k: [f"(len(list_filter(common, lambda w: w = '{w}')) / n)" for w in v] for k, v in langs.items()}
-    by_word = " ".join(f"WHEN lang = '{k}' THEN {distance([*words[k], '(1 - (' + ' + '.join(words[k]) + '))'], [*v.values(), 1 - sum(v.values())])}" for k, v in langs.items())
-    forms = ", ".join(f"'{w}'" for w in quality_rules.COMMON)
+    """References, histograms and distances as lists."""
+    r = quality_rules
+    part = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ({m})) ELSE 0 END"
+    term = f"({part('z[1]', '(z[1] + z[2]) / 2')} + {part('z[2]', '(z[1] + z[2]) / 2')}) / 2"
+    distance = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {term})), 0))"
+    with_rest = lambda p: f"list_append({p}, 1 - list_sum({p}))"
+    classes = {"lower": "letters - upper", "upper": "upper", "number": "number", "space": "chars - word_chars", "punct": "punct", "sign": "chars - letters - number - punct - (chars - word_chars)"}
     return rf"""WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
   g AS (SELECT *, CASE WHEN len(w) < 8 THEN [] ELSE list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) END AS g, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM a),
   y AS (SELECT row_number() OVER () AS id, * FROM g), z AS (SELECT id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM y),
   rep AS (SELECT id, i, lead(i) OVER (PARTITION BY id ORDER BY i) AS j FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS c FROM z) q WHERE c > 1), cov AS (SELECT id, sum(least(8, coalesce(j - i, 8))) AS n FROM rep GROUP BY id),
-  b AS (SELECT doc_id, lang, len(w) AS n, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars,
-    length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS number, length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS punct,
-    list_transform(list_filter(w, lambda x: x IN ({forms})), lambda x: lower(x)) AS common FROM y LEFT JOIN cov USING (id)),
-  c AS (SELECT *, n < 20 OR 100 * n_repeat_words > 30 * n AS base_failed, CASE WHEN chars < {quality_rules.MIN_CHARS} THEN NULL {by_class} END AS class_distance, CASE WHEN n < {quality_rules.MIN_WORDS} THEN NULL {by_word} END AS word_distance FROM b)
+  b AS (SELECT doc_id, lang, w, len(w) AS n, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars,
+    length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS number, length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS punct FROM y LEFT JOIN cov USING (id)),
+  good AS (SELECT * FROM b WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+  sums AS (SELECT lang, sum(n) AS n, sum(chars) AS chars, [{", ".join(f"sum({c})" for c in classes.values())}] AS c FROM good GROUP BY lang HAVING sum(n) >= {r.MIN_REFERENCE_WORDS}),
+  each AS (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(w) AS w FROM good) q WHERE regexp_matches(w, '^\p{{L}}+$') GROUP BY ALL),
+  top AS (SELECT lang, w, c, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS k FROM each QUALIFY k <= {r.COMMON_WORDS}),
+  ref AS (SELECT lang, list(w ORDER BY k) AS ws, list(top.c / sums.n ORDER BY k) AS shares, list_transform(any_value(sums.c), lambda x: x / any_value(chars)) AS cs FROM top JOIN sums USING (lang) GROUP BY lang),
+  lim AS (SELECT *, {with_rest("shares")} AS q, {distance("list_append(list_transform(shares, lambda x: 0.0), 1.0)", with_rest("shares"))} AS without FROM ref),
+  c AS (SELECT b.*, n < 20 OR 100 * n_repeat_words > 30 * n AS base_failed, without, CASE WHEN chars >= {r.MIN_CHARS} AND cs IS NOT NULL THEN {distance("[" + ", ".join(f"({c}) / chars" for c in classes.values()) + "]", "cs")} END AS class_distance,
+    CASE WHEN n >= {r.MIN_WORDS} AND ws IS NOT NULL THEN {distance(with_rest("list_transform(ws, lambda x: len(list_filter(w, lambda y: y = x)) / n)"), "q")} END AS word_distance FROM b LEFT JOIN lim USING (lang))
   SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, round(class_distance, 9) AS class_distance, round(word_distance, 9) AS word_distance,
-    NOT base_failed AND coalesce(class_distance, 0) <= {quality_rules.MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {quality_rules.MAX_WORD_DISTANCE} AS kept FROM c"""
+    NOT base_failed AND coalesce(class_distance, 0) <= {r.MAX_CLASS_DISTANCE} AND coalesce(word_distance <= {r.WORD_LIMIT} * without, TRUE) AS kept FROM c"""

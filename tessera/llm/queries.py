@@ -54,7 +54,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
     return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 

@@ -75,6 +75,9 @@ def test_few_labels_nulls_and_empty(spark):
     one = quality_classifier.fit(docs, frame(spark, [(1, 1), (3, None), (None, 0)], "doc_id long, quality int"))
     assert all(r["score"] > 0.5 for r in quality_classifier.score(docs, one).collect())
     assert quality_classifier.score(frame(spark, [], "doc_id long, text string"), one).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "score", "1 AS score_", "2 AS predicted")
+    assert quality_classifier.keep(clash, one, 0.5).columns == clash.columns
+    assert sorted(str(r["score"]) for r in quality_classifier.keep(clash, one, 0.5).collect()) == ["None", "x", "y"]
 
 
 # The pipeline
@@ -101,9 +104,10 @@ def test_stages_and_columns(stages, small, spark):
     assert all(sorted(s[2].columns) == sorted(columns) for s in stages[:-1])
 
 
-def test_rules_stage(stages):
+def test_rules_stage(stages, spark, small):
     _, before, after = stages[0]
-    assert set(table(after)) == {r["doc_id"] for r in quality_rules.judge(before).where("kept").collect()}
+    references = quality_rules.fit(before, spark.read.parquet(f"{small}/labels.parquet"))
+    assert set(table(after)) == {r["doc_id"] for r in quality_rules.judge(before, references).where("kept").collect()}
     assert 0 < after.count() < before.count()
 
 
@@ -159,6 +163,16 @@ def test_stages_stand_nulls_and_no_rows(spark, small):
         assert f(spark, spark.createDataFrame([], schema), small).count() == 0
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, small):
+    """Names that the operators use themselves."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", "'x' AS score", "doc_id AS key", "1 AS kept", "lang AS ref_lang", "2 AS n_words", "'y' AS component_id", "3 AS row", "text AS t", "4 AS c")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, docs, small)
+        assert after.columns == docs.columns and after.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= 60
+
+
 def test_copies_of_one_text_leave_one(spark):
     docs = frame(spark, [(i, "the same words again and again in one text", "x") for i in range(40)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in minhash.keep(docs).collect()] == [0]
