@@ -13,8 +13,9 @@ from tessera.llm.common import cut, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep(docs)
+    """Documents that the quality rules keep. Their references are the labelled good texts of the whole table of documents."""
+    references = quality_rules.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules.keep(docs, references)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of at most 2048 tokens. The stages before have left workers and compiled
-    code behind, so the tokenizer's cache is half the usual one."""
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), cache=250_000))
+    """The documents' pieces, packed into sequences of at most 2048 tokens and 64 pieces. The stages before have left workers
+    and compiled code behind, so the tokenizer's cache is half the usual one."""
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), cache=250_000), max_docs=64)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classify), ("minhash_dedup", dedup), ("pii", redact), ("packing", pack)]
