@@ -146,20 +146,21 @@ class Tagger:
         both = np.stack([x, x[::-1] + VOCABULARY], 1)
         out = np.empty((time, batch, 2 * h), np.float32)
         state, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
+        z, y, g, t = np.empty((2, batch, 4 * h), np.float32), np.empty((2, batch, 4 * h), np.float32), np.empty_like(cell), np.empty_like(cell)
+        s, i, f, o, c = z[..., : 3 * h], z[..., :h], z[..., h : 2 * h], z[..., 2 * h : 3 * h], z[..., 3 * h :]
         for k in range(time):
-            z = np.matmul(state, u)
-            z += table[both[k]]
+            np.take(table, both[k], axis=0, out=z, mode="clip")
+            z += np.matmul(state, u, out=y)
             np.tanh(z, out=z)
-            s = z[..., : 3 * h]
             s *= 0.5
             s += 0.5
-            cell *= s[..., h : 2 * h]
-            cell += s[..., :h] * z[..., 3 * h :]
-            np.multiply(np.tanh(cell), s[..., 2 * h :], out=state)
+            cell *= f
+            cell += np.multiply(i, c, out=g)
+            np.multiply(np.tanh(cell, out=t), o, out=state)
             out[k, :, :h], out[time - 1 - k, :, h:] = state[0], state[1]
         return out @ self.w["o"].astype(np.float32) + self.w["c"].astype(np.float32)
 
-    def tag(self, texts: list[str], width: int = 512, overlap: int = 96, cells: int = 262_144) -> list[list[tuple[str, int, int]]]:
+    def tag(self, texts: list[str], width: int = 512, overlap: int = 96, cells: int = 524_288) -> list[list[tuple[str, int, int]]]:
         """Spans of whole texts. Windows of a bounded width cover every character and overlap; each is scored and decoded by
         itself. They are reconciled over all of a text: each position has the label of the window it lies deepest in, so
         windows meet in the middle of their overlaps, and spans are the runs of one label across all windows."""

@@ -135,7 +135,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tagger(*given.value)
-        for held in chunks(rows(batches, "doc_id", "text")):
+        for held in chunks(rows(batches, "doc_id", "text"), chars=2_000_000):
             out = []
             for (doc_id, _), (base, spans) in zip(held, all_spans([t for _, t in held], model), strict=True):
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
@@ -169,7 +169,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, length_column: str | N
         model = _tagger(*given.value)
         for b in batches:
             texts: list = []
-            for held in chunks(rows(iter([b]), "text"), text_at=0):
+            for held in chunks(rows(iter([b]), "text"), text_at=0, chars=2_000_000):
                 own = [t for (t,) in held]
                 texts += [t if t is None or not s else mask(t, s) for t, (_, s) in zip(own, all_spans(own, model), strict=True)]
             new = {"text": pa.array(texts, b.schema.field("text").type)}
