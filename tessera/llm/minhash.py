@@ -1,24 +1,28 @@
 """Operator 8: near-duplicate documents by bottom-k sketches of one hash function.
 
-1. Each document's distinct word shingles are hashed once; the k smallest hashes are its sketch. Documents with the same
-   full set are one class, so any number of exact copies costs one row from there on.
-2. Inverted lists: of each sketch only the values that fewest documents retain are listed (two sets over the threshold
-   share at least `t` retained values, so the `size - t + 1` rarest of each must meet). Common passages fall out there.
-   Each list names one leader, the member with the most common values (of a group of copies: the one nearest to all).
-3. Members meet their leaders, which is linear in the lists' rows. The union sketch of the two estimates their Jaccard
-   similarity; pairs that can reach the threshold are verified on the full sets.
+1. Each document's distinct word shingles are hashed once; the k smallest hashes are its sketch, k growing with the set
+   (`_kept`: about a quarter of it). Documents with the same full set are one class, so any number of exact copies costs one
+   row from there on.
+2. Inverted lists of retained values. In a pair over the threshold each set has at most `n - ceil(0.8 n)` values that the
+   other lacks, so of two sketches the one that ends first shares all but so many of its values with the other. A sketch may
+   therefore leave out its most common values, as many as the shortest possible partner is sure to share (`_dropped`), and
+   both still list the rarest shared one. Common passages mostly fall out there. Each list names one leader, the member
+   with the most common values (of a group of copies: the one nearest to all).
+3. Members meet their leaders, which is linear in the lists' rows. Below the smaller of two sketches' largest values, the
+   union sketch shows what each set has alone: that bounds the intersection from above. Pairs that can reach the threshold
+   are verified on the full sets; the others are ruled out for sure.
 4. Jaccard distance is a metric. Two members of one leader's lists that are still in different components can be linked
-   only if their distances to the leader differ by no more than the threshold's distance. What that leaves is verified on
-   full sets in blocks of bounded size; only links leave the blocks, never pairs.
+   only if their distances to the leader, or their bounds, differ by no more than the threshold's distance. What that leaves is
+   verified on full sets in blocks of bounded size; only links leave the blocks, never pairs.
 5. Components of the verified links, in contraction rounds.
 
-Steps 2 and 4 lose a link only if fewer than `t` of k retained values agree although 80 % of the union do: under 1e-6 for
-a pair just at the threshold with k = 64, t = 34, and far less above it. Sets of up to 51 shingles lose none.
+No step is an estimate, so no link is lost (but for collisions of 64-bit hashes). Rows that share a value or a leader are
+dealt over as many places as their number asks for, and what they meet is sent to each of those.
 
 Null and empty texts, and texts without a word, have no shingles and are linked with nothing. Rows with a null doc_id take
-the smallest id of their text's copies and of what is linked with those; a text that only such rows have is linked with its
-copies alone. Repeated rows are copies of one another; a doc_id with several texts gives a row for each. Other columns are
-ignored.
+the smallest id of their text's copies and of what is linked with those; a component without any id has a null one.
+Repeated rows are copies of one another; a doc_id with several texts gives a row for each. Other columns are ignored by
+`components` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -35,9 +39,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import RANK_BYTES, BoundedCache, arrow, chunks, cut, least_of, mix, once, ranked, rows, shared_dir, ship
 from tessera.operators.components import connected_components
 
-K = 64
-AGREE = 34
-SLACK = 0.25
+#: Members of a leader, and of a list, that meet it in one place.
+MEMBERS_EACH, LISTED_EACH = 256, 4096
+
+
+def _needed(n, percent: int):
+    """How many values of a set are sure to hold one that a partner over the threshold has."""
+    return n + n * percent // -100 + 1
+
+
+def _kept(n: int, percent: int) -> int:
+    """Values that a set of n retains."""
+    need = _needed(n, percent)
+    return min(n, need + need // 4 + 4)
+
+
+def _dropped(n: int, percent: int) -> int:
+    """Of the retained values, how many of the most common need not be listed: one less than the values that the sketches of a
+    pair over the threshold share at least, whatever the partner's size (the shortest partner's sketch shares fewest)."""
+    least = -(n * percent // -100)
+    return _kept(least, percent) - _needed(least, percent)
 
 
 class Shingles:
@@ -69,31 +90,19 @@ def _key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the class key of the full set, and the sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, a hash of the text, n_shingles, the class key of the full set, the sketch, and how many values may be left out."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("listed", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _shingles(width)
-        for held in chunks(rows(batches, "doc_id", "text")):
-            sets = [of.set(t) for _, t in held]
-            yield arrow(schema, [[i for i, _ in held], list(map(len, sets)), [_key(s) if len(s) else None for s in sets], [s[:K] for s in sets]])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
+        for held in chunks(rows(batches, "doc_id", "text", "th")):
+            sets = [of.set(t) for _, t, _ in held]
+            sizes = list(map(len, sets))
+            kept = [_kept(n, percent) for n in sizes]
+            yield arrow(schema, [[r[0] for r in held], [r[2] for r in held], sizes, [_key(s) if len(s) else None for s in sets], [s[:k] for s, k in zip(sets, kept, strict=True)], [k - _dropped(n, percent) for n, k in zip(sizes, kept, strict=True)]])
 
-
-def _prefix(n: Column, percent: int) -> Column:
-    """How many of a sketch's rarest values are listed. For full sets the least overlap is exact; the longest partner may
-    itself be cut at k."""
-    longest = F.floor(n * 100 / percent)
-    least = F.ceil(n * percent / 100) - F.greatest(F.lit(0), longest - K)
-    return F.when(n <= K, n - F.greatest(least, F.lit(1)) + 1).otherwise(K - AGREE + 1)
-
-
-def _estimate(a: Column, b: Column) -> Column:
-    """Share of the union's k smallest values that both sketches hold."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, key binary, sketch array<long>, listed int")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -104,60 +113,104 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+#: A row's place: its id, whether it has none, and its text's hash.
+PLACE = ["own_id", "no_id", "th"]
+
+
+def _placed(df: DataFrame, th: Column) -> DataFrame:
+    return df.withColumns({"own_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull(), "th": th})
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text). Documents are linked if the
     intersection of their sets is at least `percent` hundredths of the union."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select("doc_id", "text")
-    base = cut(sketches(docs, width))
-    reps = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-    reps = cut(reps.select(F.col("key").alias("class"), ranked(F.col("doc_id"), F.col("key")).alias("key"), "doc_id", "n", "sketch"))
-
-    # Inverted lists of the rarest values, and their leaders.
-    values = reps.select("key", "n", F.explode("sketch").alias("v"))
-    shared = values.join(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
-    listed = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("score"))  # at most k values
-    own = F.least("n", F.lit(K)) - F.size("vs")
-    listed = listed.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(F.lit(0), (_prefix(F.col("n"), percent) - own).cast("int"))))
-    lists = cut(listed.select("key", "score", F.explode("vs.v").alias("v")))
-    leaders = lists.groupBy("v").agg(F.max_by("key", F.struct("score", "key")).alias("leader"), F.count("*").alias("c")).where("c > 1").select("v", "leader")
-    pairs = lists.join(leaders, "v").where("key <> leader").select("key", "leader").distinct()
-
-    # Estimates from union sketches; the pairs that can reach the threshold are verified.
-    a = reps.select("key", F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    b = reps.select(F.col("key").alias("leader"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    pairs = pairs.join(a, "key").join(b, "leader")
-    pairs = cut(pairs.select("key", "leader", _estimate(F.col("sa"), F.col("sb")).alias("e"), (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).alias("sizes")))
-    near = F.col("e") >= percent / 100 - SLACK
-    members = pairs.select("key").union(pairs.select("leader")).distinct().join(reps.select("key", "doc_id"), "key")
-    at = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    members.join(docs, "doc_id").select("key", "text").write.option("compression", "zstd").parquet(at)
-    texts = spark.read.parquet(at)
-    dist = cut(_verify(pairs.where(near), texts, width))
-    far = pairs.where(~near).select("key", "leader", (1 - F.col("e") - SLACK).alias("lo"), F.least(F.lit(1.0), 1 - F.col("e") + SLACK).alias("hi"), F.lit(False).alias("link"))
-    measured = dist.select("key", "leader", F.col("d").alias("lo"), F.col("d").alias("hi"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
-    links = cut(measured.where("link").select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    known = connected_components(links, cut)
-
-    # What the leaders have not settled.
-    met = measured.unionByName(far).join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    met = cut(met.select("key", "leader", "lo", "hi", "link", "comp"))
-    more = cut(_unsettled(met, texts, width, percent, block))
-    final = known if more.isEmpty() else connected_components(links.unionByName(more), cut)
-
-    of_class = reps.select(F.col("class").alias("key"), F.col("key").alias("node")).join(final, "node", "left").select("key", least_of(F.coalesce("component", "node")).alias("component_id"))
+    base, named = _named(docs.select("doc_id", "text"), width, percent, block)
+    of_class = named.select(F.col("class").alias("key"), least_of("component").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     out = cut(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
-    _remove(spark, at)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are the first of their component, with all their columns. Rows without an id stay, and so do
-    all rows that repeat a kept id."""
-    first = components(docs, width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each component of `docs`, with all its columns: of the first id (rows without one come last) and, of its
+    rows, of the text with the smallest hash. Rows whose texts have no words are no one's duplicates and all stay."""
+    _, named = _named(docs.select("doc_id", "text"), width, percent, 512)
+    first = named.where("component = key").select("own_id", "no_id", "th")
+    taken = {c.lower() for c in docs.columns}
+    mark = "place"
+    while mark in taken:
+        mark += "_"
+    placed = docs.withColumn(mark, F.struct(F.coalesce("doc_id", F.lit(0)).alias("own_id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("th")))
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    chosen = placed.where(words).join(first.select(F.struct(*PLACE).alias(mark)), mark, "left_semi").dropDuplicates([mark])
+    return chosen.drop(mark).unionByName(docs.where(~words))
+
+
+def _named(docs: DataFrame, width: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and of every class its key (`class`), name (`key`), first row's place, and component's name."""
+    spark = docs.sparkSession
+    ship(spark)
+    base = cut(sketches(docs, width, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    reps = base.where("key is not null").groupBy("key").agg(first, *(F.any_value(c).alias(c) for c in ("n_shingles", "listed", "sketch")))
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), F.col("key").alias("class"), ranked(F.col("first.doc_id"), F.col("key")).alias("key"), "first.doc_id", "first.th", F.col("n_shingles").alias("n"), "listed", "sketch")
+    reps = cut(_placed(reps, F.col("th")))
+    pairs = cut(_met_pairs(reps, percent))
+
+    members = pairs.select("key").union(pairs.select(F.col("leader").alias("key"))).distinct().join(reps.select("key", *PLACE), "key")
+    at = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    try:
+        texts = members.join(_placed(docs, F.xxhash64("text")), PLACE).dropDuplicates(PLACE)
+        texts.select("key", "text").write.option("compression", "zstd").parquet(at)
+        texts = spark.read.parquet(at)
+        dist = cut(_verify(pairs.where("near"), texts, width))
+        measured = dist.select("key", "leader", "parts", "part", F.col("d").alias("lo"), F.col("d").alias("hi"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
+        far = pairs.where("not near").select("key", "leader", "parts", "part", "lo", "hi", F.lit(False).alias("link"))
+        links = cut(measured.where("link").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+        known = connected_components(links, cut)
+
+        # What the leaders have not settled.
+        met = measured.unionByName(far).join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+        more = cut(_unsettled(cut(met), texts, width, percent, block))
+        final = known if more.isEmpty() else connected_components(links.unionByName(more), cut)
+    finally:
+        _remove(spark, at)
+    named = reps.select("class", "key", *PLACE).join(final.withColumnRenamed("node", "key"), "key", "left")
+    return base, named.withColumn("component", F.coalesce("component", "key"))
+
+
+def _met_pairs(reps: DataFrame, percent: int) -> DataFrame:
+    """key, leader, the place where they meet (parts, part), bounds of their distance, and whether they can be over the threshold."""
+    # Inverted lists of the rarest values, and their leaders.
+    values = reps.select("id", "listed", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    shared = values.join(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
+    listed = shared.groupBy("id", "listed", "k").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("score"))  # one sketch's values
+    alone = F.col("k") - F.size("vs")
+    listed = listed.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(F.lit(0), F.col("listed") - alone)))
+    lists = cut(_dealt(listed.select("id", "score", F.explode("vs").alias("x")).select("id", "score", "x.v", "x.c"), LISTED_EACH))
+    leaders = lists.groupBy("v").agg(F.max_by("id", F.struct("score", "id")).alias("lid"), F.max("parts").alias("parts"), F.count("*").alias("m")).where("m > 1")
+    leaders = leaders.select("v", "lid", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = lists.join(leaders, ["v", "part"]).where("id <> lid").groupBy("id", "lid").agg(F.max("m").alias("c"))
+    pairs = cut(_dealt(pairs, MEMBERS_EACH))
+
+    # The union sketch: what each set has alone below both ends.
+    a = reps.select("id", "key", F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    b = reps.select(F.col("id").alias("lid"), F.col("key").alias("leader"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    places = pairs.select("lid", "parts", "part").distinct().join(b, "lid")
+    both = pairs.join(a, "id").join(places, ["lid", "parts", "part"])
+    end = lambda s, n: F.when(F.size(s) == F.col(n), F.lit(2**63 - 1)).otherwise(F.element_at(s, -1))
+    both = both.withColumns({"end": F.least(end("sa", "na"), end("sb", "nb")), "i": F.size(F.array_intersect("sa", "sb"))})
+    below = lambda s: F.size(F.filter(s, lambda x: x <= F.col("end")))
+    both = both.withColumn("most", F.least(F.col("na") - below("sa") + F.col("i"), F.col("nb") - below("sb") + F.col("i")))
+    share = lambda i: F.col(i) / (F.col("na") + F.col("nb") - F.col(i))
+    near = 100 * F.col("most") >= percent * (F.col("na") + F.col("nb") - F.col("most"))
+    return both.select("key", "leader", "parts", "part", (1 - share("most")).alias("lo"), (1 - share("i")).alias("hi"), near.alias("near"))
+
+
+def _dealt(df: DataFrame, each: int) -> DataFrame:
+    """Rows with the place (part of parts) among those that their group, of about `c` rows, is dealt over."""
+    df = df.withColumn("parts", F.ceil(F.col("c") / each).cast("int"))
+    return df.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("c")
 
 
 def _remove(spark, at: str) -> None:
@@ -165,44 +218,43 @@ def _remove(spark, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, rows_each: int = 256) -> DataFrame:
-    """key, leader, intersection, union and distance of every pair. A leader with many members is sent to many places, each
-    with a share of them."""
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
-    salted = pairs.select("key", "leader").join(salts, "leader").withColumn("part", F.pmod(F.hash("key"), F.col("parts")))
-    one = salted.join(texts, "key").select("leader", "part", F.lit(1).alias("role"), "key", "text")
-    two = salts.select(F.col("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("key", "leader"), "leader")
-    two = two.select("leader", "part", F.lit(0).alias("role"), F.col("leader").alias("key"), "text")
-    schema = pa.schema([("key", pa.binary()), ("leader", pa.binary()), ("i", pa.int64()), ("u", pa.int64()), ("d", pa.float64())])
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """key, leader, their place, intersection, union and distance of every pair. A leader's text goes to each of its places."""
+    place = ["leader", "parts", "part"]
+    one = pairs.select("key", *place).join(texts, "key").select(*place, F.lit(1).alias("role"), "key", "text")
+    two = pairs.select(*place).distinct().join(texts.withColumnRenamed("key", "leader"), "leader")
+    two = two.select(*place, F.lit(0).alias("role"), F.col("leader").alias("key"), "text")
+    schema = pa.schema([("key", pa.binary()), ("leader", pa.binary()), ("parts", pa.int32()), ("part", pa.int32()), ("i", pa.int64()), ("u", pa.int64()), ("d", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, head, name = _shingles(width), None, None
-        for held in chunks(rows(batches, "leader", "text", "role", "key")):
+        for held in chunks(rows(batches, "leader", "text", "parts", "part", "role", "key")):
             out = []
-            for leader, text, role, key in held:
+            for leader, text, parts, part, role, key in held:
                 s = of.set(text)
-                if _key(s) != key[RANK_BYTES:]:  # another text of a repeated doc_id
-                    continue
+                if _key(s) != key[RANK_BYTES:]:
+                    raise ValueError("a text is not the one its sketch was made of: the input changed between two reads")
                 if role == 0:
                     head, name = s, leader
                 elif name == leader:
                     i = _overlap(head, s)
                     u = len(head) + len(s) - i
-                    out.append((key, leader, i, u, 1 - i / u))
+                    out.append((key, leader, parts, part, i, u, 1 - i / u))
             if out:
                 yield arrow(schema, list(zip(*out, strict=True)))
 
-    both = two.unionByName(one).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    return both.mapInArrow(run, "key binary, leader binary, i long, u long, d double").dropDuplicates(["key", "leader"])
+    both = two.unionByName(one).repartition(*place).sortWithinPartitions(*place, "role")
+    return both.mapInArrow(run, "key binary, leader binary, parts int, part int, i long, u long, d double")
 
 
 def _unsettled(met: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between members of one leader that are in different components. One of the two is no neighbour of the
     leader; it meets, block by block, the members whose distance to the leader differs by no more than the threshold's."""
     reach = 1 - percent / 100 + 1e-9
-    sums = met.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("lo").alias("d1"), F.max("hi").alias("d2"))
+    sums = met.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("link")).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     open_ = sums.where("n > 1 and m > 0 and c1 <> c2").select("leader", F.ceil(F.col("n") / block).cast("int").alias("ny"), F.ceil(F.col("m") / block).cast("int").alias("nx"))
-    rows_ = met.join(open_, "leader").withColumn("h", F.abs(F.hash("key").cast("long")))
+    open_ = met.select("leader", "parts", "part").distinct().join(open_, "leader")
+    rows_ = met.join(open_, ["leader", "parts", "part"]).withColumn("h", F.abs(F.hash("key").cast("long")))
     x = rows_.where("not link").select("leader", "key", "lo", "hi", "comp", (F.col("h") % F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"), F.lit(0).alias("role"))
     y = rows_.select("leader", "key", "lo", "hi", "comp", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), (F.col("h") % F.col("ny")).cast("int").alias("by"), F.lit(1).alias("role"))
     both = x.unionByName(y).join(texts, "key").repartition("leader", "bx", "by").sortWithinPartitions("leader", "bx", "by", "role", "key")
@@ -253,8 +305,7 @@ def _unsettled(met: DataFrame, texts: DataFrame, width: int, percent: int, block
                     yield arrow(schema, list(zip(*found, strict=True)))
                 at, sides = (leader, bx, by), ([], [])
             s = of.set(text)
-            if _key(s) == key[RANK_BYTES:]:
-                sides[role].append((key, lo, hi, comp, s))
+            sides[role].append((key, lo, hi, comp, s))
         if found := solve(*sides):
             yield arrow(schema, list(zip(*found, strict=True)))
 

@@ -76,7 +76,54 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert {r["component_id"] for r in rows} == {1}
     assert minhash.components(frame(spark, [], "doc_id long, text string")).count() == 0
     kept = minhash.keep(frame(spark, [(1, text, "a"), (2, text, "b"), (3, other, None), (None, text, "c")], "doc_id long, text string, kept string"))
-    assert sorted((str(r["doc_id"]), r["kept"]) for r in kept.collect()) == [("1", "a"), ("3", None), ("None", "c")]
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in kept.collect()) == [("1", "a"), ("3", None)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, several texts of one id, and near copies without an id leave one row; rows without words all stay."""
+    a, b = [f"w{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    text, upper, near, other = " ".join(a), " ".join(a).upper(), " ".join([*a, "x"]), " ".join(b)
+    docs = [(7, text), (7, text), (7, upper), (9, near), (None, near), (None, other), (None, other), (None, " ".join([*b, "y"])), (3, ""), (3, ""), (None, None), (None, " ")]
+    for n in (1, 3):
+        kept = minhash.keep(frame(spark, [(i, t, "x", 1) for i, t in docs], "doc_id long, text string, place string, PLACE_ int").repartition(n))
+        assert kept.columns == ["doc_id", "text", "place", "PLACE_"]
+        found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert sorted(map(str, (f for f in found if f[1] and f[1].strip() and f[0] is None))) in (["(None, '%s')" % other], ["(None, '%s')" % " ".join([*b, "y"])])
+        assert len([f for f in found if f[0] == 7]) == 1 and not [f for f in found if f[0] == 9]
+        assert sorted(str(f) for f in found if not (f[1] or "").strip()) == ["(3, '')", "(3, '')", "(None, ' ')", "(None, None)"]
+
+
+def test_sketches_lose_no_pair():
+    """Of any pair over the threshold, both sketches list the rarest value they share, however common the others are."""
+    r = random.Random(11)
+    for percent in (80, 60, 95):
+        for n in range(1, 400):
+            assert 1 <= minhash._kept(n, percent) - minhash._dropped(n, percent) <= minhash._kept(n, percent) <= n
+        for _ in range(400):
+            i = r.randint(1, 300)
+            x = r.randint(0, int(i * (100 - percent) / percent))
+            y = r.randint(0, max(0, int(i * 100 / percent) - i - x))
+            values = r.sample(range(10**6), i + x + y)
+            r.shuffle(values)
+            one, two = sorted(values[: i + x]), sorted(values[:i] + values[i + x :])
+            if 100 * i < percent * (i + x + y):
+                continue
+            counts = {v: r.choice([1, 2, 9]) for v in values}
+            lists = []
+            for s in (one, two):
+                sketch = s[: minhash._kept(len(s), percent)]
+                lists.append(set(sorted(sketch, key=lambda v: (counts[v], v))[: len(sketch) - minhash._dropped(len(s), percent)]))
+            assert lists[0] & lists[1]
+
+
+def test_hot_values_and_leaders_are_dealt(spark, monkeypatch):
+    """The same links when every list and leader is dealt over many places."""
+    monkeypatch.setattr(minhash, "MEMBERS_EACH", 3)
+    monkeypatch.setattr(minhash, "LISTED_EACH", 4)
+    r = random.Random(21)
+    base = [f"h{i}" for i in range(150)]
+    docs = [(i, edited(r, base, 0.004 * (i % 12))) for i in range(90)] + [(200 + i, " ".join(base[:60] + [f"q{i}_{j}" for j in range(90)])) for i in range(40)]
+    check(spark, docs)
 
 
 def test_blocks_lose_no_link(spark):
