@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,97 +38,124 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _valid(v: list | None) -> np.ndarray | None:
-    if not v or None in v:
-        return None
-    x = np.array(v, np.float64)
-    with np.errstate(over="ignore"):
-        n = np.linalg.norm(x)
-    if not np.isfinite(x).all() or n == 0:
-        return None
-    if not np.isfinite(n) or n < 1e-150:  # scale first: squares would overflow or vanish
-        x = x / np.abs(x).max()
-    return x
-
-
-def _numbers(data: bytes, dim: int) -> np.ndarray:
-    """The doubles of a vector, which may have travelled as singles."""
-    return np.frombuffer(data, np.float32).astype(np.float64) if len(data) == 4 * dim else np.frombuffer(data)
+def _matrices(b: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch that can be compared, as one matrix for each length, and their rows' places. Vectors whose
+    squares would overflow or vanish are scaled first."""
+    column = b.column(b.schema.get_field_index(name))
+    values = pa.compute.cast(column.values, pa.float64()).to_numpy(zero_copy_only=False)
+    begins, sizes = column.offsets.to_numpy()[:-1], np.diff(column.offsets.to_numpy())
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[there]).tolist():
+        if not n:
+            continue
+        at = np.flatnonzero(there & (sizes == n))
+        x = values[begins[at][:, None] + np.arange(n)]  # null elements are not numbers here
+        fine = np.isfinite(x).all(axis=1)
+        at, x = at[fine], x[fine]
+        with np.errstate(over="ignore"):
+            norm = np.linalg.norm(x, axis=1)
+        largest = np.abs(x).max(axis=1, initial=0)
+        at, x, norm, largest = (v[largest > 0] for v in (at, x, norm, largest))
+        odd = ~np.isfinite(norm) | (norm < 1e-150)
+        x[odd] /= largest[odd][:, None]
+        yield at, x + 0.0
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, the key of the class of equal vectors (null: linked with nothing), and the vector's numbers."""
+    """vec_id, the key of the class of equal vectors (null: linked with nothing), and the vector's numbers: as singles where
+    these hold them exactly."""
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("dim", pa.int32()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for vec_id, v in rows(iter([b]), "vec_id", "embedding"):
-                x = _valid(v)
-                data = None if x is None else (x + 0.0).tobytes()
-                small = None if x is None else x.astype(np.float32)
-                out.append((vec_id, data and xxhash.xxh3_128_digest(data), None if x is None else len(x), small.tobytes() if data and (small == x).all() else data))
-            if out:
-                yield arrow(schema, list(zip(*out, strict=True)))
+            keys: list = [None] * b.num_rows
+            dims, vecs = keys.copy(), keys.copy()
+            for at, x in _matrices(b, "embedding"):
+                small = x.astype(np.float32)
+                exact = (small == x).all(axis=1)
+                for k, i in enumerate(at.tolist()):
+                    data = x[k].tobytes()
+                    keys[i], dims[i], vecs[i] = xxhash.xxh3_128_digest(data), x.shape[1], small[k].tobytes() if exact[k] else data
+            yield arrow(schema, [b.column(b.schema.get_field_index("vec_id")).to_pylist(), keys, dims, vecs])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, key binary, dim int, vec binary")
 
 
-def _assign(reps: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataFrame:
+def _numbers(data: list[bytes], dim: int) -> np.ndarray:
+    """Vectors that have travelled as singles or doubles, in double precision."""
+    out = np.empty((len(data), dim))
+    single = np.fromiter((len(d) == 4 * dim for d in data), bool, len(data))
+    for which, kind in ((single, np.float32), (~single, np.float64)):
+        out[which] = np.frombuffer(b"".join(d for d, w in zip(data, which.tolist(), strict=True) if w), kind).reshape(-1, dim)
+    return out
+
+
+def _by_dim(b: pa.RecordBatch, each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, rows and unit vectors of at most `each` rows of a batch."""
+    dims = b.column(b.schema.get_field_index("dim")).to_numpy()
+    data = b.column(b.schema.get_field_index("vec"))
+    for dim in np.unique(dims).tolist():
+        rows_ = np.flatnonzero(dims == dim)
+        for k in range(0, len(rows_), each):
+            some = rows_[k : k + each]
+            yield dim, some, _unit(_numbers(data.take(pa.array(some)).to_pylist(), dim))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
+
+
+def _assign(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Home cell of every class and its distance to the home pivot."""
     given = reps.sparkSession.sparkContext.broadcast(pivots)
-    schema = pa.schema([("key", pa.binary()), ("w", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()), ("home", pa.int32()), ("d", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, w, dim, vec in rows(iter([b]), "key", "w", "dim", "vec"):
-                x = _numbers(vec, dim)
-                p = given.value.get(dim)
-                d = np.zeros(1) if p is None else np.sqrt(np.maximum(0, 2 - 2 * (p @ (x / np.linalg.norm(x)))))
-                out.append((key, w, dim, vec, int(d.argmin()), float(d.min())))
-            if out:
-                yield arrow(schema, list(zip(*out, strict=True)))
+            home, d = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for dim, some, x in _by_dim(b, 512):
+                if (p := given.value.get(dim)) is not None:
+                    far = _apart(x, p)
+                    home[some], d[some] = far.argmin(axis=1), far.min(axis=1)
+            yield b.append_column("home", pa.array(home)).append_column("d", pa.array(d))
 
     return reps.mapInArrow(run, "key binary, w long, dim int, vec binary, home int, d double")
 
 
 def _sent(cells: DataFrame, pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float], r: float) -> DataFrame:
     """The cells that each class goes to, its home among them."""
-    given = cells.sparkSession.sparkContext.broadcast((pivots, radius))
-    schema = pa.schema([("key", pa.binary()), ("w", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()), ("home", pa.int32()), ("cells", pa.list_(pa.int32()))])
+    cover = {dim: np.array([radius.get((dim, j), -1.0) for j in range(len(p))]) for dim, p in pivots.items()}
+    given = cells.sparkSession.sparkContext.broadcast((pivots, cover))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius = given.value
+        pivots, cover = given.value
         e = 1e-6  # rounding
-        apart = {k: np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T))) for k, p in pivots.items() if len(p) <= 2048}
         for b in batches:
-            out = []
-            for key, w, dim, vec, home in rows(iter([b]), "key", "w", "dim", "vec", "home"):
+            homes = b.column(b.schema.get_field_index("home")).to_numpy()
+            counts, parts = np.ones(b.num_rows, np.int64), [(np.arange(b.num_rows), homes)]
+            for dim, some, x in _by_dim(b, 512):
                 if (p := pivots.get(dim)) is None:
-                    out.append((key, w, dim, vec, home, [home]))
                     continue
-                x = _numbers(vec, dim)
-                d = np.sqrt(np.maximum(0, 2 - 2 * (p @ (x / np.linalg.norm(x)))))
-                cover = np.array([radius.get((dim, j), -1.0) for j in range(len(p))])
-                go = (cover >= 0) & (d - d[home] <= 2 * r + e) & (d <= cover + r + e)
-                if dim in apart:
-                    go &= d * d - d[home] ** 2 <= 2 * apart[dim][home] * (r + e) + e
+                own = homes[some]
+                far = _apart(x, p)
+                near = far[np.arange(len(some)), own][:, None]
+                go = (cover[dim] >= 0) & (far - near <= 2 * r + e) & (far <= cover[dim] + r + e)
+                go &= far * far - near * near <= 2 * _apart(p[own], p) * (r + e) + e
                 others = np.arange(len(p))
-                go &= np.where((others + home) % 2 == 1, others < home, others > home)
-                go[home] = True
-                out.append((key, w, dim, vec, home, np.flatnonzero(go).astype(np.int32)))
-            if out:
-                yield arrow(schema, list(zip(*out, strict=True)))
+                go &= np.where((others + own[:, None]) % 2 == 1, others < own[:, None], others > own[:, None])  # never the own
+                i, j = np.nonzero(go)
+                parts.append((some[i], j))
+                counts[some] += go.sum(axis=1)
+            of, to = (np.concatenate(v) for v in zip(*parts, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(to[np.argsort(of, kind="stable")].astype(np.int32)))
+            yield b.append_column("cells", lists)
 
     return cells.mapInArrow(run, "key binary, w long, dim int, vec binary, home int, cells array<int>")
 
 
-def _join(x: list, y: list, cos: float) -> tuple[list, list]:
-    """(key, linked weight) of the rows with links, and forest edges. Rows: key, weight, doubles, whether it is at home here.
+def _join(x: list, y: list, dim: int, cos: float) -> tuple[list, list]:
+    """(key, linked weight) of the rows with links, and forest edges. Rows: key, weight, numbers, whether it is at home here.
     A visitor's links are counted here for both ends, as its own cell does not see them."""
-    a, b = np.array([r[2] for r in x]), np.array([r[2] for r in y])
-    ua, ub = _unit(a), _unit(b)
+    ua, ub = (_unit(_numbers([r[2] for r in rows_], dim)) for rows_ in (x, y))
     wa, wb = np.array([r[1] for r in x], np.int64), np.array([r[1] for r in y], np.int64)
     visits = ~np.array([r[3] for r in y])
     place = {r[0]: j for j, r in enumerate(y)}
@@ -157,22 +185,23 @@ def _join(x: list, y: list, cos: float) -> tuple[list, list]:
     return [(r[0], int(c)) for rows_, found in ((x, counts), (y, back)) for r, c in zip(rows_, found, strict=True) if c], edges
 
 
-def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: int = 8192, max_pivots: int = 4096) -> DataFrame:
+def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of `vectors` (vec_id, embedding). A block has at most `block` rows
-    a side, fewer if vectors have over 512 numbers."""
+    a side, fewer if vectors have over 512 numbers. There is a pivot for every `cell` classes, but no more than the root of
+    their number: all pivots are sent to every task, and every class is compared with each."""
     ship(vectors.sparkSession)
     r = float(np.sqrt(2 - 2 * cos))
     base = cut(_classes(vectors))
     reps = cut(base.where("key is not null").groupBy("key").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).select(F.col("key").alias("class"), ranked(F.col("least"), F.col("key")).alias("key"), "w", "dim", "vec"))
     n = reps.count()
-    wanted = max(1, min(max_pivots, -(-n // cell)))
+    wanted = max(1, min(-(-n // cell), int(n**0.5)))
     pivots: dict[int, list] = {}
     for row in reps.select("dim", "vec", "class").orderBy("class").limit(wanted).collect():  # classes are hashes: a uniform draw
-        pivots.setdefault(row["dim"], []).append(_numbers(bytes(row["vec"]), row["dim"]))
-    points = {k: _unit(np.array(v)) for k, v in pivots.items()}
-    cells = cut(_assign(reps.select("key", "w", "dim", "vec"), points, r))
+        pivots.setdefault(row["dim"], []).append(bytes(row["vec"]))
+    points = {k: _unit(_numbers(v, k)) for k, v in pivots.items()}
+    cells = cut(_assign(reps.select("key", "w", "dim", "vec"), points))
     radius = {(x["dim"], x["home"]): x["d"] for x in cells.groupBy("dim", "home").agg(F.max("d").alias("d")).collect()}  # a row for each cell
-    sent = cut(_sent(cells, points, radius, r))
+    sent = cut(_sent(cells.drop("d"), points, radius, r))
 
     # Blocks: home rows of a cell against all its rows.
     side = F.least(F.lit(block), F.ceil(512 * block / F.col("dim")))
@@ -190,7 +219,7 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: i
 
         def solved() -> Iterator[pa.RecordBatch]:
             if sides[0] and sides[1]:
-                counts, edges = _join(*sides, cos)
+                counts, edges = _join(*sides, at[0], cos)
                 out = [(k, None, c) for k, c in counts] + [(a, b, None) for a, b in edges]
                 if out:
                     yield arrow(schema, list(zip(*out, strict=True)))
@@ -199,7 +228,7 @@ def components(vectors: DataFrame, cos: float = 0.95, cell: int = 8192, block: i
             if at != (dim, c, bx, by):
                 yield from solved()
                 at, sides = (dim, c, bx, by), ([], [])
-            sides[role].append((key, w, _numbers(vec, dim), own))
+            sides[role].append((key, w, vec, own))
         yield from solved()
 
     found = cut(both.mapInArrow(run, "a binary, b binary, n long"))

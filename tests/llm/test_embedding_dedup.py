@@ -31,7 +31,7 @@ def clouds(n: int, dim: int, seed: int) -> dict[int, list[float]]:
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell": 20, "block": 7}, {"cell": 60, "block": 1000}, {"cell": 9, "block": 30, "max_pivots": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"cell": 20, "block": 7}, {"cell": 60, "block": 1000}, {"cell": 1, "block": 30}, {"cell": 10**6, "block": 64}])
 def test_all_links_in_any_partition(spark, sizes):
     check(spark, clouds(160, 8, 3), **sizes)
 
