@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import textwrap
 import uuid
@@ -16,8 +17,10 @@ from tessera.operators.graph import Graph
 from tessera.operators.policy import Policy
 from tessera.session import Refused
 from tessera.sources.warehouse import Warehouse
+from tessera.statement import Named, Reader, conditions, rewritten, without_comments
 
-TABLE_FUNCTION = re.compile(r"\b(cube_rollup|cube_slice|cube_consolidate|cube_dimensions|cube_measures|cubes|derived|functions|graph_reachable|graph_time_respecting|graph_shortest_path|graph_cycles|graph_influence)\s*\(((?:\s*'[^']*'\s*,?)*)\)", re.I)
+TABLE_FUNCTIONS = set("cube_rollup cube_slice cube_consolidate cube_dimensions cube_measures cubes derived functions graph_reachable graph_time_respecting graph_shortest_path graph_cycles graph_influence".split())
+SCAN = "tessera.scan"
 NAME = r"([A-Za-z_][\w.]*)"
 
 
@@ -32,6 +35,7 @@ class Engine:
         self.policies: dict[str, Policy] = {}
         self.aggregations: dict[str, Callable] = {}
         self.feeds: dict[str, str] = {}
+        self.reader = Reader(spark)
         catalogue.register(spark)
         scalars.register(spark)
 
@@ -40,33 +44,45 @@ class Engine:
         self.views[name] = df
 
     def policy(self, table: str, policy: Policy) -> None:
-        self.policies[table] = policy
+        """A policy of a table by its full name. It holds for every spelling of the name, and may come before the table."""
+        self.policies[table.lower()] = policy
+
+    def resolve(self, name: str) -> str:
+        """The full name of a table as it is written anywhere: upper and lower case are one, a bare name serves while unique."""
+        known = self.tables()
+        if name in known:
+            return name
+        found = [t for t in known if t.lower() == name.lower()] or [t for t in known if "." not in name and t.lower().split(".")[-1] == name.lower()]
+        if len(found) != 1:
+            raise Refused(f"no table {name!r}" if not found else f"{name!r} may be any of {', '.join(found)}")
+        return found[0]
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
+    def table(self, name: str, version: int | None = None, where: list[tuple] = (), tag: str | None = None, first: bool = False) -> DataFrame:
+        """A table as its policy shows it. `where` skips files (no rows of others are dropped here), `tag` marks its scan, `first`
+        leaves all files but one out, for a plan that is only looked at."""
+        name = self.resolve(name)
         if name in self.views:
             df = self.views[name]
-        elif self.warehouse is not None:
-            name = self.warehouse.resolve(name)
-            df = self.warehouse.table(name, version)
         else:
-            raise Refused(f"no table {name!r}")
-        return self.policies[name].secure(df) if name in self.policies else df
+            df = self.warehouse.scan(name, version, where, {SCAN: tag} if tag else {}, first)
+        own = self.policies.get(name.lower())
+        return own.secure(df) if own else df
 
     def tables(self) -> list[str]:
         return sorted([*self.views, *(self.warehouse.tables() if self.warehouse else [])])
 
     # SQL
     def sql(self, text: str) -> DataFrame:
-        if "$$" not in text:
-            text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.S)
-        text = text.strip().rstrip(";").strip()
-        if (out := self._house(text)) is not None:
+        bare = without_comments(text)
+        if (out := self._house(bare)) is not None:
             return out
-        df = self._query(text)
-        df = require_exact(df, self.allow)
-        if self.max_rows is not None and df.limit(self.max_rows + 1).count() > self.max_rows:
+        df = require_exact(self._query(bare), self.allow)
+        if self.max_rows is None:
+            return df
+        found = df.limit(self.max_rows + 1).collect()
+        if len(found) > self.max_rows:
             raise Refused(f"the result has more than {self.max_rows} rows")
-        return df
+        return self.spark.createDataFrame(found, df.schema)
 
     def scalar(self, text: str):
         row = self.sql(text).first()
@@ -133,37 +149,52 @@ class Engine:
         self.spark.udf.register(name, made.as_sql)
         self.aggregations[name] = made
 
-    def _query(self, text: str) -> DataFrame:
-        text = TABLE_FUNCTION.sub(lambda m: self._as_view(self._call(m[1].lower(), re.findall("'([^']*)'", m[2]))), text)
-        self._refuse_commands(text)
-        for name in sorted(self.derived, key=len, reverse=True):
-            if re.search(rf"(?<![\w.]){re.escape(name)}(?![\w.])", text):
-                text = re.sub(rf"(?<![\w.]){re.escape(name)}(?![\w.])", self._as_view(self._query(self.derived[name])), text)
-        for name in sorted(self.tables(), key=len, reverse=True):
-            short = name.split(".")[-1]
-            for form in dict.fromkeys((name, short)):
-                pattern = rf"(?<![\w.']){re.escape(form)}(?![\w.'(])"
-                if re.search(pattern, text):
-                    if form != name and self.warehouse is not None and name not in self.views:
-                        self.warehouse.resolve(form)
-                    view = self._as_view(self.table(name))
-                    text = re.sub(rf"(\b(?:from|join)\s+){pattern}", rf"\g<1>{view} AS {short}", text, flags=re.I)
-        # An alias of the query's own takes the place of the table's name.
-        text = re.sub(r"(_t_\w+) AS \w+\s+(?:AS\s+)?(?!(?:where|join|on|group|order|limit|inner|left|right|full|cross|union|having|window|natural|using|except|intersect|lateral|pivot)\b)([A-Za-z_]\w*)", r"\1 AS \2", text, flags=re.I)
-        return self.spark.sql(text)
+    def _query(self, text: str, within: tuple[str, ...] = ()) -> DataFrame:
+        """The query over the tables it names. Tables of more than one file are first planned over one of them, to learn which
+        conditions reach their scans: the others' bounds are held against these."""
+        functions: dict[Named, str] = {}
+        versioned: dict[int, str] = {}
+
+        def table(parts: tuple[str, ...], at: int | None, where: dict[str, list[tuple]] | None) -> tuple[str, str, tuple[str, ...]]:
+            name = ".".join(parts)
+            if name in self.derived:
+                if name in within:
+                    raise Refused(f"derived query {name!r} names itself")
+                return self._as_view(self._query(self.derived[name], (*within, name))), name, parts
+            full = self.resolve(name)
+            if full in self.views:
+                return self._as_view(self.table(full)), full.split(".")[-1], (full,)
+            versioned[at] = full
+            df = self.table(full, where=where.get(str(at), []) if where is not None else [], tag=str(at), first=where is None)
+            return self._as_view(df), full.split(".")[-1], tuple(full.split("."))
+
+        def function(n: Named) -> str | None:
+            f = n.parts[-1].lower()
+            if f not in TABLE_FUNCTIONS or len(n.parts) > 1:
+                return None
+            if None in n.arguments:
+                raise Refused(f"{f} takes literals")
+            if n not in functions:
+                functions[n] = self._as_view(self._call(f, list(n.arguments)))
+            return functions[n]
+
+        def run(where: dict[str, list[tuple]] | None) -> DataFrame:
+            turn = itertools.count()
+            return self.spark.sql(rewritten(self.reader, text, lambda parts: table(parts, next(turn), where), function))
+
+        df = run(None)
+        if versioned and any(len(self.warehouse.files(n, self.warehouse.current(n))) > 1 for n in versioned.values()):
+            df = run(conditions(df, SCAN))
+        return df
 
     def _as_view(self, df: DataFrame) -> str:
         name = f"_t_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(name)
         return name
 
-    def _refuse_commands(self, text: str) -> None:
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        name = plan.getClass().getSimpleName().rstrip("$")
-        if plan.getClass().getName().startswith("org.apache.spark.sql.execution") or re.search("Command|^Create|^Drop|^Insert|^Delete|^Update|^Merge|^Set|^Alter|^Truncate|^Cache|^Load|^Replace|^Append|^Overwrite", name):
-            raise Refused(f"only queries are answered here, not {name}")
-        if "Sample" in plan.toString():
-            raise Refused("TABLESAMPLE is refused: filter by a hash of a key instead")
+    def explain(self, query: str, mode: str = "formatted") -> str:
+        df = require_exact(self._query(query), self.allow)
+        return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
     # cubes and graphs in FROM
     @staticmethod
@@ -260,6 +291,7 @@ class Engine:
         yield rf"CREATE\s+AGGREGATION\s+{NAME}\s+LANGUAGE\s+PYTHON\s+AS\s+\$\$(.*)\$\$", lambda m: self._create_aggregation(m[1], m[2])
         yield r"SHOW\s+AGGREGATIONS", lambda m: frame([(n,) for n in self.aggregations], "aggregation string")
         yield rf"DROP\s+AGGREGATION\s+{NAME}", lambda m: self._drop(self.aggregations, m[1], False, "aggregation")
+        yield r"EXPLAIN\s+(?:(EXTENDED|FORMATTED|CODEGEN|COST)\s+)?((?:SELECT|WITH|TABLE|FROM|VALUES|\().*)", lambda m: frame([(self.explain(m[2], (m[1] or "formatted").lower()),)], "plan string")
         yield r"SHOW\s+FEEDS", lambda m: frame(list(self.feeds.items()), "feed string, state string")
         yield rf"RESUME\s+FEED\s+{NAME}", lambda m: self._resume(m[1])
 
@@ -284,7 +316,7 @@ class Engine:
     def _create_cube(self, name: str, source: str, rest: str) -> None:
         if name in self.cubes:
             raise Refused(f"cube {name!r} is there already")
-        facts = self._query(source[1:-1]) if source.startswith("(") else self.table(source)
+        facts = self._query(source[1:-1] if source.startswith("(") else f"SELECT * FROM {source}")
         dims, hierarchies, measures = [], {}, []
         for m in re.finditer(rf"DIMENSION\s+{NAME}(?:\s+FROM\s+{NAME}\s+ON\s+(\w+))?(?:\s*\(([^()]*)\))?|MEASURE\s+{NAME}(?:\s+OF\s+(\w+))?\s*\(([^()]*)\)", rest, re.I):
             if m[1]:
