@@ -40,11 +40,18 @@ def check(spark: SparkSession) -> list[str]:
     return [f"{k} is {spark.conf.get(k, None)}, not {v}" for k, v in SETTINGS.items() if (spark.conf.get(k, None) or "") != v]
 
 
+def local_folder(context) -> str:
+    """A folder for checkpoints where the session names none. On a cluster that would be another machine's disk: refused."""
+    if not context.master.startswith("local"):
+        raise Refused("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints/tessera"
+
+
 def shared_cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the folder that all executors share; one is set only where none is (tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tessera")
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or local_folder(context))
     return df.checkpoint(eager=True)
 
 
