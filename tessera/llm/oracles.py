@@ -66,7 +66,7 @@ def quality_rules_sql() -> str:
   rep AS (SELECT id, i, lead(i) OVER (PARTITION BY id ORDER BY i) AS j FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS c FROM z) q WHERE c > 1), cov AS (SELECT id, sum(least(8, coalesce(j - i, 8))) AS n FROM rep GROUP BY id),
   b AS (SELECT doc_id, lang, w, len(w) AS n, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars,
     length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS number, length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS punct FROM y LEFT JOIN cov USING (id)),
-  good AS (SELECT * FROM b WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+  good AS (SELECT * FROM b WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) q ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {r.SAMPLE_ROWS})),
   sums AS (SELECT lang, sum(n) AS n, sum(chars) AS chars, [{", ".join(f"sum({c})" for c in classes.values())}] AS c FROM good GROUP BY lang HAVING sum(n) >= {r.MIN_REFERENCE_WORDS}),
   each AS (SELECT lang, w, count(*) AS c FROM (SELECT lang, unnest(w) AS w FROM good) q WHERE regexp_matches(w, '^\p{{L}}+$') GROUP BY ALL),
   top AS (SELECT lang, w, c, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS k FROM each QUALIFY k <= {r.COMMON_WORDS}),
