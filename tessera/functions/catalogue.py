@@ -7,7 +7,6 @@ a null argument and refuse, with a reason, what has no honest answer (a null ele
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Any
 
@@ -118,7 +117,7 @@ ENTRIES: list[Entry] = [
     _v("vec_median", "vector", "vec", "num", "middle order statistic", QUANTILE.format("0.5D"), FULL, ("exists(a, y -> isnan(y))", "a value is not a number")),
     # statistics
     _v("vec_variance", "statistics", "vec", "num", "sample variance", f"{_squares('a')} / (size(a) - 1)", TWO),
-    _v("vec_variance_pop", "statistics", "vec", "num", "population variance", f"{_squares('a')} / size(a)", FULL),
+    _v("vec_variance_pop", "statistics", "vec", "num", "mean square distance from the mean", f"{_squares('a')} / size(a)", FULL),
     _v("vec_stddev", "statistics", "vec", "num", "sample deviation", f"sqrt({_squares('a')} / (size(a) - 1))", TWO),
     _v("vec_stddev_pop", "statistics", "vec", "num", "population deviation", f"sqrt({_squares('a')} / size(a))", FULL),
     _v("vec_covariance", "statistics", "vec vec", "num", "sample covariance", f"{_cross('a', 'b')} / (size(a) - 1)", SAME, TWO),
@@ -144,7 +143,7 @@ ENTRIES: list[Entry] = [
     *(_k(n, "decomposition", "vec", g, d) for n, g, d in (("mat_cholesky", "vec", "lower factor"), ("mat_eigenvalues", "vec", "eigenvalues, largest first"), ("mat_eigenvectors", "vec", "eigenvectors in columns, dominant entry positive"), ("mat_is_positive_definite", "num", "1 if the Cholesky factor exists"), ("mat_qr_q", "vec", "orthogonal factor"), ("mat_qr_r", "vec", "triangular factor"), ("mat_singular_values", "vec", "singular values, largest first"))),
     # distributions
     *(_k(n, "distribution", " ".join(["num"] * k), "num", d) for n, k, d in (
-        ("beta_cdf", 3, "beta"), ("binom_cdf", 3, "binomial"), ("binom_pmf", 3, "binomial mass"), ("chisq_cdf", 2, "chi-squared"), ("chisq_inv", 2, "chi-squared quantile"), ("chisq_sf", 2, "chi-squared tail"),
+        ("beta_cdf", 3, "beta"), ("binom_cdf", 3, "binomial"), ("binom_pmf", 3, "binomial mass"), ("chisq_cdf", 2, "chi-squared"), ("chisq_inv", 2, "chi-squared value at a share"), ("chisq_sf", 2, "chi-squared tail"),
         ("f_cdf", 3, "Fisher"), ("f_inv", 3, "Fisher quantile"), ("f_sf", 3, "Fisher tail"), ("gamma_cdf", 3, "gamma"), ("lognorm_cdf", 3, "log-normal"), ("lognorm_inv", 3, "log-normal quantile"),
         ("norm_cdf", 1, "standard normal"), ("norm_inv", 1, "standard normal quantile"), ("norm_sf", 1, "standard normal tail"), ("normal_cdf", 3, "normal"), ("normal_inv", 3, "normal quantile"),
         ("poisson_cdf", 2, "Poisson"), ("poisson_pmf", 2, "Poisson mass"), ("t_cdf", 2, "Student"), ("t_inv", 2, "Student quantile"), ("t_pdf", 2, "Student density"), ("t_sf", 2, "Student tail"), ("t_two_sided", 2, "both Student tails"),
@@ -153,7 +152,7 @@ ENTRIES: list[Entry] = [
     _v("norm_pdf", "distribution", "num", "num", "standard normal density", "exp(-a * a / 2) / sqrt(2 * pi())"),
     _v("normal_pdf", "distribution", "num num num", "num", "normal density", "exp(-(a - b) * (a - b) / (2 * c * c)) / (c * sqrt(2 * pi()))", ("c <= 0", "a deviation is positive")),
     _v("uniform_cdf", "distribution", "num num num", "num", "uniform", "least(greatest((a - b) / (c - b), 0D), 1D)", ("c <= b", "the bounds are in order")),
-    *(_k(n, "special", " ".join(["num"] * k), "num", d, f) for n, k, d, f in (("beta_i", 3, "regularised incomplete beta", special.beta_i), ("erf", 1, "error function", math.erf), ("erfc", 1, "its complement", math.erfc), ("gamma_p", 2, "regularised lower incomplete gamma", special.gamma_p), ("gamma_q", 2, "its complement", special.gamma_q), ("gammaln", 1, "log gamma", math.lgamma))),
+    *(_k(n, "special", " ".join(["num"] * k), "num", d, f) for n, k, d, f in (("beta_i", 3, "part of the beta integral, as a share", special.beta_i), ("erf", 1, "Gauss's error integral", special.erf), ("erfc", 1, "what the error integral leaves of 1", special.erfc), ("gamma_p", 2, "lower part of the gamma integral, as a share", special.gamma_p), ("gamma_q", 2, "upper part of the gamma integral, as a share", special.gamma_q), ("gammaln", 1, "logarithm of the gamma function", special.gammaln))),
     # inference and regression
     *(_k(n, "inference", t, "num", d) for n, t, d in (
         ("chisq_test_p", "vec vec", "goodness of fit, p"), ("chisq_test_t", "vec vec", "goodness of fit"), ("f_test_p", "vec vec", "ratio of variances, p"), ("f_test_t", "vec vec", "ratio of variances"), ("jarque_bera_p", "vec", "normality, p"), ("jarque_bera_t", "vec", "normality"),
@@ -215,33 +214,60 @@ def body(e: Entry) -> str:
     return f"case when {' or '.join(f'{n} is null' for n in names)} then null else {text} end"
 
 
-def udf(e: Entry):
-    """An Arrow-backed kernel with the null and element contract. Arrow keeps a null element apart from NaN."""
-    vec, kernel, name, one = [t == "vec" for t in e.takes], e.kernel, e.name, e.gives == "vec"
-
-    def row(values: tuple):
-        args = []
-        for v, is_vec in zip(values, vec, strict=True):
-            if v is None:
-                return None
-            if is_vec:
-                if any(x is None for x in v):
-                    raise special.Refused(f"{name}: an element is null")
-                args.append(np.asarray(v, float))
-            else:
-                args.append(float(v))
-        out = kernel(*args)
-        return out if out is None or not one else np.asarray(out, float).tolist()
-
-    kind = pa.list_(pa.float64()) if one else pa.float64()
-
-    def run(*columns: pa.Array) -> pa.Array:
-        return pa.array([row(t) for t in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
+def _groups(columns: list[pa.Array], vec: list[bool], name: str):
+    """Rows without a null, in groups of equal lengths of their vectors: their places and the kernel's arguments. Arrow keeps a
+    null element apart from NaN."""
+    there = np.ones(len(columns[0]), bool)
+    for c in columns:
+        there &= c.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(there)
+    if not len(rows):
+        return
+    numbers = [None if is_vec else c.to_numpy(zero_copy_only=False).astype(float) for c, is_vec in zip(columns, vec, strict=True)]
+    parts = {}
+    for i, (c, is_vec) in enumerate(zip(columns, vec, strict=True)):
+        if is_vec:
+            offsets, missing = c.offsets.to_numpy(), np.concatenate(([0], np.cumsum(c.values.is_null().to_numpy(zero_copy_only=False))))
+            if (missing[offsets[rows + 1]] > missing[offsets[rows]]).any():
+                raise special.Refused(f"{name}: an element is null")
+            parts[i] = (offsets[rows], offsets[rows + 1] - offsets[rows], c.values.to_numpy(zero_copy_only=False))
+    lengths = np.stack([p[1] for p in parts.values()], axis=1) if parts else np.zeros((len(rows), 1), int)
+    _, group = np.unique(lengths, axis=0, return_inverse=True)
+    group = group.ravel()
+    order = np.argsort(group, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        yield rows[some], [numbers[i][rows[some]] if i not in parts else parts[i][2][parts[i][0][some][:, None] + np.arange(parts[i][1][some[0]])] for i in range(len(columns))]
+
+
+def answer(e: Entry, columns: list[pa.Array]) -> pa.Array:
+    """A kernel's answers for a batch: null for null, all rows of equal lengths in one call."""
+    size, found = len(columns[0]), list(_groups(columns, [t == "vec" for t in e.takes], e.name))
+    known = np.zeros(size, bool)
+    if e.gives == "num":
+        out = np.zeros(size)
+        for rows, args in found:
+            value = e.kernel(*args)
+            out[rows], known[rows] = np.ma.getdata(value), ~np.ma.getmaskarray(value)
+        return pa.array(out, mask=~known)
+    lengths, values = np.zeros(size, np.int64), []
+    for rows, args in found:
+        value = np.asarray(e.kernel(*args), float)
+        lengths[rows], known[rows] = value.shape[1], True
+        values.append((rows, value))
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    flat = np.empty(offsets[-1])
+    for rows, value in values:
+        flat[offsets[rows][:, None] + np.arange(value.shape[1])] = value
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array(~known))
+
 
+def udf(e: Entry):
+    """An Arrow-backed kernel with the null and element contract."""
+    run = lambda *columns: answer(e, list(columns))
     shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c), 4: lambda a, b, c, d: run(a, b, c, d), 5: lambda a, b, c, d, e_: run(a, b, c, d, e_)}
     f = shapes[len(e.takes)]
     f.__annotations__ = dict.fromkeys(f.__code__.co_varnames[: f.__code__.co_argcount], pa.Array) | {"return": pa.Array}
-    return arrow_udf(f, "array<double>" if one else "double")
+    return arrow_udf(f, "array<double>" if e.gives == "vec" else "double")
 
 
 _REGISTERED: set[str] = set()

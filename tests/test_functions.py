@@ -1,10 +1,13 @@
 """The catalogue's contract: null for null, refusals with a reason, and values from closed forms."""
 
 import math
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.functions import catalogue, scalars, special
+from tessera.functions import catalogue, kernels, scalars, special
 from tessera.session import Refused
 
 
@@ -79,3 +82,83 @@ def test_columns(spark):
     with pytest.raises(special.Refused):
         catalogue.mat_of(2, 2, df.v[0])
     assert catalogue.functions(spark).count() == 157
+
+
+KERNELS = [e for e in catalogue.ENTRIES if e.kernel is not None]
+
+
+def arguments(e, r: random.Random) -> list | None:
+    """A row that the kernel answers."""
+    n = r.choice([2, 3])
+    if e.category in ("matrix", "decomposition"):
+        m = np.array([[r.gauss(0, 1) for _ in range(n)] for _ in range(n)])
+        flat = (m @ m.T + n * np.eye(n)).ravel().tolist()
+        second = flat[: n * n] if e.name == "mat_multiply" else [r.gauss(0, 1) for _ in range(n)]
+        return [flat, second][: len(e.takes)]
+    if e.name == "irr":
+        return [[-100.0] + [r.uniform(20, 90) for _ in range(n + 1)]]
+    if e.name == "ttest_df_welch":
+        return [r.uniform(1, 5), 5.0 + n, r.uniform(1, 5), 7.0]
+    if e.name.startswith("regress_multiple") or e.name == "regress_ridge_norm":
+        return [[r.gauss(0, 1) for _ in range(2 * (n + 4))], [r.gauss(0, 1) for _ in range(n + 4)], 2.0, 0.5][: len(e.takes)]
+    if e.name == "beta_i":
+        return [r.uniform(0.5, 6), r.uniform(0.5, 6), r.uniform(0.05, 0.95)]
+    if "vec" in e.takes:
+        return [[abs(r.gauss(5, 2)) + 0.1 for _ in range(n + 4)] if t == "vec" else r.uniform(0, 1) for t in e.takes]
+    if e.name.startswith(("binom", "poisson")):
+        return [float(n), 8.0, r.uniform(0.05, 0.95)] if e.name.startswith("binom") else [float(n), r.uniform(0.5, 9)]
+    return [r.uniform(0.05, 0.95)] + [r.uniform(0.5, 6) for _ in e.takes[1:]]
+
+
+@pytest.mark.parametrize("e", KERNELS, ids=lambda e: e.name)
+def test_a_batch_gives_what_its_rows_give(e):
+    """Rows of several lengths, with nulls between them, in one batch and one by one."""
+    r = random.Random(e.name)
+    rows = [arguments(e, r) if k % 4 else None for k in range(40)]
+    kinds = [pa.list_(pa.float64()) if t == "vec" else pa.float64() for t in e.takes]
+    column = lambda some: [pa.array([x if x is None else x[i] for x in some], kinds[i]) for i in range(len(kinds))]
+    many = catalogue.answer(e, column(rows)).to_pylist()
+    sliced = catalogue.answer(e, [c.slice(5, 20) for c in column(rows)]).to_pylist()
+    for k, x in enumerate(rows):
+        one = catalogue.answer(e, column([x])).to_pylist()[0]
+        assert (one is None) == (x is None)
+        assert many[k] == (one if one is None else pytest.approx(one, rel=1e-9, abs=1e-9))
+        assert not 5 <= k < 25 or sliced[k - 5] == (one if one is None else pytest.approx(one, rel=1e-9, abs=1e-9))
+    assert catalogue.answer(e, column([])).to_pylist() == [] and catalogue.answer(e, column([None])).to_pylist() == [None]
+
+
+def test_kernels_against_numpy():
+    """Batches against numpy's routines for one problem at a time."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(30, 12)), rng.normal(size=(30, 12))
+    for k in range(30):
+        b, left, *_ = np.linalg.lstsq(np.column_stack((np.ones(12), x[k])), y[k], rcond=None)
+        assert kernels.regress_slope(x, y)[k] == pytest.approx(b[1]) and kernels.regress_residual_error(x, y)[k] == pytest.approx(math.sqrt(left[0] / 10))
+        design = np.vstack((x[k].reshape(6, 2), 0.7 * np.eye(2)))
+        ridge, *_ = np.linalg.lstsq(design, np.concatenate((y[k, :6], [0, 0])), rcond=None)
+        assert kernels.regress_ridge_norm(x, y[:, :6], np.full(30, 2.0), np.full(30, 0.49))[k] == pytest.approx(np.linalg.norm(ridge))
+    m = rng.normal(size=(20, 4, 4))
+    spd = m @ m.transpose(0, 2, 1) + np.eye(4)
+    assert np.allclose(kernels.mat_cholesky(spd.reshape(20, -1)).reshape(20, 4, 4), np.linalg.cholesky(spd))
+    assert kernels.mat_is_positive_definite(np.array([[1.0, 2, 2, 1], [2, 0, 0, 1], [1, 2, 3, 9]])).tolist() == [0.0, 1.0, 0.0]
+    flat = kernels.regress_r2(np.array([[1.0, 2, 3], [1, 2, 3]]), np.array([[3.0, 3, 3], [1, 2, 4]]))
+    assert flat.mask.tolist() == [True, False]
+
+
+def test_special_functions_over_arrays():
+    """Closed forms over wide ranges, each in one call."""
+    x = np.array([1e-8, 0.1, 0.9, 1.0, 3.0, 30.0, 200.0])
+    assert np.allclose(special.gamma_q(1.0, x), np.exp(-x), rtol=1e-12, atol=0) and np.allclose(special.gamma_p(1.0, x), -np.expm1(-x), rtol=1e-12, atol=0)
+    assert np.allclose(special.gamma_p(0.5, x * x), special.erf(x), rtol=1e-12) and np.allclose(special.gamma_q(0.5, np.minimum(x, 25) ** 2), special.erfc(np.minimum(x, 25)), rtol=1e-11, atol=0)
+    a = np.array([50.0, 1e3, 1e5, 1e6])
+    assert np.allclose(special.gamma_p(a, a) + special.gamma_q(a, a), 1) and np.allclose(special.gamma_q(a, a), 0.5 - 1 / (3 * np.sqrt(2 * np.pi * a)), atol=1e-4)
+    p = np.array([1e-12, 0.2, 0.5, 0.77, 1 - 1e-9])
+    assert np.allclose(special.beta_i(1.0, 3.0, p), -np.expm1(3 * np.log1p(-p)), rtol=1e-11) and np.allclose(special.beta_i(2.5, 1.0, p), p**2.5, rtol=1e-11)
+    assert np.allclose(special.beta_i(0.5, 0.5, p), 2 / np.pi * np.arcsin(np.sqrt(p)), rtol=1e-11) and np.allclose(special.beta_i(400.0, 300.0, p) + special.beta_i(300.0, 400.0, 1 - p), 1)
+    for df in (0.3, 1.0, 4.0, 90.0):
+        q = np.array([1e-9, 0.02, 0.5, 0.98])
+        assert np.allclose(special.t_cdf(special.t_inv(q, df), df), q, rtol=1e-9) and np.allclose(special.chisq_cdf(special.chisq_inv(q, df), df), q, rtol=1e-9) and np.allclose(special.f_cdf(special.f_inv(q, df, 3.0), df, 3.0), q, rtol=1e-9)
+    k = np.arange(12)
+    assert special.binom_pmf(k, 11, 0.3).sum() == pytest.approx(1) and np.allclose(np.cumsum(special.binom_pmf(k, 11, 0.3)), special.binom_cdf(k, 11, 0.3)) and np.allclose(np.cumsum(special.poisson_pmf(k, 2.5)), special.poisson_cdf(k, 2.5))
+    with pytest.raises(special.Refused):
+        special.gamma_p(np.array([1.0, -1.0]), 1.0)
