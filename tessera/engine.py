@@ -18,6 +18,7 @@ from tessera.operators.policy import Policy
 from tessera.session import Refused
 from tessera.sources.warehouse import Warehouse
 from tessera.statement import Named, Reader, conditions, rewritten, without_comments
+from tessera.streaming.feeds import Feeds
 
 TABLE_FUNCTIONS = set("cube_rollup cube_slice cube_consolidate cube_dimensions cube_measures cubes derived functions graph_reachable graph_time_respecting graph_shortest_path graph_cycles graph_influence".split())
 SCAN = "tessera.scan"
@@ -34,7 +35,7 @@ class Engine:
         self.derived: dict[str, str] = {}
         self.policies: dict[str, Policy] = {}
         self.aggregations: dict[str, Callable] = {}
-        self.feeds: dict[str, str] = {}
+        self.feeds = Feeds(self.warehouse) if self.warehouse else None
         self.reader = Reader(spark)
         catalogue.register(spark)
         scalars.register(spark)
@@ -157,6 +158,8 @@ class Engine:
 
         def table(parts: tuple[str, ...], at: int | None, where: dict[str, list[tuple]] | None) -> tuple[str, str, tuple[str, ...]]:
             name = ".".join(parts)
+            if parts[0].lower() == "information_schema" and len(parts) == 2:
+                return self._as_view(self._information(parts[1].lower())), parts[1], parts
             if name in self.derived:
                 if name in within:
                     raise Refused(f"derived query {name!r} names itself")
@@ -187,6 +190,18 @@ class Engine:
             df = run(conditions(df, SCAN))
         return df
 
+    def _information(self, what: str) -> DataFrame:
+        """The catalogue as rows: schemata, tables and columns, as policies show them."""
+        split = lambda t: tuple(t.split(".")) if "." in t else ("main", t)
+        if what == "schemata":
+            return self.spark.createDataFrame(sorted({(split(t)[0],) for t in self.tables()}), "schema_name string")
+        if what == "tables":
+            return self.spark.createDataFrame([(*split(t), "VIEW" if t in self.views else "BASE TABLE") for t in self.tables()], "table_schema string, table_name string, table_type string")
+        if what == "columns":
+            rows = [(*split(t), f.name, i + 1, "YES" if f.nullable else "NO", f.dataType.simpleString()) for t in self.tables() for i, f in enumerate(self.table(t).schema.fields)]
+            return self.spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, is_nullable string, data_type string")
+        raise Refused(f"no table 'information_schema.{what}'")
+
     def _as_view(self, df: DataFrame) -> str:
         name = f"_t_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(name)
@@ -210,6 +225,7 @@ class Engine:
     def _cube(self, name: str) -> Cube:
         if name not in self.cubes:
             raise Refused(f"no cube {name!r}")
+        self.cubes[name].refresh()
         return self.cubes[name]
 
     def _graph(self, name: str) -> Graph:
@@ -247,16 +263,16 @@ class Engine:
             return cube.consolidate(measure, o["along"], o.get("to"), where)
         g = self._graph(args[0])
         if f == "graph_shortest_path":
-            return g.shortest_path(args[1], args[2], int(args[3]) if len(args) > 3 else 1)
+            return g.provenance(g.shortest_path(args[1], args[2], int(args[3]) if len(args) > 3 else 1))
         seeds = args[1].split("|")
         if f == "graph_cycles":
-            return g.cycles(seeds)
+            return g.provenance(g.cycles(seeds))
         if f == "graph_influence":
             o = self._options(args[2:], ("damping", "floor"))
-            return g.influence(seeds, **{k: float(v) for k, v in o.items()})
+            return g.provenance(g.influence(seeds, **{k: float(v) for k, v in o.items()}))
         if f == "graph_time_respecting":
             o = self._options(args[2:], ("at", "min_dwell", "max_dwell", "min_conservation"))
-            return g.time_respecting(seeds, **{k: float(v) if k == "min_conservation" else int(v) for k, v in o.items()})
+            return g.provenance(g.time_respecting(seeds, **{k: float(v) if k == "min_conservation" else int(v) for k, v in o.items()}))
         o = self._options(args[2:], ("max_depth", "types", "direction", "at"))
         return g.reachable(seeds, int(o["max_depth"]) if "max_depth" in o else None, o["types"].split("|") if "types" in o else None, o.get("direction", "out"), int(o["at"]) if "at" in o else None)
 
@@ -292,13 +308,34 @@ class Engine:
         yield r"SHOW\s+AGGREGATIONS", lambda m: frame([(n,) for n in self.aggregations], "aggregation string")
         yield rf"DROP\s+AGGREGATION\s+{NAME}", lambda m: self._drop(self.aggregations, m[1], False, "aggregation")
         yield r"EXPLAIN\s+(?:(EXTENDED|FORMATTED|CODEGEN|COST)\s+)?((?:SELECT|WITH|TABLE|FROM|VALUES|\().*)", lambda m: frame([(self.explain(m[2], (m[1] or "formatted").lower()),)], "plan string")
-        yield r"SHOW\s+FEEDS", lambda m: frame(list(self.feeds.items()), "feed string, state string")
-        yield rf"RESUME\s+FEED\s+{NAME}", lambda m: self._resume(m[1])
-
-    def _resume(self, name: str) -> None:
-        if name not in self.feeds:
-            raise Refused(f"no feed {name!r}")
-        self.feeds[name] = "running"
+        yield r"SHOW\s+FEEDS", lambda m: self._need() and self.feeds.show()
+        yield rf"RESUME\s+FEED\s+{NAME}", lambda m: self._need() and self.feeds.resume(m[1])
+        yield rf"CREATE\s+GRAPH\s+{NAME}\s+FROM\s+([\w.]+)\s*\(([^()]*)\)", lambda m: self._create_graph(m[1], m[2], m[3])
+        yield rf"DROP\s+GRAPH\s+(IF\s+EXISTS\s+)?{NAME}", lambda m: self._drop(self.graphs, m[2], bool(m[1]), "graph")
+
+    def _create_graph(self, name: str, table: str, roles: str) -> None:
+        """CREATE GRAPH g FROM t (SOURCE a, TARGET b, WEIGHT w, TYPE k, VALID FROM x, VALID UNTIL y)."""
+        if name in self.graphs:
+            raise Refused(f"graph {name!r} is there already")
+        known = {"source": "source", "target": "target", "weight": "weight", "type": "edge_type", "valid from": "valid_from", "valid until": "valid_until"}
+        given = {}
+        for part in filter(None, map(str.strip, roles.split(","))):
+            *role, column = part.split()
+            if (role := " ".join(role).lower()) not in known or known[role] in given:
+                raise Refused(f"graph {name!r}: {part!r} is not understood")
+            given[known[role]] = column
+        if lost := {"source", "target"} - set(given):
+            raise Refused(f"graph {name!r} has no {', '.join(sorted(lost))}")
+        version = self._version(table)
+        self.graphs[name] = Graph(self._query(f"SELECT * FROM {table}"), **given, snapshot=None if version is None else str(version))
+
+    def _version(self, table: str) -> int | None:
+        """The version that this session reads of a versioned table."""
+        full = self.resolve(table) if "." in table or self.warehouse is not None else table
+        if full in self.views or self.warehouse is None:
+            return None
+        now = self.warehouse.current(full)
+        return self.warehouse.version(full) if now is None else now
 
     @staticmethod
     def _drop(held: dict, name: str, quiet: bool, what: str) -> None:
@@ -316,7 +353,15 @@ class Engine:
     def _create_cube(self, name: str, source: str, rest: str) -> None:
         if name in self.cubes:
             raise Refused(f"cube {name!r} is there already")
-        facts = self._query(source[1:-1] if source.startswith("(") else f"SELECT * FROM {source}")
+        query = source[1:-1] if source.startswith("(") else f"SELECT * FROM {source}"
+        facts, follow = self._query(query), None
+        if not source.startswith("(") and self._version(source) is not None:
+            follow = lambda: (self._version(source), self._query(query))
+        within = re.search(r"\bMAINTAINED\s+WITHIN\s+(\d+)\s+VERSIONS?", rest, re.I)
+        if within and follow is None:
+            raise Refused("only a cube over a versioned table is maintained")
+        pinned = [[d.strip() for d in p.split(",") if d.strip()] for p in re.findall(r"\bPINNED\s*\(([^()]*)\)", rest, re.I)]
+        rest = re.sub(r"\bMAINTAINED\s+WITHIN\s+\d+\s+VERSIONS?|\bPINNED\s*\([^()]*\)", " ", rest, flags=re.I)
         dims, hierarchies, measures = [], {}, []
         for m in re.finditer(rf"DIMENSION\s+{NAME}(?:\s+FROM\s+{NAME}\s+ON\s+(\w+))?(?:\s*\(([^()]*)\))?|MEASURE\s+{NAME}(?:\s+OF\s+(\w+))?\s*\(([^()]*)\)", rest, re.I):
             if m[1]:
@@ -332,8 +377,9 @@ class Engine:
             else:
                 rules = {}
                 for part in filter(None, map(str.strip, m[7].split(","))):
-                    if not (p := re.fullmatch(r"(\w+)\s+ALONG\s+(\w+)", part, re.I)):
+                    if not (p := re.fullmatch(r"(AGGREGATION(?:\s+\w+)?|\w+)\s+ALONG\s+(\w+)", part, re.I)):
                         raise Refused(f"measure {m[5]!r}: {part!r} is not understood")
-                    rules[p[2]] = p[1].lower()
+                    kind, _, supplied_name = p[1].partition(" ")
+                    rules[p[2]] = f"{kind.lower()} {supplied_name.strip()}" if kind.lower() == "aggregation" else kind.lower()
                 measures.append(Measure(m[5], m[6] or m[5], rules))
-        self.cubes[name] = Cube(Definition(name, tuple(dims), tuple(measures)), facts, hierarchies)
+        self.cubes[name] = Cube(Definition(name, tuple(dims), tuple(measures)), facts, hierarchies, "live" if follow is None else str(self._version(source)), self.aggregations, follow, int(within[1]) if within else None, pinned)

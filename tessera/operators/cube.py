@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import deque
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.session import Refused, shared_cut
 
 RULES = ("sum", "min", "max", "first", "last", "mean", "none")
+SUPPLIED = "aggregation "  # and the name of a supplied aggregation
 COMPOSING = ("sum", "min", "max", "first", "last")
 
 
@@ -62,25 +64,60 @@ class Definition:
         for m in self.measures:
             out += [f"measure {m.name!r} has no rule along {d!r}" for d in names if d not in m.rules]
             out += [f"measure {m.name!r} has a rule along {d!r}, which is no dimension" for d in m.rules if d not in names]
-            out += [f"measure {m.name!r}: rule {r!r} is unknown" for r in m.rules.values() if r not in RULES]
+            out += [f"measure {m.name!r}: rule {r!r} is unknown" for r in m.rules.values() if r not in RULES and not r.startswith(SUPPLIED.strip())]
+            out += [f"measure {m.name!r}: an aggregation has no name" for r in m.rules.values() if r.startswith(SUPPLIED.strip()) and not r[len(SUPPLIED) :].strip()]
         if fact_columns is not None:
             out += [f"the facts have no column {c!r}" for c in [*names, *(m.column for m in self.measures)] if c not in fact_columns]
         return out
 
 
 class Cube:
-    """A definition over a table of facts. Rows with a null key or measure are withheld and counted."""
-
-    def __init__(self, definition: Definition, facts: DataFrame, hierarchies: dict[str, DataFrame] | None = None, snapshot: str = "live"):
-        if wrong := definition.rejections(facts.columns):
+    """A definition over a table of facts. Rows with a null key or measure are withheld and counted.
+
+    With a `source` (which gives the facts' version and the facts) `refresh` follows the table: at once, or, if the cube is
+    maintained `within` some versions, only when it has fallen further behind; then its kept cuboids are made anew, and until
+    then all answers are of the older version, as their `snapshot` says. The grains in `pinned` are kept from the start."""
+
+    def __init__(self, definition: Definition, facts: DataFrame, hierarchies: dict[str, DataFrame] | None = None, snapshot: str = "live", aggregations: dict | None = None, source: Callable[[], tuple[int, DataFrame]] | None = None, within: int | None = None, pinned: Iterable[Iterable[str]] = ()):
+        wrong = definition.rejections(facts.columns)
+        self.aggregations = aggregations or {}
+        named = {r[len(SUPPLIED) :].strip() for m in definition.measures for r in m.rules.values() if r.startswith(SUPPLIED)}
+        wrong += [f"no aggregation {n!r}" for n in sorted(named - set(self.aggregations)) if n]
+        wrong += [f"pinned: {d!r} is no dimension" for g in pinned for d in g if d not in definition.names]
+        if wrong:
             raise Refused("; ".join(wrong))
         self.d, self.facts, self.snapshot = definition, facts, snapshot
+        self.source, self.within, self.pinned = source, within, [list(g) for g in pinned]
+        self.version = source()[0] if source else None
         self.parents = hierarchies or {}  # dimension -> (child, parent)
         self.overlays: dict[str, tuple[DataFrame, str]] = {}
         self.cuboids: dict[tuple[str, frozenset[str]], DataFrame] = {}
         self.log: deque = deque(maxlen=256)
         for name, edges in self.parents.items():
             self._acyclic(name, edges)
+        self._keep_pinned()
+
+    def refresh(self) -> int:
+        """Follow the source; how many versions the cube is behind it now."""
+        if self.source is None:
+            return 0
+        version, facts = self.source()
+        behind = version - self.version
+        if behind == 0 or self.within is not None and 0 < behind <= self.within:
+            return behind
+        kept = list(self.cuboids)
+        self.version, self.facts, self.snapshot = version, facts, str(version)
+        self.cuboids.clear()
+        for measure, grain in kept if self.within is not None else []:
+            self.materialise(measure, [sorted(grain)])
+        self._keep_pinned()
+        return 0
+
+    def _keep_pinned(self) -> None:
+        for m in self.d.measures:
+            for g in self.pinned:
+                if (m.name, frozenset(g)) not in self.cuboids and all(m.rules[d] in ("sum", "min", "max") for d in self.d.names if d not in g):
+                    self.materialise(m.name, [g])
 
     def measure(self, name: str) -> Measure:
         for m in self.d.measures:
@@ -109,10 +146,20 @@ class Cube:
         """The base grain: one value for each combination of members that has facts, with their number."""
         m = self.measure(measure)
         rules = set(m.rules.values())
+        if supplied := next((r for r in rules if r.startswith(SUPPLIED)), None):
+            return self._supplied(m, supplied, self.d.names, None)
         fold = F.avg if "mean" in rules else F.min if rules == {"min"} else F.max if rules == {"max"} else F.sum
         keys = [F.col(d).cast("string").alias(d) for d in self.d.names]
         return self.facts.where(self._whole(m)).groupBy(*keys).agg(fold(F.col(m.column).cast("double")).alias("value"))
 
+    def _supplied(self, m: Measure, rule: str, by: list[str], where: dict[str, list[str]] | None) -> DataFrame:
+        """A supplied aggregation over the facts themselves: its states merge, its finished values do not."""
+        if set(m.rules.values()) != {rule}:
+            raise Refused(f"measure {m.name!r}: an aggregation does not mix with other rules")
+        facts = self.facts.where(self._whole(m)).select(*(F.col(d).cast("string").alias(d) for d in self.d.names), F.col(m.column).cast("double").alias("_measure"))
+        made = self.aggregations[rule[len(SUPPLIED) :].strip()](self._dice(facts, where), by, "_measure")
+        return made.select(*by, F.col(made.columns[-1]).alias("value"))
+
     def _dice(self, cells: DataFrame, where: dict[str, list[str]] | None) -> DataFrame:
         for d in self._dims(where or {}):
             cells = cells.where(F.col(d).isin([str(x) for x in where[d]]))
@@ -129,6 +176,10 @@ class Cube:
             if rule in ("first", "last") and d not in (order or {}):
                 raise Refused(f"rule {rule} along {d!r} needs an order of its members")
         self.log.append((m.name, frozenset(by)))
+        if supplied := next((r for r in m.rules.values() if r.startswith(SUPPLIED)), None):
+            if overlay:
+                raise Refused("an overlay does not change what an aggregation is made of")
+            return self._with_provenance(self._supplied(m, supplied, by, where), m, by, min_completeness, None)
         source, grain = None, self.d.names
         if materialised and not where and not overlay and not any(m.rules[d] in ("first", "last") for d in away):
             usable = [c for (n, c) in self.cuboids if n == m.name and c >= set(by) and all(m.rules[d] in COMPOSING for d in away)]
@@ -290,4 +341,4 @@ class Cube:
         return spark.createDataFrame([(self.d.name, d.name, level, i) for d in self.d.dimensions for i, level in enumerate((d.name, *d.levels))], "cube string, dimension string, level string, depth int")
 
     def describe_measures(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.d.name, m.name, d, r, r in COMPOSING) for m in self.d.measures for d, r in m.rules.items()], "cube string, measure string, dimension string, rule string, composes boolean")
+        return spark.createDataFrame([(self.d.name, m.name, d, r, r in COMPOSING or r.startswith(SUPPLIED)) for m in self.d.measures for d, r in m.rules.items()], "cube string, measure string, dimension string, rule string, composes boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from collections.abc import Callable
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.session import Refused
+from tessera.session import Refused, shared_cut
 
 APPROXIMATE = ("approx_count_distinct", "approx_percentile", "percentile_approx", "approx_top_k", "count_min_sketch", "hll_sketch_agg", "hll_union_agg", "theta_sketch_agg")
 VOLATILE = ("rand", "randn", "random", "uuid", "shuffle", "now", "current_timestamp", "current_date", "localtimestamp", "monotonically_increasing_id")
@@ -48,17 +49,29 @@ def quantile(column: str, q: float, convention: str = "linear") -> Column:
 
 
 def lower_quantile(df: DataFrame, by: list[str], column: str, q: float, name: str = "value") -> DataFrame:
-    """The order statistic at index floor(q(n-1)) of each group, without gathering a group: equal values are counted first,
-    then a running count over the distinct ones (a window that spills) finds the place."""
+    """The order statistic at index floor(q(n-1)) of each group, without gathering a group: equal values are counted first and
+    range partitioned by group and value, so a large group lies in many parts. Its counts by part tell in which of them the
+    place is; a running count is taken within that part alone."""
     from pyspark.sql import Window as W
 
     if not 0 <= q <= 1:
         raise Refused("a share lies in [0, 1]")
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    seen = counts.withColumns({"_to": F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    own = [f"_g{i}" for i in range(len(by))]
+    groups = [F.col(b).alias(o) for b, o in zip(by, own, strict=True)]
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = shared_cut(counts.repartitionByRange(*own, "_v").withColumn("_part", F.spark_partition_id()))
+    group = W.partitionBy(*own) if own else W.partitionBy(F.lit(0))  # over a row for each group and part
+    sums = parts.groupBy(*own, "_part").agg(F.sum("_n").alias("_k"))
+    sums = sums.withColumns({"_to": F.sum("_k").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_k").over(group)})
     at = F.floor(q * (F.col("_all") - 1))
-    return seen.where((F.col("_to") > at) & (F.col("_to") - F.col("_n") <= at)).select(*by, F.col("_v").alias(name))
+    place = sums.where((F.col("_to") > at) & (F.col("_to") - F.col("_k") <= at)).select(*(F.col(o).alias(f"{o}_") for o in own), F.col("_part").alias("_part_"), (at - F.col("_to") + F.col("_k")).alias("_at"))
+    same = F.col("_part") == F.col("_part_")
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"{o}_"))
+    near = parts.join(place, same)
+    to = F.sum("_n").over(W.partitionBy(*own, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    found = near.withColumn("_to", to).where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("_n") <= F.col("_at")))
+    return found.select(*(F.col(o).alias(b) for b, o in zip(by, own, strict=True)), F.col("_v").alias(name))
 
 
 def quantile_of_sum(df: DataFrame, vector: str, q: float) -> float:
@@ -139,12 +152,12 @@ def user_aggregation(name: str, accumulate: Callable, merge: Callable, finish: C
         import pickle
 
         keys = df.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
-        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.select(*by).schema.fields)
+        head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys.select(*by).schema.fields)
 
         def part(batches):
             held: dict[tuple, object] = {}
             for b in batches:
-                for k, x in b.groupby(by, dropna=False, sort=False)["_x"]:
+                for k, x in b.groupby(by, dropna=False, sort=False)["_x"] if by else [((), b["_x"])]:
                     k = k if isinstance(k, tuple) else (k,)
                     s = held[k] if k in held else start()
                     for v in x.tolist():
@@ -161,7 +174,7 @@ def user_aggregation(name: str, accumulate: Callable, merge: Callable, finish: C
                 out = merge(out, x)
             return float(finish(out))
 
-        return keys.mapInPandas(part, f"{head}, _s binary").groupBy(*by).agg(combine("_s").alias(name))
+        return keys.mapInPandas(part, f"{head}_s binary").groupBy(*by).agg(combine("_s").alias(name))
 
     @pandas_udf("double")
     def whole(x: pd.Series) -> float:
@@ -175,12 +188,27 @@ def user_aggregation(name: str, accumulate: Callable, merge: Callable, finish: C
 
 
 PARTS = ("start", "accumulate", "merge", "finish")
+#: What supplied code may call besides its own functions and `math`.
+BUILTINS = {f.__name__: f for f in (abs, all, any, bool, dict, divmod, enumerate, float, int, isinstance, len, list, map, max, min, pow, range, reversed, round, set, sorted, str, sum, tuple, zip, ValueError, ZeroDivisionError)}
+
+
+def _harmless(tree: ast.AST) -> None:
+    """Refuse code that imports, or reaches for what is not given to it. This is a fence and no jail: what runs is still bounded
+    only by Spark's worker processes."""
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.ClassDef, ast.AsyncFunctionDef, ast.With, ast.While)):
+            raise Refused(f"supplied code may not hold {type(node).__name__}")
+        name = node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
+        if name.startswith("_") or name in ("format", "format_map", "mro"):
+            raise Refused(f"supplied code may not use {name!r}")
 
 
 def supplied(name: str, code: str):
     """A user aggregation from Python text that defines start, accumulate, merge and finish."""
-    space: dict = {}
-    exec(compile(code, f"<aggregation {name}>", "exec"), space)  # noqa: S102  only where the engine's owner allows it
+    tree = ast.parse(code, f"<aggregation {name}>")
+    _harmless(tree)
+    space: dict = {"__builtins__": BUILTINS, "math": math}
+    exec(compile(tree, f"<aggregation {name}>", "exec"), space)  # noqa: S102  only where the engine's owner allows it
     if lost := [p for p in PARTS if not callable(space.get(p))]:
         raise Refused(f"aggregation {name!r} does not define {', '.join(lost)}")
     return user_aggregation(name, space["accumulate"], space["merge"], space["finish"], space["start"])

@@ -1,19 +1,23 @@
 """Graphs over tables of edges: (src, dst), optionally type, weight, valid_from and valid_until.
 
-What proceeds level by level is a loop of joins over the frontier, whatever the size of the graph. What does not (label
-setting in time or cost order, loopless paths) runs as a kernel over the part of the graph that lies within the budget's
-depth of the seeds, and is refused instead of being cut short: beyond the budget's edges, where a vertex on the way has more
-than the budget's degree, and, for cheapest paths and arrivals, where the depth leaves out what could change the result.
+Everything proceeds by rounds of joins over edges and labels, whatever the size of the graph: levels of a search, labels of
+cost or arrival time that are corrected until none changes, paths that grow by an edge. A budget bounds levels, results and
+the edges a search may visit, and a question beyond it is refused instead of being cut short. Only the order of moves that
+makes communities is sequential: it runs by connected component, each in a task of its own, and refuses components that are
+too large for one.
+
+Every result can say where it comes from (`provenance`): the graph's epoch, its snapshot, and whether and why it is cut.
 """
 
 from __future__ import annotations
 
-import heapq
+import copy
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components as _components
@@ -32,7 +36,7 @@ GENEROUS = Budget(100_000, 10_000_000, 64, 1 << 60)
 
 
 class Graph:
-    def __init__(self, edges: DataFrame, source: str = "src", target: str = "dst", weight: str | None = None, edge_type: str | None = None, valid_from: str | None = None, valid_until: str | None = None, budget: Budget = Budget()):  # noqa: B008
+    def __init__(self, edges: DataFrame, source: str = "src", target: str = "dst", weight: str | None = None, edge_type: str | None = None, valid_from: str | None = None, valid_until: str | None = None, budget: Budget = Budget(), snapshot: str | None = None):  # noqa: B008
         if lost := [c for c in (source, target, weight, edge_type, valid_from, valid_until) if c and c not in edges.columns]:
             raise Refused(f"the edges have no column {', '.join(lost)}")
         null = lambda c, kind: F.col(c).cast(kind) if c else F.lit(None).cast(kind)
@@ -40,7 +44,7 @@ class Graph:
             F.col(source).cast("string").alias("src"), F.col(target).cast("string").alias("dst"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
             null(edge_type, "string").alias("type"), null(valid_from, "long").alias("valid_from"), null(valid_until, "long").alias("valid_until"),
         ).where("src is not null and dst is not null")
-        self.budget = budget
+        self.budget, self.epoch, self.snapshot = budget, 1, snapshot
 
     @property
     def spark(self) -> SparkSession:
@@ -68,7 +72,7 @@ class Graph:
         """(vertex, depth, via, truncated): breadth first; `via` is the least vertex one level nearer. A vertex of more than the
         budget's degree is returned and not expanded; `truncated` says whether that or the depth left anything unseen."""
         found, by_degree, by_depth = self._reach(seeds, max_depth, types, direction, at)
-        return found.withColumn("truncated", F.lit(by_degree or by_depth))
+        return self.provenance(found, by_degree or by_depth, "degree" if by_degree else "depth" if by_depth else None)
 
     def _reach(self, seeds: Iterable, max_depth: int | None = None, types: list[str] | None = None, direction: str = "out", at: int | None = None) -> tuple[DataFrame, bool, bool]:
         """What is reached, whether a vertex nearer than the depth was too wide to expand, whether the depth left anything unseen."""
@@ -173,138 +177,168 @@ class Graph:
                 return new.select("vertex", F.col("n").alias("c"))
             colour = new.select("vertex", F.col("n").alias("c"))
 
-    # kernels over a bounded part
-    def _near(self, seeds: Iterable, types: list[str] | None = None, whole: bool = False) -> list[tuple]:
+    # labels that are corrected until none changes
+    def _within(self, seeds: Iterable, whole: bool) -> DataFrame:
         """Edges within the budget's depth of the seeds; refused beyond the budget's visits, past a vertex of more than its
         degree and, if what is reached must be `whole`, beyond its depth."""
-        seeds = list(seeds)
-        found, by_degree, by_depth = self._reach(seeds, types=types)
+        found, by_degree, by_depth = self._reach(list(seeds))
         if by_degree:
             raise Refused(f"a vertex within depth {self.budget.depth} has more than {self.budget.degree} neighbours; give a larger budget")
         if whole and by_depth:
             raise Refused(f"the graph goes on beyond depth {self.budget.depth}; give a larger budget")
-        found = found.select(F.col("vertex").alias("src"))
-        part = self._typed(types).join(found, "src", "left_semi").limit(self.budget.visits + 1).collect()
-        if len(part) > self.budget.visits:
+        part = shared_cut(self.edges.join(found.select(F.col("vertex").alias("src")), "src", "left_semi"))
+        if part.count() > self.budget.visits:
             raise Refused(f"more than {self.budget.visits} edges lie within depth {self.budget.depth}; give a larger budget")
-        return sorted(((r["src"], r["dst"], r["weight"], r["valid_from"], r["valid_until"]) for r in part), key=lambda e: tuple((x is not None, x) for x in e))
+        return part
 
     def shortest_path(self, source, target, k: int = 1) -> DataFrame:
-        """The k cheapest loopless paths (Dijkstra, Yen), one row a step: path_id, position, vertex, path_cost, path_hops."""
+        """The k cheapest loopless paths, one row a step: path_id, position, vertex, path_cost, path_hops. Of paths of one cost
+        the one whose vertices, from the end, come first. Yen's scheme over searches that each run as rounds of joins."""
         source, target = str(source), str(target)
-        out: dict[str, dict[str, float]] = defaultdict(dict)
-        for s, d, w, _, _ in self._near([source], whole=True):
-            if w < 0:
-                raise Refused("a weight is negative")
-            out[s][d] = min(w, out[s].get(d, float("inf")))
+        edges = self._within([source], whole=True)
+        if edges.where("weight < 0").limit(1).count():
+            raise Refused("a weight is negative")
         self._seeds([target])
-        paths = list(_yen(out, source, target, k))
+        edges = shared_cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+        paths = _cheapest(lambda banned, cut, start: self._search(edges, start, target, banned, cut), source, k)
         rows = [(i, p, v, cost, len(path) - 1) for i, (cost, path) in enumerate(paths) for p, v in enumerate(path)]
         return self.spark.createDataFrame(rows, "path_id int, position int, vertex string, path_cost double, path_hops int")
 
+    def _search(self, edges: DataFrame, source: str, target: str, banned: frozenset[str], cut: frozenset[tuple[str, str]]) -> list[tuple[str, float]] | None:
+        """The cheapest path's vertices, each with the cost up to it. `banned` and `cut` are parts of paths already found. Only
+        labels that have changed are carried on, and none that costs more than the target does already."""
+        if banned:
+            edges = edges.where(~F.col("dst").isin(list(banned)) & ~F.col("src").isin(list(banned)))
+        for s, d in cut:
+            edges = edges.where((F.col("src") != s) | (F.col("dst") != d))
+        labels = self.spark.createDataFrame([(source, 0.0, None)], "vertex string, cost double, via string")
+        front = labels
+        while True:
+            reached = edges.join(front.select(F.col("vertex").alias("src"), "cost"), "src").select(F.col("dst").alias("vertex"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("via"), F.lit(True).alias("new"))
+            both = reached.unionByName(labels.withColumn("new", F.lit(False)))
+            best = both.groupBy("vertex").agg(F.min(F.struct("cost", F.coalesce("via", F.lit("")).alias("via"), "new")).alias("l"))
+            best = shared_cut(best.select("vertex", "l.cost", F.nullif("l.via", F.lit("")).alias("via"), "l.new"))
+            labels, end = best.drop("new"), best.where(F.col("vertex") == target).select("cost").first()
+            front = best.where("new")
+            if end is not None:
+                front = front.where(F.col("cost") < end["cost"])
+            if front.isEmpty():
+                break
+        path, at = [], target
+        while at is not None:  # a look-up for each step of one path
+            row = labels.where(F.col("vertex") == at).first()
+            if row is None:
+                return None
+            path.append((at, row["cost"]))
+            at = row["via"] if at != source else None
+        return path[::-1]
+
     def cycles(self, seeds: Iterable) -> DataFrame:
-        """Simple circuits, of up to the budget's depth in steps, through a seed that is their least vertex: (cycle_id, position, vertex), closed."""
-        out: dict[str, set[str]] = defaultdict(set)
-        for s, d, *_ in self._near(seeds):
-            out[s].add(d)
-        rows, n, visits = [], 0, 0
-        for seed in sorted({str(s) for s in seeds}):
-            stack = [(seed, [seed])]
-            while stack:
-                v, path = stack.pop()
-                visits += 1
-                if visits > self.budget.visits or n > self.budget.results:
-                    raise Refused("the circuits exceed the budget")
-                for w in sorted(out[v], reverse=True):
-                    if w == seed:
-                        rows += [(n, i, x) for i, x in enumerate([*path, seed])]
-                        n += 1
-                    elif w > seed and w not in path and len(path) < self.budget.depth:
-                        stack.append((w, [*path, w]))
-        return self.spark.createDataFrame(rows, "cycle_id int, position int, vertex string")
+        """Simple circuits, of up to the budget's depth in steps, through a seed that is their least vertex: (cycle_id, position,
+        vertex), closed. Paths grow by an edge a round and keep to vertices greater than their seed."""
+        edges = shared_cut(self._within(seeds, whole=False).select("src", "dst").distinct())
+        paths = self._seeds(seeds).select(F.array("vertex").alias("path"), F.col("vertex").alias("end"))
+        found, walked = None, 0
+        for _ in range(self.budget.depth):
+            grown = shared_cut(paths.join(edges.withColumnRenamed("src", "end"), "end").where((F.col("dst") == F.get("path", 0)) | (F.col("dst") > F.get("path", 0)) & ~F.array_contains("path", F.col("dst"))))
+            closed = grown.where(F.col("dst") == F.get("path", 0)).select(F.array_append("path", F.col("dst")).alias("path"))
+            found = closed if found is None else found.unionByName(closed)
+            paths = grown.where(F.col("dst") != F.get("path", 0)).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("end"))
+            walked += grown.count()
+            if walked > self.budget.visits or found.count() > self.budget.results:
+                raise Refused("the circuits exceed the budget")
+        found = found.orderBy("path").limit(self.budget.results)  # within the budget: all of them
+        numbered = found.withColumn("cycle_id", F.row_number().over(Window.orderBy("path")) - 1)
+        return numbered.select("cycle_id", F.posexplode("path").alias("position", "vertex"))
 
     def time_respecting(self, seeds: Iterable, at: int = 0, min_dwell: int = 0, max_dwell: int | None = None, min_conservation: float = 0.0) -> DataFrame:
         """(vertex, arrival, hops, via): earliest arrivals over edges whose validity starts no earlier than one stands there;
-        refused if the budget's depth in hops leaves out an arrival or an earlier one."""
-        out: dict[str, list[tuple]] = defaultdict(list)
-        for s, d, w, a, b in self._near(seeds):
-            if a is not None and (b is None or b > a):
-                out[s].append((a, d, w))
-        best: dict[str, tuple] = {}
-        beyond: dict[str, int] = {}
-        heap = [(at, 0, str(s), None, None) for s in seeds]
-        heapq.heapify(heap)
-        while heap:
-            t, hops, v, via, w = heapq.heappop(heap)
-            if v in best:
-                continue
-            best[v] = (t, hops, via)
-            for a, d, x in out[v]:
-                wait = a - t
-                if wait >= min_dwell and (max_dwell is None or hops == 0 or wait <= max_dwell) and (w is None or x >= w * min_conservation) and d not in best:
-                    if hops >= self.budget.depth:
-                        beyond[d] = min(a, beyond.get(d, a))
-                        continue
-                    heapq.heappush(heap, (a, hops + 1, d, v, x))
-        if any(v not in best or a < best[v][0] for v, a in beyond.items()):
+        refused if the budget's depth in hops leaves out an arrival or an earlier one.
+
+        Each vertex has one label, the least of (arrival, hops, via, weight). All labels are made anew from their predecessors'
+        in each round; a label depends only on lesser ones, so they settle from the seeds on."""
+        edges = shared_cut(self._within(seeds, whole=False).where("valid_from is not null and (valid_until is null or valid_until > valid_from)").select("src", "dst", "weight", "valid_from"))
+        label = "arrival long, hops int, via string, w double"
+        first = self._seeds(seeds).select("vertex", F.struct(F.lit(at).cast("long").alias("arrival"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("double").alias("w")).alias("l"))
+        labels = shared_cut(first)
+
+        def steps(labels: DataFrame) -> DataFrame:
+            met = edges.join(labels.withColumnRenamed("vertex", "src"), "src")
+            wait = F.col("valid_from") - F.col("l.arrival")
+            fits = (wait >= min_dwell) & (F.col("l.w").isNull() | (F.col("weight") >= F.col("l.w") * min_conservation))
+            fits = fits if max_dwell is None else fits & ((F.col("l.hops") == 0) | (wait <= max_dwell))
+            new = F.struct(F.col("valid_from").alias("arrival"), (F.col("l.hops") + 1).alias("hops"), F.col("src").alias("via"), F.col("weight").alias("w")).cast(f"struct<{label.replace(' ', ':')}>".replace(",:", ","))
+            return met.where(fits).select(F.col("dst").alias("vertex"), new.alias("l"))
+
+        while True:
+            reached = steps(labels.where(F.col("l.hops") < self.budget.depth))
+            after = shared_cut(reached.unionByName(first).groupBy("vertex").agg(F.min("l").alias("l")))
+            same = after.join(labels.select("vertex", F.col("l").alias("o")), "vertex", "left").where(~F.col("l").eqNullSafe(F.col("o"))).isEmpty() and after.count() == labels.count()
+            labels = after
+            if same:
+                break
+        beyond = steps(labels.where(F.col("l.hops") >= self.budget.depth)).groupBy("vertex").agg(F.min("l.arrival").alias("a"))
+        if not beyond.join(labels, "vertex", "left").where(F.col("l").isNull() | (F.col("a") < F.col("l.arrival"))).isEmpty():
             raise Refused(f"arrivals go on beyond {self.budget.depth} hops; give a larger budget")
-        rows = [(v, t, h, via) for v, (t, h, via) in sorted(best.items())]
-        return self.spark.createDataFrame(rows, "vertex string, arrival long, hops int, via string")
+        return labels.select("vertex", "l.arrival", "l.hops", "l.via")
 
     def betweenness(self, samples: int = 64) -> DataFrame:
-        """Brandes' estimate from the `samples` first vertices by hash, scaled to all."""
-        chosen = [r[0] for r in self.vertices().orderBy(F.xxhash64("vertex"), "vertex").limit(samples).collect()]
-        n = self.vertices().count()
-        part = self.edges.select("src", "dst").distinct().limit(GENEROUS.visits + 1)
-        out: dict[str, list[str]] = defaultdict(list)
-        found = part.collect()
-        if len(found) > GENEROUS.visits:
-            raise Refused("the graph is too large for an estimate of betweenness")
-        for s, d in sorted(map(tuple, found)):
-            out[s].append(d)
-        given = self.spark.sparkContext.broadcast(dict(out))
-
-        def run(batches):
-            import pandas as pd
-
-            for b in batches:
-                score: dict[str, float] = defaultdict(float)
-                for s in b["vertex"]:
-                    for v, x in _brandes(given.value, s).items():
-                        score[v] += x
-                yield pd.DataFrame({"vertex": pd.Series(list(score), dtype=object), "score": pd.Series(list(score.values()), dtype=float)})
-
-        some = self.spark.createDataFrame([(v,) for v in chosen], "vertex string").repartition(min(8, max(1, len(chosen))))
-        return some.mapInPandas(run, "vertex string, score double").groupBy("vertex").agg((F.sum("score") * (n / max(1, len(chosen)))).alias("betweenness"))
-
-    def communities(self, passes: int = 10) -> DataFrame:
-        """Local moves of vertices, in order, to the neighbouring community that raises modularity most: (vertex, community)."""
-        part = self.edges.where("src <> dst").limit(GENEROUS.visits + 1).collect()
-        if len(part) > GENEROUS.visits:
-            raise Refused("the graph is too large for local moves")
-        near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for r in part:
-            near[r["src"]][r["dst"]] += r["weight"]
-            near[r["dst"]][r["src"]] += r["weight"]
-        deg = {v: sum(x.values()) for v, x in near.items()}
-        two_m = sum(deg.values()) or 1.0
-        of, total = {v: v for v in near}, dict(deg)
-        for _ in range(passes):
-            moved = False
-            for v in sorted(near):
-                total[of[v]] -= deg[v]
-                links: dict[str, float] = defaultdict(float)
-                for u, w in near[v].items():
-                    links[of[u]] += w
-                best = max(sorted({*links, of[v]}), key=lambda c: (links.get(c, 0.0) - total[c] * deg[v] / two_m, c == of[v]))
-                moved, of[v] = moved or best != of[v], best
-                total[best] += deg[v]
-            if not moved:
-                break
-        least: dict[str, str] = {}
-        for v in sorted(of):
-            least.setdefault(of[v], v)
-        return self.spark.createDataFrame([(v, least[c]) for v, c in sorted(of.items())], "vertex string, community string")
+        """Brandes' estimate from the `samples` first vertices by hash, scaled to all. All sources search at once, a level a
+        round; what depends on a vertex is then gathered from the last level back to the first."""
+        vertices = shared_cut(self.vertices())
+        sources = vertices.orderBy(F.xxhash64("vertex"), "vertex").limit(samples)
+        scale = vertices.count() / max(1, min(samples, vertices.count()))
+        edges = shared_cut(self.edges.select("src", "dst").distinct())
+        front = shared_cut(sources.select(F.col("vertex").alias("source"), "vertex", F.lit(1.0).alias("paths")))
+        seen, levels = front.select("source", "vertex"), []
+        while not front.isEmpty():
+            levels.append(front)
+            after = edges.join(front.withColumnRenamed("vertex", "src"), "src").groupBy("source", F.col("dst").alias("vertex")).agg(F.sum("paths").alias("paths"))
+            front = shared_cut(after.join(seen, ["source", "vertex"], "left_anti"))
+            seen = shared_cut(seen.unionByName(front.select("source", "vertex")))
+        total, gained = None, None
+        for level in levels[::-1]:
+            if gained is None:
+                gained = level.withColumn("gain", F.lit(0.0))
+            else:
+                back = edges.join(gained.select("source", F.col("vertex").alias("dst"), ((1 + F.col("gain")) / F.col("paths")).alias("each")), "dst").groupBy("source", F.col("src").alias("vertex")).agg(F.sum("each").alias("each"))
+                gained = level.join(back, ["source", "vertex"], "left").select("source", "vertex", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("gain"))
+            gained = shared_cut(gained)
+            total = gained if total is None else total.unionByName(gained)
+        return total.where("source <> vertex").groupBy("vertex").agg((F.sum("gain") * scale).alias("betweenness")) if total is not None else self.spark.createDataFrame([], "vertex string, betweenness double")
+
+    def communities(self, passes: int = 10, most: int = 10_000_000) -> DataFrame:
+        """Local moves of vertices, in order, to the neighbouring community that raises modularity most: (vertex, community). A
+        move looks at its own connected component and the sum of all weights only, so components are moved side by side, each
+        in one task; a component of more than `most` edges is refused."""
+        edges = shared_cut(self.edges.where("src <> dst").select("src", "dst", "weight"))
+        parts = _components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), shared_cut)
+        edges = shared_cut(edges.join(parts.withColumnRenamed("node", "src"), "src"))
+        if not edges.groupBy("component").count().where(F.col("count") > most).isEmpty():
+            raise Refused("a connected component is too large for local moves")
+        two_m = 2 * (edges.agg(F.sum("weight")).first()[0] or 0.5)
+
+        def move(rows: pd.DataFrame) -> pd.DataFrame:
+            of = _local_moves(rows, two_m, passes)
+            return pd.DataFrame({"vertex": pd.Series(list(of), dtype=object), "community": pd.Series(list(of.values()), dtype=object)})
+
+        return edges.groupBy("component").applyInPandas(move, "vertex string, community string")
+
+    def influence_between(self, source, target, damping: float = 1.0, floor: float = 1e-4) -> float:
+        """What of the source's influence arrives at the target."""
+        self._seeds([target])
+        row = self.influence([source], damping, floor).where(F.col("vertex") == str(target)).first()
+        return row["influence"] if row else 0.0
+
+    def provenance(self, df: DataFrame, truncated: bool = False, reason: str | None = None) -> DataFrame:
+        """A result with the graph's epoch and snapshot, and whether and why it leaves something out, in every row."""
+        return df.withColumns({"epoch": F.lit(self.epoch), "snapshot": F.lit(self.snapshot).cast("string"), "truncated": F.lit(truncated), "truncation_reason": F.lit(reason).cast("string")})
+
+    def with_edges(self, more: DataFrame) -> Graph:
+        """The graph of the next epoch, with edges added (columns as in `edges`)."""
+        out = copy.copy(self)
+        out.edges, out.epoch = self.edges.unionByName(more.select(*self.edges.columns)), self.epoch + 1
+        return out
 
     def modularity(self, communities: DataFrame) -> float:
         c = communities.select("vertex", "community")
@@ -315,58 +349,50 @@ class Graph:
         return inside / m - ends.agg(F.sum(F.pow(F.col("d") / (2 * m), 2))).first()[0]
 
 
-def _dijkstra(out: dict, source: str, target: str, banned: frozenset = frozenset(), cut: frozenset = frozenset()) -> tuple[float, list[str]] | None:
-    heap, seen = [(0.0, [source])], set()
-    while heap:
-        cost, path = heapq.heappop(heap)
-        v = path[-1]
-        if v == target:
-            return cost, path
-        if v in seen:
-            continue
-        seen.add(v)
-        for w, x in out.get(v, {}).items():
-            if w not in seen and w not in banned and (v, w) not in cut:
-                heapq.heappush(heap, (cost + x, [*path, w]))
-    return None
-
-
-def _yen(out: dict, source: str, target: str, k: int) -> Iterable[tuple[float, list[str]]]:
-    first = _dijkstra(out, source, target)
-    found, waiting = [first] if first else [], []
-    while found and len(found) < k:
-        _, last = found[-1]
-        for i in range(len(last) - 1):
-            root = last[: i + 1]
-            cut = frozenset((p[i], p[i + 1]) for _, p in found if p[: i + 1] == root and len(p) > i + 1)
-            if spur := _dijkstra(out, last[i], target, frozenset(root[:-1]), cut):
-                cost = sum(out[a][b] for a, b in zip(root, root[1:], strict=False)) + spur[0]
-                if (item := (cost, root[:-1] + spur[1])) not in waiting and item not in found:
-                    heapq.heappush(waiting, item)
-        if not waiting:
+def _cheapest(search, source: str, k: int) -> list[tuple[float, list[str]]]:
+    """Yen's scheme: each next path leaves one that is found at some vertex, by an edge that none of the found ones with the
+    same beginning has taken. `search(banned, cut, start)` gives a path's vertices with the cost up to each."""
+    first = search(frozenset(), frozenset(), source)
+    found: list[tuple[float, list[str], list[float]]] = []
+    waiting = [(first[-1][1], [v for v, _ in first], [c for _, c in first])] if first else []
+    while waiting and len(found) < k:
+        waiting.sort()
+        _, path, costs = waiting.pop(0)
+        found.append((costs[-1], path, costs))
+        if len(found) == k:
+            break
+        for i in range(len(path) - 1):
+            root = path[: i + 1]
+            cut = frozenset((p[i], p[i + 1]) for _, p, _ in found if p[: i + 1] == root and len(p) > i + 1)
+            if spur := search(frozenset(root[:-1]), cut, path[i]):
+                new = (costs[i] + spur[-1][1], root + [v for v, _ in spur[1:]], costs[: i + 1] + [costs[i] + c for _, c in spur[1:]])
+                if all(new[1] != p for _, p, _ in (*waiting, *found)):
+                    waiting.append(new)
+    return [(cost, path) for cost, path, _ in found]
+
+
+def _local_moves(edges: pd.DataFrame, two_m: float, passes: int) -> dict[str, str]:
+    """Of one component: each vertex's community, named by its least vertex."""
+    near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+    for s, d, w in sorted(zip(edges["src"], edges["dst"], edges["weight"], strict=True)):
+        near[s][d] += w
+        near[d][s] += w
+    ends = {v: sum(x.values()) for v, x in near.items()}
+    of, total = {v: v for v in near}, dict(ends)
+    for _ in range(passes):
+        moved = False
+        for v in sorted(near):
+            here = of[v]
+            total[here] -= ends[v]
+            links: dict[str, float] = defaultdict(float)
+            for u, w in near[v].items():
+                links[of[u]] += w
+            of[v] = max(sorted({*links, here}), key=lambda c: (links.get(c, 0.0) - total[c] * ends[v] / two_m, c == here))
+            moved |= of[v] != here
+            total[of[v]] += ends[v]
+        if not moved:
             break
-        found.append(heapq.heappop(waiting))
-    return found
-
-
-def _brandes(out: dict, s: str) -> dict[str, float]:
-    order, before, paths, depth = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-    front = [s]
-    while front:
-        after = []
-        for v in front:
-            order.append(v)
-            for w in out.get(v, ()):
-                if w not in depth:
-                    depth[w] = depth[v] + 1
-                    after.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        front = after
-    gain: dict[str, float] = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            gain[v] += paths[v] / paths[w] * (1 + gain[w])
-    gain.pop(s, None)
-    return gain
+    least: dict[str, str] = {}
+    for v in sorted(of):
+        least.setdefault(of[v], v)
+    return {v: least[of[v]] for v in sorted(of)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,8 +98,9 @@ def should_stop(feed: Feed, good: int, bad: int) -> str | None:
     return None
 
 
-def run(spark: SparkSession, feed: Feed, path: str, warehouse: Warehouse, table: str, checkpoint: str, quarantine: str = "sys.quarantine"):
-    """A stream over a folder of files that ends when all that is there has been read (its position survives)."""
+def run(spark: SparkSession, feed: Feed, path: str, warehouse: Warehouse, table: str, checkpoint: str, quarantine: str = "sys.quarantine", looked_at: int | None = None):
+    """A stream over a folder of files that ends when all that is there has been read (its position survives). `looked_at`: a
+    batch at which the feed has stopped and which is to be taken all the same; the stop rule holds again behind it."""
     lines = spark.readStream.text(path).select("value", F.col("_metadata.file_name").alias("_file"))
 
     def batch(df: DataFrame, number: int) -> None:
@@ -108,8 +110,8 @@ def run(spark: SparkSession, feed: Feed, path: str, warehouse: Warehouse, table:
             counts = bound.agg(F.count_if(F.col("reason_code").isNull()).alias("g"), F.count_if(F.col("reason_code").isNotNull()).alias("b")).first()
             if counts["b"]:
                 warehouse.publish(quarantine, bad, txn=(f"{feed.name}/bad", number))
-            if why := should_stop(feed, counts["g"], counts["b"]):
-                raise Refused(f"feed {feed.name!r} stopped: {why}")
+            if (why := should_stop(feed, counts["g"], counts["b"])) and number != looked_at:
+                raise Refused(f"feed {feed.name!r} stopped at batch {number}: {why}")
             if counts["g"]:
                 warehouse.publish(table, good, txn=(f"{feed.name}/good", number))
         finally:
@@ -118,15 +120,90 @@ def run(spark: SparkSession, feed: Feed, path: str, warehouse: Warehouse, table:
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_changes(changes: DataFrame, warehouse: Warehouse, table: str, key: list[str], checkpoint: str):
+class Feeds:
+    """The feeds of a warehouse: declarations, where each stands, and what it has taken. Their states lie beside the tables, so
+    they outlive a session: declared, running, done, or stopped at a batch with a reason until someone resumes them."""
+
+    def __init__(self, warehouse: Warehouse):
+        self.warehouse, self.root = warehouse, f"{warehouse.root}/_feeds"
+
+    def declare(self, feed: Feed, path: str, table: str) -> None:
+        if feed.name in self.states():
+            raise Refused(f"feed {feed.name!r} is there already")
+        self._write(feed.name, {"feed": asdict(feed), "path": path, "table": table, "state": "declared", "reason": None, "batch": None})
+
+    def states(self) -> dict[str, dict]:
+        store = self.warehouse.store
+        return {n[:-5]: json.loads(store.read(f"{self.root}/{n}")) for n in store.names(self.root) if n.endswith(".json")}
+
+    def _write(self, name: str, state: dict) -> None:
+        self.warehouse.store.replace(f"{self.root}/{name}.json", json.dumps(state))
+
+    def _of(self, name: str) -> dict:
+        if (state := self.states().get(name)) is None:
+            raise Refused(f"no feed {name!r}")
+        return state
+
+    def run(self, name: str, looked_at: int | None = None) -> str:
+        """Take what is there; the feed's state afterwards. A feed that has stopped is only resumed."""
+        s = self._of(name)
+        if s["state"] == "stopped" and looked_at is None:
+            raise Refused(f"feed {name!r} has stopped: {s['reason']}")
+        feed = Feed(**s["feed"] | {"columns": tuple(FeedColumn(**c) for c in s["feed"]["columns"])})
+        self._write(name, s | {"state": "running", "reason": None, "batch": None})
+        try:
+            run(self.warehouse.spark, feed, s["path"], self.warehouse, s["table"], f"{self.root}/{name}-position", looked_at=looked_at).awaitTermination()
+        except Exception as e:
+            found = re.search(r"stopped at batch (\d+): ([^\n]*)", str(e))
+            self._write(name, s | {"state": "stopped", "reason": found[2] if found else str(e).splitlines()[0][:300], "batch": int(found[1]) if found else None})
+            if not found:
+                raise
+            return "stopped"
+        self._write(name, s | {"state": "done", "reason": None, "batch": None})
+        return "done"
+
+    def resume(self, name: str) -> str:
+        """Go on behind a stop: the batch it stopped at is taken as it is, its bad records in quarantine."""
+        s = self._of(name)
+        if s["state"] != "stopped":
+            raise Refused(f"feed {name!r} has not stopped")
+        return self.run(name, s["batch"] if s["batch"] is not None else -1)
+
+    def show(self) -> DataFrame:
+        """feed, state, reason, target, rows taken and rows in quarantine."""
+        out = []
+        w = self.warehouse
+        for name, s in sorted(self.states().items()):
+            taken = sum(f["rows"] for f in w.state(s["table"])["files"].values()) if w.version(s["table"]) >= 0 else 0
+            bad = w.table("sys.quarantine").where(F.col("feed") == name).count() if w.version("sys.quarantine") >= 0 else 0
+            out.append((name, s["state"], s["reason"], s["table"], taken, bad))
+        return w.spark.createDataFrame(out, "feed string, state string, reason string, target string, target_rows long, quarantined long")
+
+
+def first_load(rows: DataFrame, warehouse: Warehouse, table: str, key: list[str], position: int) -> int:
+    """The state of a source as of a position, as the first rows of a keyed table. `apply_changes` goes on right behind it."""
+    if warehouse.version(table) >= 0:
+        raise Refused(f"{table!r} is there already")
+    return warehouse.publish(table, rows.withColumns({"commit_pos": F.lit(position).cast("long"), "op": F.lit("I")}), key=key, txn=(f"{table}/loaded", position))
+
+
+def apply_changes(changes: DataFrame, warehouse: Warehouse, table: str, key: list[str], checkpoint: str, kept_from: int = 0, every: str | None = None):
     """A stream of change rows (key, columns, commit_pos, op) appended to a keyed table; reads show the latest of each key.
-    Replays are harmless: a batch commits once, and repeated rows have equal positions."""
+    Replays are harmless: a batch commits once, and repeated rows have equal positions. After a `first_load` changes up to its
+    position are left out, since it holds them; a stream that keeps changes only `kept_from` a later one would leave a gap and
+    is refused. `every`: flush so often and go on, instead of ending with what is there (the source's own options bound how
+    much a flush takes)."""
+    loaded = warehouse.state(table)["txns"].get(f"{table}/loaded") if warehouse.version(table) >= 0 else None
+    if loaded is not None and kept_from > loaded + 1:
+        raise Refused(f"positions {loaded + 1} to {kept_from - 1} are neither in the first load nor in the stream")
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df if loaded is None else df.where(F.col("commit_pos") > loaded)
         if not df.isEmpty():
             warehouse.publish(table, df, key=key, txn=(f"{table}/changes", number))
 
-    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
 
 
 def sealed(rows: DataFrame, xid: str = "xid") -> DataFrame:
