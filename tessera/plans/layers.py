@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from tessera.operators import exact
 from tessera.operators.cube import Cube, Definition, Dimension, Measure
 from tessera.operators.graph import GENEROUS, Budget, Graph
 from tessera.operators.policy import Mask, Policy
-from tessera.session import shared_cut
-from tessera.sources.warehouse import Warehouse, splice
+from tessera.session import local_folder, shared_cut
+from tessera.sources.warehouse import Store, Warehouse, splice
 from tessera.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,7 @@ ORACLE: dict[str, str] = {}
 
 def query(oracle: str | None = None):
     def keep(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = _swept(f)
         if oracle is not None:
             ORACLE[f.__name__] = oracle
         return f
@@ -39,10 +40,31 @@ def read(spark: SparkSession, sf_dir: str, *names: str):
     return found[0] if len(found) == 1 else found
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A folder of this query's own in the place all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera"
-    return f"{at}/scratch-{uuid.uuid4().hex}"
+    """A folder of this query's own in the place all executors share; it is deleted when the query's rows are there."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or local_folder(spark.sparkContext)
+    _SCRATCH.append(f"{at}/scratch-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def _swept(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that reads tables of its own: its rows are kept, then its folders go."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = len(_SCRATCH)
+        try:
+            df = f(spark, sf_dir)
+            return shared_cut(df) if len(_SCRATCH) > held else df
+        finally:
+            for at in _SCRATCH[held:]:
+                Store(spark).delete(at)
+            del _SCRATCH[held:]
+
+    return run
 
 
 # Exact aggregates
@@ -266,6 +288,12 @@ def graph_strong_components(spark, sf_dir):
     return graph(spark, sf_dir).strong_components()
 
 
+@query(f"WITH RECURSIVE {EDGES_2}, r(v, t) USING KEY (v) AS (SELECT '1', CAST(0 AS BIGINT) UNION SELECT dst, min(since) FROM r JOIN e ON r.v = src LEFT JOIN recurring.r x ON x.v = dst WHERE since >= r.t + 1 AND (x.v IS NULL OR since < x.t) GROUP BY dst) SELECT v AS vertex, t AS arrival FROM r")
+def graph_earliest_arrival(spark, sf_dir):
+    """Earliest arrivals without a limit to waiting: then each label is the earliest of all journeys."""
+    return graph(spark, sf_dir, budget=GENEROUS).time_respecting([1], at=0, min_dwell=1).select("vertex", "arrival")
+
+
 @query()
 def graph_time_respecting(spark, sf_dir):
     return graph(spark, sf_dir, budget=GENEROUS).time_respecting([1], at=0, min_dwell=1, max_dwell=400)
@@ -347,7 +375,7 @@ def changes_between(spark, sf_dir):
     return spark.createDataFrame([(c["commits"], c["rows_added"], c["rows_removed"], c["compactions"])], "commits int, rows_added long, rows_removed long, compactions int")
 
 
-@query()
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'append', TRUE), (CAST(1 AS BIGINT), 'append', TRUE)) t(version, what, changed_data)")
 def table_history(spark, sf_dir):
     return versions(spark, sf_dir).history("shop.orders").select("version", "what", "changed_data")
 
@@ -397,10 +425,13 @@ def fill_unchanged(spark, sf_dir):
     return feeds.fill_unchanged(new.unionByName(changed), ["o_orderkey"], ["o_custkey", "o_orderstatus", "price"]).drop("commit_pos", "op")
 
 
-@query()
+@query("SELECT count(*) AS n, TRUE AS same, FALSE AS same_without_one FROM orders")
 def reconcile_digest(spark, sf_dir):
-    w = versions(spark, sf_dir)
-    return feeds.digest(w.table("shop.orders"))
+    """The digest of a copy in two versions against its origin's, and against the origin's less a row."""
+    copy, origin = versions(spark, sf_dir).table("shop.orders"), read(spark, sf_dir, "orders").select(*ORDER.split(", "))
+    less = origin.where(F.col("o_orderkey") != origin.agg(F.max("o_orderkey")).first()[0])
+    a, b, c = (feeds.digest(df).select(F.struct("xor", "total").alias(k), F.col("n").alias(f"n_{k}")) for df, k in ((copy, "a"), (origin, "b"), (less, "c")))
+    return a.crossJoin(b).crossJoin(c).select(F.col("n_a").alias("n"), (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("same_without_one"))
 
 
 # Policies and derived queries, through the SQL door
