@@ -84,12 +84,13 @@ class Graph:
             edges = turned if direction == "in" else edges.select("src", "dst").union(turned)
         edges = shared_cut(edges.select("src", "dst").distinct())
         wide = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > b.degree).select(F.col("src").alias("vertex"))
+        any_wide = not wide.isEmpty()
         found = shared_cut(self._seeds(seeds).select("vertex", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
         front, by_degree, by_depth, depth = found, False, False, 0
         limit = b.depth if max_depth is None else max_depth
         while True:
-            near = front.select("vertex").join(wide, "vertex", "left_anti")
-            if front.join(wide, "vertex", "left_semi").limit(1).count() > 0:
+            near = front.select("vertex").join(wide, "vertex", "left_anti") if any_wide else front.select("vertex")
+            if any_wide and not front.join(wide, "vertex", "left_semi").isEmpty():
                 by_degree, by_depth = by_degree or depth < limit, by_depth or depth >= limit
             reached = edges.join(near.withColumnRenamed("vertex", "src"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("via"))
             fresh = shared_cut(reached.join(found.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(depth + 1).alias("depth"), "via"))
@@ -99,7 +100,7 @@ class Graph:
                 by_depth = True
                 break
             depth += 1
-            found = shared_cut(found.unionByName(fresh))
+            found = found.unionByName(fresh)  # levels that are cut themselves, at most the depth's number of them
             front = fresh
         return found, by_degree, by_depth
 
