@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import local_folder, ship
 
 #: Letters, numbers and white space of the first 256 code points, as the tokenizers' Unicode classes have them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one is set only where the session names none (tests on one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints/tessera"
+        at = local_folder(spark.sparkContext)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what `cut` has written for frames that nothing reads any more, and let Spark's cleaner take away the shuffles
+    behind them: it waits for the driver's garbage collection, which may not come for long."""
+    for df in frames:
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 _used = 0.0
 
 

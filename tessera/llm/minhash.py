@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import RANK_BYTES, BoundedCache, arrow, chunks, cut, least_of, mix, once, ranked, rows, shared_dir, ship
+from tessera.llm.common import RANK_BYTES, BoundedCache, arrow, chunks, cut, forget, least_of, mix, once, ranked, rows, shared_dir, ship
 from tessera.operators.components import connected_components
 
 #: Members of a leader, and of a list, that meet it in one place.
@@ -150,12 +150,17 @@ def _named(docs: DataFrame, width: int, percent: int, block: int) -> tuple[DataF
     """The rows' sketches, and of every class its key (`class`), name (`key`), first row's place, and component's name."""
     spark = docs.sparkSession
     ship(spark)
-    base = cut(sketches(docs, width, percent))
+    whole = cut(sketches(docs, width, percent))
+    base = cut(whole.select("doc_id", "n_shingles", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
-    reps = base.where("key is not null").groupBy("key").agg(first, *(F.any_value(c).alias(c) for c in ("n_shingles", "listed", "sketch")))
+    reps = whole.where("key is not null").groupBy("key").agg(first, *(F.any_value(c).alias(c) for c in ("n_shingles", "listed", "sketch")))
     reps = reps.select(F.monotonically_increasing_id().alias("id"), F.col("key").alias("class"), ranked(F.col("first.doc_id"), F.col("key")).alias("key"), "first.doc_id", "first.th", F.col("n_shingles").alias("n"), "listed", "sketch")
     reps = cut(_placed(reps, F.col("th")))
-    pairs = cut(_met_pairs(reps, percent))
+    forget(spark, whole)
+    lists = _lists(reps)
+    forget(spark)
+    pairs, spent = _met_pairs(reps, lists, percent)
+    forget(spark, lists, spent)
 
     members = pairs.select("key").union(pairs.select(F.col("leader").alias("key"))).distinct().join(reps.select("key", *PLACE), "key")
     at = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
@@ -163,6 +168,7 @@ def _named(docs: DataFrame, width: int, percent: int, block: int) -> tuple[DataF
         texts = members.join(_placed(docs, F.xxhash64("text")), PLACE).dropDuplicates(PLACE)
         texts.select("key", "text").write.option("compression", "zstd").parquet(at)
         texts = spark.read.parquet(at)
+        forget(spark)
         dist = cut(_verify(pairs.where("near"), texts, width))
         measured = dist.select("key", "leader", "parts", "part", F.col("d").alias("lo"), F.col("d").alias("hi"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
         far = pairs.where("not near").select("key", "leader", "parts", "part", "lo", "hi", F.lit(False).alias("link"))
@@ -179,15 +185,21 @@ def _named(docs: DataFrame, width: int, percent: int, block: int) -> tuple[DataF
     return base, named.withColumn("component", F.coalesce("component", "key"))
 
 
-def _met_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """key, leader, the place where they meet (parts, part), bounds of their distance, and whether they can be over the threshold."""
-    # Inverted lists of the rarest values, and their leaders.
-    values = reps.select("id", "listed", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+def _lists(reps: DataFrame) -> DataFrame:
+    """Inverted lists of the rarest values: id, the sum of its shared values' counts, a value, and the list's places. A value is
+    listed by its 48 upper bits: where two become one, more sets meet, and none less."""
+    values = reps.select("id", F.explode("sketch").alias("v")).withColumn("v", F.shiftright("v", 16))
     shared = values.join(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
-    listed = shared.groupBy("id", "listed", "k").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("score"))  # one sketch's values
+    listed = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("score"))  # one sketch's values
+    listed = listed.join(reps.select("id", "listed", F.size("sketch").alias("k")), "id")
     alone = F.col("k") - F.size("vs")
     listed = listed.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(F.lit(0), F.col("listed") - alone)))
-    lists = cut(_dealt(listed.select("id", "score", F.explode("vs").alias("x")).select("id", "score", "x.v", "x.c"), LISTED_EACH))
+    return cut(_dealt(listed.select("id", "score", F.explode("vs").alias("x")).select("id", "score", "x.v", "x.c"), LISTED_EACH))
+
+
+def _met_pairs(reps: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """key, leader, the place where they meet (parts, part), bounds of their distance, and whether they can be over the threshold;
+    and what was written on the way and is read no more."""
     leaders = lists.groupBy("v").agg(F.max_by("id", F.struct("score", "id")).alias("lid"), F.max("parts").alias("parts"), F.count("*").alias("m")).where("m > 1")
     leaders = leaders.select("v", "lid", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = lists.join(leaders, ["v", "part"]).where("id <> lid").groupBy("id", "lid").agg(F.max("m").alias("c"))
@@ -204,7 +216,8 @@ def _met_pairs(reps: DataFrame, percent: int) -> DataFrame:
     both = both.withColumn("most", F.least(F.col("na") - below("sa") + F.col("i"), F.col("nb") - below("sb") + F.col("i")))
     share = lambda i: F.col(i) / (F.col("na") + F.col("nb") - F.col(i))
     near = 100 * F.col("most") >= percent * (F.col("na") + F.col("nb") - F.col("most"))
-    return both.select("key", "leader", "parts", "part", (1 - share("most")).alias("lo"), (1 - share("i")).alias("hi"), near.alias("near"))
+    met = cut(both.select("key", "leader", "parts", "part", (1 - share("most")).alias("lo"), (1 - share("i")).alias("hi"), near.alias("near")))
+    return met, pairs
 
 
 def _dealt(df: DataFrame, each: int) -> DataFrame:
