@@ -48,9 +48,9 @@ class Engine:
         """A policy of a table by its full name. It holds for every spelling of the name, and may come before the table."""
         self.policies[table.lower()] = policy
 
-    def resolve(self, name: str) -> str:
+    def resolve(self, name: str, known: list[str] | None = None) -> str:
         """The full name of a table as it is written anywhere: upper and lower case are one, a bare name serves while unique."""
-        known = self.tables()
+        known = self.tables() if known is None else known
         if name in known:
             return name
         found = [t for t in known if t.lower() == name.lower()] or [t for t in known if "." not in name and t.lower().split(".")[-1] == name.lower()]
@@ -58,14 +58,12 @@ class Engine:
             raise Refused(f"no table {name!r}" if not found else f"{name!r} may be any of {', '.join(found)}")
         return found[0]
 
-    def table(self, name: str, version: int | None = None, where: list[tuple] = (), tag: str | None = None, first: bool = False) -> DataFrame:
-        """A table as its policy shows it. `where` skips files (no rows of others are dropped here), `tag` marks its scan, `first`
-        leaves all files but one out, for a plan that is only looked at."""
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as its policy shows it."""
         name = self.resolve(name)
-        if name in self.views:
-            df = self.views[name]
-        else:
-            df = self.warehouse.scan(name, version, where, {SCAN: tag} if tag else {}, first)
+        return self._secured(name, self.views[name] if name in self.views else self.warehouse.scan(name, version))
+
+    def _secured(self, name: str, df: DataFrame) -> DataFrame:
         own = self.policies.get(name.lower())
         return own.secure(df) if own else df
 
@@ -154,7 +152,9 @@ class Engine:
         """The query over the tables it names. Tables of more than one file are first planned over one of them, to learn which
         conditions reach their scans: the others' bounds are held against these."""
         functions: dict[Named, str] = {}
-        versioned: dict[int, str] = {}
+        versioned: dict[int, tuple[str, int]] = {}
+        names, known = self.reader.names(text), self.tables()
+        versions: dict[str, int] = {}  # one version of a table for the whole query
 
         def table(parts: tuple[str, ...], at: int | None, where: dict[str, list[tuple]] | None) -> tuple[str, str, tuple[str, ...]]:
             name = ".".join(parts)
@@ -164,11 +164,13 @@ class Engine:
                 if name in within:
                     raise Refused(f"derived query {name!r} names itself")
                 return self._as_view(self._query(self.derived[name], (*within, name))), name, parts
-            full = self.resolve(name)
+            full = self.resolve(name, known)
             if full in self.views:
-                return self._as_view(self.table(full)), full.split(".")[-1], (full,)
-            versioned[at] = full
-            df = self.table(full, where=where.get(str(at), []) if where is not None else [], tag=str(at), first=where is None)
+                return self._as_view(self._secured(full, self.views[full])), full.split(".")[-1], (full,)
+            if full not in versions:
+                versions[full] = self.warehouse.read_version(full)
+            versioned[at] = full, versions[full]
+            df = self._secured(full, self.warehouse.scan(full, versions[full], where.get(str(at), []) if where is not None else [], {SCAN: str(at)}, where is None))
             return self._as_view(df), full.split(".")[-1], tuple(full.split("."))
 
         def function(n: Named) -> str | None:
@@ -183,10 +185,10 @@ class Engine:
 
         def run(where: dict[str, list[tuple]] | None) -> DataFrame:
             turn = itertools.count()
-            return self.spark.sql(rewritten(self.reader, text, lambda parts: table(parts, next(turn), where), function))
+            return self.spark.sql(rewritten(self.reader, text, names, lambda parts: table(parts, next(turn), where), function))
 
         df = run(None)
-        if versioned and any(len(self.warehouse.files(n, self.warehouse.current(n))) > 1 for n in versioned.values()):
+        if any(len(self.warehouse.state(n, v)["files"]) > 1 for n, v in versioned.values()):
             df = run(conditions(df, SCAN))
         return df
 
@@ -331,11 +333,8 @@ class Engine:
 
     def _version(self, table: str) -> int | None:
         """The version that this session reads of a versioned table."""
-        full = self.resolve(table) if "." in table or self.warehouse is not None else table
-        if full in self.views or self.warehouse is None:
-            return None
-        now = self.warehouse.current(full)
-        return self.warehouse.version(full) if now is None else now
+        full = self.resolve(table)
+        return None if full in self.views else self.warehouse.read_version(full)
 
     @staticmethod
     def _drop(held: dict, name: str, quiet: bool, what: str) -> None:
