@@ -30,7 +30,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+
+
+def spread(df: DataFrame, worth: int = 8 << 20) -> DataFrame:
+    """`df`, dealt anew if it has fewer partitions than the cluster has cores (a file of one row group gives one) and is worth it,
+    in bytes. A table of many files is left as it is."""
+    query, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if int(str(query.optimizedPlan().stats().sizeInBytes())) < worth or query.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
