@@ -45,7 +45,8 @@ class Engine:
         self.views[name] = df
 
     def policy(self, table: str, policy: Policy) -> None:
-        """A policy of a table by its full name. It holds for every spelling of the name, and may come before the table."""
+        """A policy of a table. It holds for every spelling of the name, and may come before the table; cubes and graphs take
+        their rows as policies show them when they are declared."""
         self.policies[table.lower()] = policy
 
     def resolve(self, name: str, known: list[str] | None = None) -> str:
@@ -64,7 +65,8 @@ class Engine:
         return self._secured(name, self.views[name] if name in self.views else self.warehouse.scan(name, version))
 
     def _secured(self, name: str, df: DataFrame) -> DataFrame:
-        own = self.policies.get(name.lower())
+        """A policy for a bare name holds for the tables of that name in every schema, unless one has a policy of its own."""
+        own = self.policies.get(name.lower()) or self.policies.get(name.lower().split(".")[-1])
         return own.secure(df) if own else df
 
     def tables(self) -> list[str]:

@@ -106,6 +106,11 @@ def test_policy_conditions_skip_files_too(shop):
     assert shop.scalar("SELECT count(*) FROM shop.t WHERE k < 400") == 0
 
 
+def test_policy_by_a_bare_name(shop):
+    shop.policy("T2", Policy(rows="k > 1"))
+    assert shop.scalar("SELECT count(*) FROM other.t2") == 1 and shop.scalar("SELECT count(*) FROM t2") == 1 and shop.table("other.t2").count() == 1
+
+
 def test_qualified_names(shop, spark):
     assert shop.scalar("SELECT count(shop.t.k) FROM shop.t WHERE shop.t.k < 10 AND t.k > 1") == 8
     assert shop.scalar("SELECT count(*) FROM `shop`.`t` JOIN other.t2 ON shop.t.k = other.t2.k") == 3
