@@ -113,20 +113,19 @@ class BoundedCache:
 
 
 _PER_PROCESS: dict = {}
-_KEPT = 2  # values of that many kinds stay in a worker; the one used longest ago goes first
 _IDLE_SECONDS = 3.0
 
 
 def once(key, make: Callable[[], object]):
-    """A value made once in a Python worker and kept for its later tasks. A worker that has used none of its caches for
-    `_IDLE_SECONDS` gives the memory back: Spark lets idle workers live on beside the next stage's."""
+    """A value made once in a Python worker and kept for its later tasks, until another is asked for: a stage has one, and what
+    the stage before has left goes at once. A worker that has used none for `_IDLE_SECONDS` gives the memory back too: Spark lets
+    idle workers live on beside the next stage's."""
     global _used
     _used = time.monotonic()
     if key in _PER_PROCESS:
-        _PER_PROCESS[key] = _PER_PROCESS.pop(key)
         return _PER_PROCESS[key]
-    while len(_PER_PROCESS) >= _KEPT:
-        _PER_PROCESS.pop(next(iter(_PER_PROCESS)))
+    if _PER_PROCESS:
+        _drop_all()
     value = _PER_PROCESS[key] = make()
     if not any(t.name == "give-back" for t in threading.enumerate()):
         threading.Thread(target=_give_back, name="give-back", daemon=True).start()
@@ -136,6 +135,10 @@ def once(key, make: Callable[[], object]):
 def _give_back() -> None:
     while time.monotonic() - _used < _IDLE_SECONDS:
         time.sleep(_IDLE_SECONDS / 4)
+    _drop_all()
+
+
+def _drop_all() -> None:
     _PER_PROCESS.clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.char_tagger import KINDS, Tagger, trained
-from tessera.llm.common import arrow, chunks, rows, ship
+from tessera.llm.common import arrow, chunks, once, rows, ship
 
 Span = tuple[str, int, int]
 TRIGGER = re.compile("[0-9@]")
@@ -126,16 +126,20 @@ def _tagger(w: dict, h: int) -> Tagger:
     return out
 
 
+def _name(tagger: Tagger) -> str:
+    return hashlib.sha256(b"".join(tagger.w[k].tobytes() for k in sorted(tagger.w))).hexdigest()
+
+
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, base counts by kind, the digest of the base spans, and all spans, of every row of `docs` (doc_id, text)."""
     ship(docs.sparkSession)
     tagger = tagger or trained()
-    given = docs.sparkSession.sparkContext.broadcast((tagger.w, tagger.h))  # a few thousand numbers
+    given, name = docs.sparkSession.sparkContext.broadcast((tagger.w, tagger.h)), _name(tagger)  # a few thousand numbers
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tagger(*given.value)
-        for held in chunks(rows(batches, "doc_id", "text"), chars=2_000_000):
+        model = once(("tagger", name), lambda: _tagger(*given.value))
+        for held in chunks(rows(batches, "doc_id", "text")):
             out = []
             for (doc_id, _), (base, spans) in zip(held, all_spans([t for _, t in held], model), strict=True):
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
@@ -163,13 +167,13 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, length_column: str | N
     """`docs` with all spans masked in `text`; `length_column`, if given, is set to the new length."""
     ship(docs.sparkSession)
     tagger = tagger or trained()
-    given = docs.sparkSession.sparkContext.broadcast((tagger.w, tagger.h))
+    given, name = docs.sparkSession.sparkContext.broadcast((tagger.w, tagger.h)), _name(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tagger(*given.value)
+        model = once(("tagger", name), lambda: _tagger(*given.value))
         for b in batches:
             texts: list = []
-            for held in chunks(rows(iter([b]), "text"), text_at=0, chars=2_000_000):
+            for held in chunks(rows(iter([b]), "text"), text_at=0):
                 own = [t for (t,) in held]
                 texts += [t if t is None or not s else mask(t, s) for t, (_, s) in zip(own, all_spans(own, model), strict=True)]
             new = {"text": pa.array(texts, b.schema.field("text").type)}
