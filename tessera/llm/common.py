@@ -58,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def likely(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows of `df` whose `key` may be among `ids`: all that are, and few others while there are fewer ids than `bits`. An exact join
+    has to follow; it shuffles less. What is broadcast is a bit for each hash, never more than `bits` of them."""
+    place = F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit(bits - 1)) + 1
+    maps = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    held = df.select(F.struct(*df.columns).alias("row"), place.alias("at")).join(F.broadcast(maps), F.bitmap_bucket_number("at") == F.col("of"))
+    bit = F.bitmap_bit_position("at")
+    byte = F.conv(F.hex(F.substring("map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("row.*")
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what `cut` has written for frames that nothing reads any more, and let Spark's cleaner take away the shuffles
     behind them: it waits for the driver's garbage collection, which may not come for long."""

@@ -2,8 +2,10 @@
 
 A word's features are itself and its character n-grams, hashed to a table of learned vectors. A document is the average
 of all its words' features' vectors; a softmax layer gives the classes. Vectors and layer are trained by stochastic
-gradient descent in numpy, one document at a time, on a bounded sample of labelled rows (`sample_rows`, drawn by hash; all
-of a drawn document's words count). Everything is seeded, so a table gives the same model each time.
+gradient descent in numpy, one document at a time, on every labelled row: rows are dealt by a hash of the id to parts of about
+`sample_rows`, each part is learned by a worker from the same start, and the model is the mean of the parts' log odds, weighted
+by their rows. A part of very long texts is learned in pieces of `PIECE` features, so a worker's memory stays bounded; the
+driver gets one sum of all parts. Everything is seeded and sums are exact, so a table gives the same model each time.
 
 Averaging and the layer are linear, so a word adds a fixed number to the log odds: workers keep that number and the
 feature count of each word in a bounded cache, and score whole texts with one look-up a word.
@@ -15,6 +17,7 @@ learned. Repeated rows each give a row. Other columns (labels, lang, source) are
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import BoundedCache, arrow, chunks, mix, once, rows, ship
+from tessera.llm.common import BoundedCache, arrow, likely, mix, once, rows, ship
+
+#: Features of documents that a worker holds at once to learn from.
+PIECE = 8_000_000
+#: Numbers of a model that travel in one row, and the fixed point in which they are summed.
+SLICE = 4_096
+POINT = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -86,11 +95,10 @@ class Model:
             return self
         rng, p = np.random.default_rng(self.p.seed), self.p
         steps, step = p.epochs * len(docs), 0
-        shares = [(i, n / n.sum(), c) for i, n, c in docs]
         for _ in range(p.epochs):
             for k in rng.permutation(len(docs)).tolist():
-                ids, share, c = shares[k]
-                share = share[:, None]
+                ids, n, c = docs[k]
+                share = (n / n.sum())[:, None]
                 rate = p.rate * (1 - step / steps)
                 step += 1
                 own = self.vectors[ids]
@@ -138,39 +146,68 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model:  # noqa: B008
-    """A model of `labels` (doc_id, quality) over `docs` (doc_id, text). At most `p.sample_rows` labelled rows reach the
-    driver, as feature counts (at most `p.buckets` each)."""
-    ship(docs.sparkSession)
-    drawn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    drawn = drawn.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(p.sample_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+def _learned(held: list[tuple], p: Parameters) -> np.ndarray:
+    """What a model of some documents adds to the sums: its odds and bias, times its documents, and their number."""
+    held.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))  # the order decides the steps
+    odds, bias = Model(p).train([(ids, n, q) for _, q, ids, n in held]).odds()
+    return np.append(np.rint(np.append(odds, bias) * (len(held) * POINT)).astype(np.int64), len(held))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in chunks(rows(batches, "doc_id", "text", "quality")):
-            out = []
-            for doc_id, text, quality in held:
+
+def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters(), piece: int = PIECE) -> Model:  # noqa: B008
+    """A model of all `labels` (doc_id, quality) over `docs` (doc_id, text). Labelled texts, and few others, are shuffled once, to
+    the part that learns them; the driver gets `p.buckets` numbers."""
+    ship(docs.sparkSession)
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").cast("int").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    parts = max(1, math.ceil(known.count() / p.sample_rows))
+    texts = likely(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), known, "doc_id")
+    both = texts.withColumn("quality", F.lit(None).cast("int")).unionByName(known.withColumn("text", F.lit(None).cast("string")))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int")
+    # A document's labels come before its texts.
+    dealt = both.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("doc_id", F.col("quality").asc_nulls_last(), "text")
+    schema = pa.schema([("slice", pa.int32()), ("sums", pa.list_(pa.int64()))])
+
+    def sliced(sums: np.ndarray) -> pa.RecordBatch:
+        pieces = np.split(sums, range(SLICE, len(sums), SLICE))
+        return arrow(schema, [range(len(pieces)), pieces])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now, classes = [], 0, None, []
+        for doc_id, text, quality in rows(batches, "doc_id", "text", "quality"):
+            if doc_id != now:
+                now, classes = doc_id, []
+            if quality is not None:
+                classes.append(quality)
+            elif classes:
                 words = Counter(words_of(text))
                 total = np.zeros(p.buckets)
                 if words:
                     ids, counts = features(list(words), p)
                     total = np.bincount(ids, weights=np.repeat(np.fromiter(words.values(), np.int64), counts), minlength=p.buckets)
                 found = np.flatnonzero(total)
-                out.append((doc_id, quality, found.astype(np.int32), total[found].astype(np.int32)))
-            yield arrow(schema, list(zip(*out, strict=True)))
-
-    # The drawn ids are at most sample_rows, so their side may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id long, quality int, ids array<int>, n array<int>")
-    found = []
-    for b in sample.toArrow().to_batches():
-        ids, n = b.column(2), b.column(3)
-        values, counts, at = ids.values.to_numpy(), n.values.to_numpy(), ids.offsets.to_numpy()
-        for i, (doc_id, q) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            if q in (0, 1):
-                found.append((doc_id, q, values[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]))
-    found.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))  # the order decides the steps
-    return Model(p).train([(ids, n, q) for _, q, ids, n in found])
+                held += [(doc_id, q, found.astype(np.int32), total[found].astype(np.int32)) for q in classes]
+                size += len(found) + 32
+                if size > piece:
+                    yield sliced(_learned(held, p))
+                    held, size = [], 0
+        if held:
+            yield sliced(_learned(held, p))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for k, values in rows(batches, "slice", "sums"):
+            sums[k] = sums.get(k, 0) + np.array(values, np.int64)
+        yield arrow(schema, [list(sums), list(sums.values())])
+
+    of = "slice int, sums array<long>"
+    found = dict(dealt.mapInArrow(learn, of).repartition("slice").mapInArrow(add, of).collect())
+    model = Model(p).train([])
+    if found:
+        *sums, rows_learned = np.concatenate([found[k] for k in sorted(found)]).tolist()
+        *odds, bias = (np.array(sums) / (rows_learned * POINT)).tolist()
+        model.vectors, model.layer, model.bias = np.zeros_like(model.vectors), np.zeros_like(model.layer), np.array([0.0, bias])
+        model.vectors[:, 0], model.layer[0, 1] = odds, 1.0
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -68,6 +68,21 @@ def test_score_is_the_models_softmax(spark):
     assert min(rows[0]["score"], rows[1]["score"]) > 0.7 > 0.3 > max(rows[2]["score"], rows[3]["score"])
 
 
+@pytest.mark.parametrize("more", [{}, {"piece": 300}])
+def test_every_labelled_row_is_learned(spark, more):
+    """There are more rows than a part holds; a part is learned in pieces too. Any row's label changes the model, the order of rows
+    and labels does not."""
+    p, n = quality_classifier.Parameters(buckets=1 << 10, sample_rows=20), 200
+    docs = frame(spark, [(i, f"w{i} {'good' if i % 2 else 'bad'}", "x") for i in range(n)] + [(3, "again", "x"), (None, "none", "y")], "doc_id long, text string, lang string")
+    given = {i: i % 2 for i in range(n)}
+    fit = lambda labels, docs=docs: quality_classifier.fit(docs, frame(spark, [*labels.items(), (None, 1), (7, None)], "doc_id long, quality int"), p, **more)
+    model = fit(given)
+    for i in [i for i in range(n) if not held_out(i)][::30]:
+        assert (fit(given | {i: 1 - given[i]}).odds()[0] != model.odds()[0]).any(), i
+    again = fit(dict(reversed(given.items())), docs.repartition(7))
+    assert (again.odds()[0] == model.odds()[0]).all() and (again.bias == model.bias).all()
+
+
 def test_few_labels_nulls_and_empty(spark):
     docs = frame(spark, [(1, "a b", "x"), (3, None, None), (None, "c", "y")], "doc_id long, text string, score string")
     none = quality_classifier.fit(docs, frame(spark, [], "doc_id long, quality int"))
