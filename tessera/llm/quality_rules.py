@@ -5,8 +5,8 @@ Divergence rules: the Jensen-Shannon distance (base 2, 0 to 1) between the docum
 and its language's, and between its histogram of common words and its language's. Each has a least length, under which
 it says nothing; a document in a language without a reference passes both.
 
-References are fitted to documents labelled good, to at most `SAMPLE_ROWS` of them, drawn by a hash of the id (all of a drawn
-document's text counts): each language's shares of the character classes, and of its `COMMON_WORDS` most frequent words
+References are fitted to all documents labelled good (or, if the caller asks for it, to `sample_rows` of them, drawn by a hash of
+the id): each language's shares of the character classes, and of its `COMMON_WORDS` most frequent words
 (runs of letters, as written; of equally frequent ones the first in byte order); the rest of the words is one more class. A
 language needs `MIN_REFERENCE_WORDS` words there to have a reference. The word rule rejects what is further from the
 reference than `WORD_LIMIT` of the distance that a text without any common word has.
@@ -28,9 +28,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import likely
+
 #: Character classes: lower-case and other letters, capitals, numbers, white space, punctuation, other signs.
 CLASSES = ("lower", "upper", "number", "space", "punct", "sign")
 COMMON_WORDS = 32
+#: Only the SQL twin still draws (`oracles.py`): its rows are the query's while no more documents are labelled good.
 SAMPLE_ROWS = 8_000
 MIN_REFERENCE_WORDS = 1_000
 MAX_LANGUAGES = 1_000
@@ -102,20 +105,23 @@ class Reference:
         return math.sqrt((sum(self.shares) - math.log2(m) + (rest * math.log2(rest / m) if rest > 0 else 0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, common_words: int = COMMON_WORDS, min_reference_words: int = MIN_REFERENCE_WORDS, sample_rows: int = SAMPLE_ROWS) -> list[Reference]:
-    """References of the languages of `docs` (doc_id, text, lang), over `sample_rows` documents whose label is good in `labels`
-    (doc_id, quality): no more ids are sent to the tasks. Counts are pre-aggregated; the driver gets a row a language, and one
-    for each common word."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample_rows)
-    docs = docs.select("doc_id", F.col("lang").alias("ref_lang"), F.coalesce("text", F.lit("")).alias("t")).where("ref_lang is not null").join(F.broadcast(good), "doc_id", "left_semi")
-    docs = _once(docs.select("ref_lang", "t", _words(F.col("t")).alias("words")))
-    figures = _once(docs.select("ref_lang", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("word_chars"), F.length("t").alias("chars"), "t", F.regexp_replace("t", "\\p{L}+", "").alias("rest")))
-    counts = _once(_class_counts(_once(figures.select("ref_lang", "n", "chars", "word_chars", *_class_columns())), "ref_lang", "n"))
+def fit(docs: DataFrame, labels: DataFrame, common_words: int = COMMON_WORDS, min_reference_words: int = MIN_REFERENCE_WORDS, sample_rows: int | None = None) -> list[Reference]:
+    """References of the languages of `docs` (doc_id, text, lang), over all documents whose label is good in `labels` (doc_id,
+    quality), or `sample_rows` of them. Documents are met with labels twice, by their id: once their figures are shuffled, once the
+    texts of those that may be good. Counts are pre-aggregated; the driver gets a row a language, and one for each common word."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    if sample_rows is not None:
+        good = good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample_rows)
+    docs = likely(docs.select("doc_id", F.col("lang").alias("ref_lang"), F.coalesce("text", F.lit("")).alias("t")).where("ref_lang is not null"), good, "doc_id")
+    labelled = lambda df: df.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
+    figures = _once(docs.select("doc_id", "ref_lang", "t", _words(F.col("t")).alias("words")))
+    figures = _once(figures.select("doc_id", "ref_lang", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("word_chars"), F.length("t").alias("chars"), "t", F.regexp_replace("t", "\\p{L}+", "").alias("rest")))
+    counts = labelled(_class_counts(_once(figures.select("doc_id", "ref_lang", "n", "chars", "word_chars", *_class_columns())), "doc_id", "ref_lang", "n"))
     sums = counts.groupBy("ref_lang").agg(F.sum("n").alias("n"), *(F.sum(F.get("classes", i)).alias(c) for i, c in enumerate(CLASSES))).where(F.col("n") >= min_reference_words)
     total = {r["ref_lang"]: r for r in sums.limit(MAX_LANGUAGES + 1).collect()}
     if len(total) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    each = docs.select("ref_lang", F.explode("words").alias("w")).groupBy("ref_lang", "w").agg(F.count("*").alias("c")).where(F.col("w").rlike("^\\p{L}+$"))
+    each = labelled(docs).select("ref_lang", F.explode(_words(F.col("t"))).alias("w")).groupBy("ref_lang", "w").agg(F.count("*").alias("c")).where(F.col("w").rlike("^\\p{L}+$"))
     first = F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("c"), "w"))
     top = each.withColumn("k", first).where(F.col("k") <= common_words).where(F.col("ref_lang").isin(list(total)))
     words: dict[str, list] = {}

@@ -69,6 +69,18 @@ def test_references_of_a_sample(spark):
     assert {r.lang for r in some} == {k for i, _, k in LABELLED if i in drawn}
 
 
+def test_references_of_all_good_texts(spark):
+    """More documents than a draw would take: a word's share is that among all of them, repeated rows and null texts included."""
+    n = quality_rules.SAMPLE_ROWS + 500
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id = 7, null, if(id % 3 = 0, 'ab ab c1', 'cd')) AS text", "'en' AS lang")
+    docs = docs.union(docs.where("doc_id = 9")).unionByName(spark.range(n, 2 * n).selectExpr("id AS doc_id", "'unlabelled' AS text", "'en' AS lang"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality").union(spark.range(n, n + 100).selectExpr("id", "0"))
+    (found,) = quality_rules.fit(docs, labels)
+    three = sum(i % 3 == 0 for i in range(n)) + 1
+    words = 3 * three + n + 1 - three - 1
+    assert found.words == ("ab", "cd") and found.shares == (2 * three / words, (n + 1 - three - 1) / words)
+
+
 def word_distance(text: str, reference: quality_rules.Reference | None) -> float | None:
     words = WORD.findall(text)
     if reference is None or len(words) < quality_rules.MIN_WORDS:
