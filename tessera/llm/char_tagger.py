@@ -138,18 +138,24 @@ class Tagger:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """`emissions` in single precision, both directions side by side. Three gates are sigmoids, (1 + tanh(z / 2)) / 2: their
-        weights are halved once, so one tanh serves all four."""
+        weights are halved once, so one tanh serves all four. Gates come first in memory, so each is one run of numbers; the
+        output layer is applied step by step, so no states are kept. Scores lie in memory as (time, label, batch)."""
         h, (time, batch) = self.h, x.shape
         half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])
-        table = np.concatenate([self.w["tf"], self.w["tb"]]).astype(np.float32) * half
-        u = np.stack([self.w["uf"], self.w["ub"]]).astype(np.float32) * half
-        both = np.stack([x, x[::-1] + VOCABULARY], 1)
-        out = np.empty((time, batch, 2 * h), np.float32)
+        apart = lambda w: np.ascontiguousarray(np.moveaxis((w.astype(np.float32) * half).reshape(*w.shape[:-1], 4, h), -2, 0))
+        table = apart(np.concatenate([self.w["tf"], self.w["tb"]]))
+        u = apart(np.stack([self.w["uf"], self.w["ub"]]))
+        last = np.ascontiguousarray(self.w["o"].astype(np.float32).reshape(2, h, LABELS).transpose(0, 2, 1))
+        both = np.stack([x, x[::-1] + VOCABULARY], 1).astype(np.intp)
+        out = np.empty((time, LABELS, batch), np.float32)
+        out[:] = self.w["c"].astype(np.float32)[:, None]
         state, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
-        z, y, g, t = np.empty((2, batch, 4 * h), np.float32), np.empty((2, batch, 4 * h), np.float32), np.empty_like(cell), np.empty_like(cell)
-        s, i, f, o, c = z[..., : 3 * h], z[..., :h], z[..., h : 2 * h], z[..., 2 * h : 3 * h], z[..., 3 * h :]
+        z, y, g, t = np.empty((4, 2, batch, h), np.float32), np.empty((4, 2, batch, h), np.float32), np.empty_like(cell), np.empty_like(cell)
+        e, across = np.empty((2, LABELS, batch), np.float32), state.transpose(0, 2, 1)
+        s, (i, f, o, c) = z[:3], z
         for k in range(time):
-            np.take(table, both[k], axis=0, out=z, mode="clip")
+            for rows, gate in zip(table, z, strict=True):
+                rows.take(both[k], axis=0, out=gate, mode="clip")
             z += np.matmul(state, u, out=y)
             np.tanh(z, out=z)
             s *= 0.5
@@ -157,8 +163,10 @@ class Tagger:
             cell *= f
             cell += np.multiply(i, c, out=g)
             np.multiply(np.tanh(cell, out=t), o, out=state)
-            out[k, :, :h], out[time - 1 - k, :, h:] = state[0], state[1]
-        return out @ self.w["o"].astype(np.float32) + self.w["c"].astype(np.float32)
+            np.matmul(last, across, out=e)
+            out[k] += e[0]
+            out[time - 1 - k] += e[1]
+        return out.transpose(0, 2, 1)
 
     def tag(self, texts: list[str], width: int = 512, overlap: int = 96, cells: int = 262_144) -> list[list[tuple[str, int, int]]]:
         """Spans of whole texts. Windows of a bounded width cover every character and overlap; each is scored and decoded by
@@ -178,7 +186,7 @@ class Tagger:
             x = np.full((len(some), longest), PAD, np.int32)
             for j, (a, n, _, _) in enumerate(some):
                 x[j, :n] = joined[a : a + n]
-            e = self.scores(np.ascontiguousarray(x.T)).transpose(0, 2, 1).copy()
+            e = self.scores(np.ascontiguousarray(x.T)).transpose(0, 2, 1)
             lengths = np.array([n for _, n, _, _ in some])
             short = np.flatnonzero(lengths < longest)
             if len(short):  # behind a window: "none", and the step to it costs nothing
@@ -196,23 +204,30 @@ class Tagger:
                 found[n].append((KINDS[labels[s] - 1], s - int(begins[n]), t - int(begins[n])))
         return found
 
-    def _viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best labels (time, batch) of scores (time, label, batch)."""
+    def _viterbi(self, e: np.ndarray, steps: int = 32) -> np.ndarray:
+        """Best labels (time, batch) of scores (time, label, batch). The best sums of all steps come first, then what led to each,
+        for `steps` at a time."""
+        time, _, batch = e.shape
         a = self.w["a"].astype(e.dtype)[:, :, None]
-        back = np.zeros(e.shape, np.int8)
-        best = e[0]
-        for k in range(1, len(e)):
-            top = best[0] + a[0]
+        best, paths = np.empty(e.shape, e.dtype), np.empty((LABELS, LABELS, batch), e.dtype)
+        best[0] = e[0]
+        for k in range(1, time):
+            np.add(best[k - 1][:, None], a, out=paths)
+            np.maximum.reduce(paths, axis=0, out=best[k])
+            best[k] += e[k]
+        out = np.empty((time, batch), np.int8)
+        out[-1] = best[-1].argmax(axis=0)
+        columns = np.arange(batch)
+        for end in range(time - 1, 0, -steps):
+            begin = max(0, end - steps)
+            before = best[begin:end, :, None]
+            top, back = before[:, 0] + a[0], np.zeros((end - begin, LABELS, batch), np.int8)
             for p in range(1, LABELS):
-                other = best[p] + a[p]
-                back[k][other > top] = p
+                other = before[:, p] + a[p]
+                np.maximum(back, (other > top).view(np.int8) * np.int8(p), out=back)  # p grows: the last that is better
                 np.maximum(top, other, out=top)
-            best = top + e[k]
-        out = np.empty((len(e), e.shape[2]), np.int8)
-        out[-1] = best.argmax(axis=0)
-        columns = np.arange(e.shape[2])
-        for k in range(len(e) - 1, 0, -1):
-            out[k - 1] = back[k][out[k], columns]
+            for k in range(end, begin, -1):
+                out[k - 1] = back[k - 1 - begin].ravel().take(out[k] * np.intp(batch) + columns)
         return out
 
 

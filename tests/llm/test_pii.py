@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -120,6 +121,16 @@ def test_single_precision_scores():
     assert np.allclose(model.scores(x), model.emissions(x), atol=1e-4)
 
 
+def test_work_on_a_character():
+    """Scores of all windows keep no states: what is held at once is little more than the scores themselves."""
+    model, x = char_tagger.Tagger(seed=3).single(), np.random.default_rng(1).integers(0, 130, (512, 400))
+    tracemalloc.start()
+    e = model.scores(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert e.transpose(0, 2, 1).flags.c_contiguous and most < e.nbytes + 2 * x.nbytes + (4 << 20)
+
+
 def test_repeated_rows(spark):
     docs = frame(spark, [(1, "call (555) 123-4567"), (1, "call (555) 123-4567"), (None, "a@b.cc")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["spans"]) for r in pii.find(docs).collect()) == [(0, "email:0:6"), (1, "phone:5:19"), (1, "phone:5:19")]
