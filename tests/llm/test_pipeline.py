@@ -133,6 +133,17 @@ def test_classifier_stage(stages, spark, small):
     assert set(table(after)) == {r["doc_id"] for r in quality_classifier.score(before, model).where("predicted = 1").collect()}
 
 
+def test_rules_stage_counts_every_label(spark, tmp_path):
+    """A language has enough words for a reference among all good texts, but not in a draw of 8,000 of them."""
+    n, few = 10_000, 104
+    rows = [(i, "some words of the few " * 2 if i < few else "ab", "xx" if i < few else "yy") for i in range(n)]
+    junk = " ".join(f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs") + " " + " ".join(f"{a}{b}" for a in "bdfgk" for b in "aeiou")
+    spark.createDataFrame([*rows, (n, junk, "xx")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = frame(spark, [(n, junk, "xx"), (n + 1, junk, "zz")], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.rules(spark, asked, str(tmp_path)).collect()] == [n + 1]
+
+
 def test_dedup_stage(stages):
     _, before, after = stages[2]
     found = {i: sets(t, 5) for i, t in table(before).items()}
