@@ -83,6 +83,31 @@ def test_every_labelled_row_is_learned(spark, more):
     assert (again.odds()[0] == model.odds()[0]).all() and (again.bias == model.bias).all()
 
 
+@pytest.mark.parametrize("more", [{"piece": 1}, {"sample_rows": 4}])
+def test_one_model_of_all_rows_however_they_are_dealt(spark, more):
+    """Blocks and parts that hold one class only, and few of the rarer one, give the model of all rows in one."""
+    n, few = 120, 12
+    rows = [(i, f"the land was {'fine and calm' if i >= few else 'cheap buy now'} w{i % 7}") for i in range(n)]
+    docs, labels = frame(spark, rows, "doc_id long, text string"), frame(spark, [(i, int(i >= few)) for i in range(n)], "doc_id long, quality int")
+    size = {"buckets": 1 << 10}
+    whole = quality_classifier.fit(docs, labels, quality_classifier.Parameters(**size, sample_rows=n))
+    dealt = quality_classifier.fit(docs, labels, quality_classifier.Parameters(**size, sample_rows=more.get("sample_rows", n)), piece=more.get("piece", quality_classifier.PIECE))
+    of = lambda m: {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, m).collect()}
+    a, b = of(whole), of(dealt)
+    assert all((b[i] >= 0.7) == (i >= few) for i in range(n))
+    assert all(b[i] == pytest.approx(a[i], abs=1e-3) for i in range(n))
+
+
+def test_blocks_hold_all_features():
+    """Counts and distances of more than a byte, the first and the last bucket, documents of one feature."""
+    docs = [(1, [0, 1, 255, 256, 511, 65_535], [1, 255, 256, 510, 511, 70_000]), (0, [65_535], [3]), (0, [0], [1]), (1, [254, 509, 1_020], [254, 1, 2])]
+    lengths, classes, ids, counts = quality_classifier._documents(*quality_classifier._block([(c, np.array(i), np.array(n)) for c, i, n in docs]))
+    ends = np.cumsum(lengths)[:-1]
+    for (c, i, n), got, ids_, counts_ in zip(docs, classes, np.split(ids, ends), np.split(counts, ends), strict=True):
+        total = np.bincount(ids_, weights=counts_)
+        assert got == c and np.flatnonzero(total).tolist() == i and total[i].tolist() == n
+
+
 def test_few_labels_nulls_and_empty(spark):
     docs = frame(spark, [(1, "a b", "x"), (3, None, None), (None, "c", "y")], "doc_id long, text string, score string")
     none = quality_classifier.fit(docs, frame(spark, [], "doc_id long, quality int"))
