@@ -14,8 +14,7 @@ PAD = 129
 
 
 def codes(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-    return np.where(c < 128, c, 128)
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128).astype(np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -136,36 +135,44 @@ class Tagger:
         out.h, out.w = self.h, {k: p.astype(np.float32) for k, p in self.w.items()}
         return out
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, steps: int = 4) -> np.ndarray:
         """`emissions` in single precision, both directions side by side. Three gates are sigmoids, (1 + tanh(z / 2)) / 2: their
-        weights are halved once, so one tanh serves all four. Gates come first in memory, so each is one run of numbers; the
-        output layer is applied step by step, so no states are kept. Scores lie in memory as (time, label, batch)."""
+        weights are halved once, so one tanh serves all four, and their outer halves are taken once of the cell and, for the
+        state, by the weights that follow it. Gates come first in memory, so each is one run of numbers; the output layer is
+        applied to `steps` at a time, so no more states are kept. Scores lie in memory as (time, label, batch)."""
         h, (time, batch) = self.h, x.shape
         half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])
         apart = lambda w: np.ascontiguousarray(np.moveaxis((w.astype(np.float32) * half).reshape(*w.shape[:-1], 4, h), -2, 0))
         table = apart(np.concatenate([self.w["tf"], self.w["tb"]]))
-        u = apart(np.stack([self.w["uf"], self.w["ub"]]))
-        last = np.ascontiguousarray(self.w["o"].astype(np.float32).reshape(2, h, LABELS).transpose(0, 2, 1))
-        both = np.stack([x, x[::-1] + VOCABULARY], 1).astype(np.intp)
+        u = apart(np.stack([self.w["uf"], self.w["ub"]]) / 2)
+        last = self.w["o"].astype(np.float32).reshape(2, h, LABELS) / 2
+        x, both = x.astype(np.intp, copy=False), np.empty((2, batch), np.intp)
         out = np.empty((time, LABELS, batch), np.float32)
         out[:] = self.w["c"].astype(np.float32)[:, None]
-        state, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
+        states, cell = np.zeros((2, steps, batch, h), np.float32), np.zeros((2, batch, h), np.float32)  # states are doubled
         z, y, g, t = np.empty((4, 2, batch, h), np.float32), np.empty((4, 2, batch, h), np.float32), np.empty_like(cell), np.empty_like(cell)
-        e, across = np.empty((2, LABELS, batch), np.float32), state.transpose(0, 2, 1)
+        e, state = np.empty((2, steps, batch, LABELS), np.float32), states[:, -1]
         s, (i, f, o, c) = z[:3], z
-        for k in range(time):
-            for rows, gate in zip(table, z, strict=True):
-                rows.take(both[k], axis=0, out=gate, mode="clip")
-            z += np.matmul(state, u, out=y)
-            np.tanh(z, out=z)
-            s *= 0.5
-            s += 0.5
-            cell *= f
-            cell += np.multiply(i, c, out=g)
-            np.multiply(np.tanh(cell, out=t), o, out=state)
-            np.matmul(last, across, out=e)
-            out[k] += e[0]
-            out[time - 1 - k] += e[1]
+        gates = list(zip(table, z, strict=True))
+        for begin in range(0, time, steps):
+            end = min(begin + steps, time)
+            for k in range(begin, end):
+                both[0] = x[k]
+                np.add(x[time - 1 - k], VOCABULARY, out=both[1])
+                for rows, gate in gates:
+                    rows.take(both, axis=0, out=gate, mode="clip")
+                z += np.matmul(state, u, out=y)
+                np.tanh(z, out=z)
+                s += 1
+                cell *= f
+                cell += np.multiply(i, c, out=g)
+                cell *= 0.5
+                state = states[:, k - begin]
+                np.multiply(np.tanh(cell, out=t), o, out=state)
+            np.matmul(states.reshape(2, -1, h), last, out=e.reshape(2, -1, LABELS))
+            ahead, back = e[:, : end - begin].transpose(0, 1, 3, 2)
+            out[begin:end] += ahead
+            out[time - end : time - begin] += back[::-1]
         return out.transpose(0, 2, 1)
 
     def tag(self, texts: list[str], width: int = 512, overlap: int = 96, cells: int = 262_144) -> list[list[tuple[str, int, int]]]:
@@ -176,34 +183,89 @@ class Tagger:
         begins = np.concatenate(([0], np.cumsum(sizes)))
         joined = codes("".join(texts))
         labels = np.zeros(len(joined), np.int8)
-        # First position, length, and how much of either end is left to the neighbours.
-        windows = [(int(begin) + a, min(width, size - a), overlap // 2 if a else 0, overlap // 2 if a + width < size else 0) for begin, size in zip(begins.tolist(), sizes.tolist(), strict=False) if size for a in range(0, max(1, size - overlap), width - overlap)]
-        windows.sort(key=lambda w: w[1])  # windows of a batch are about as long
-        while windows:
-            longest = windows[-1][1]
-            some = windows[-max(1, cells // longest) :]
-            del windows[-len(some) :]
-            x = np.full((len(some), longest), PAD, np.int32)
-            for j, (a, n, _, _) in enumerate(some):
-                x[j, :n] = joined[a : a + n]
-            e = self.scores(np.ascontiguousarray(x.T)).transpose(0, 2, 1)
-            lengths = np.array([n for _, n, _, _ in some])
-            short = np.flatnonzero(lengths < longest)
-            if len(short):  # behind a window: "none", and the step to it costs nothing
-                e += np.where((np.arange(longest)[:, None] >= lengths)[:, None, :], np.array([0] + [-1e4] * (LABELS - 1), np.float32)[None, :, None], np.float32(0))
-                e[lengths[short] - 1, :, short] -= self.w["a"][:, 0].astype(np.float32)
-            found = np.ascontiguousarray(self._viterbi(e).T)
-            for own, (a, n, left, right) in zip(found, some, strict=True):
-                labels[a + left : a + n - right] = own[left : n - right]
+        # Of each window: first position, length, and how much of either end is left to the neighbours.
+        many = np.where(sizes > 0, np.maximum(1, -(-(sizes - overlap) // (width - overlap))), 0)
+        of = np.repeat(np.arange(len(texts)), many)
+        within = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * (width - overlap)
+        firsts, lengths = begins[of] + within, np.minimum(width, sizes[of] - within)
+        lefts, rights = np.where(within > 0, overlap // 2, 0), np.where(within + width < sizes[of], overlap // 2, 0)
+        order = np.argsort(lengths, kind="stable")  # windows of a batch are about as long
+        padded = np.concatenate((joined, np.full(width, PAD, np.uint8)))
+        held: list[tuple] = []
+        while len(order):
+            longest = int(lengths[order[-1]])
+            some, order = order[-max(1, cells // longest) :], order[: -max(1, cells // longest)]
+            x = np.lib.stride_tricks.sliding_window_view(padded, longest)[firsts[some]].T.astype(np.intp, order="C")
+            if lengths[some[0]] < longest:
+                x[np.arange(longest)[:, None] >= lengths[some]] = PAD
+            window, at, *runs = self._open(self.scores(x).transpose(0, 2, 1), lengths[some])
+            own = some[window]
+            held.append((firsts[own] + at, (at >= lefts[own]) & (at < lengths[own] - rights[own]), *runs))
+            if not len(order) or sum(len(h[0]) for h in held) > cells:
+                places, kept, begin, e = (np.concatenate(h, axis=-1) for h in zip(*held, strict=True))
+                labels[places[kept]] = self._decode(e, begin)[kept]
+                held = []
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         turns = np.flatnonzero(np.diff(labels, prepend=0) != 0)
         turns = np.unique(np.concatenate((turns, begins[(begins > 0) & (begins < len(labels))], [len(labels)])))
-        for s, t in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
-            if labels[s]:
-                n = int(np.searchsorted(begins, s, "right")) - 1
-                found[n].append((KINDS[labels[s] - 1], s - int(begins[n]), t - int(begins[n])))
+        own = np.flatnonzero(labels[turns[:-1]])
+        s, t = turns[own], turns[own + 1]
+        of = np.searchsorted(begins, s, "right") - 1
+        for n, label, a, b in zip(of.tolist(), labels[s].tolist(), (s - begins[of]).tolist(), (t - begins[of]).tolist(), strict=True):
+            found[n].append((KINDS[label - 1], a, b))
         return found
 
+    def _open(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of windows with scores `e` (time, label, batch) that the best path may label: their window, their place in
+        it, whether a run of them begins there, and their scores (label, position). All others have "none" on the best path.
+        A run of labels gains over "none" no more than its best scores, with the best steps into, within and out of it; where no
+        run through a position can gain anything, that position has none. The scores of a window's ends lack the steps from
+        and to "none" that `_decode` takes there."""
+        time, _, batch = e.shape
+        a = self.w["a"].astype(np.float32)
+        extra = a - a[0, 0]
+        enter, within, leave = extra[0, 1:].max(), extra[1:, 1:].max(), extra[1:, 0].max()
+        gain = e[:, 1:].max(axis=1)
+        gain -= e[:, 0]
+        gain += within
+        behind = np.arange(time)[:, None] >= lengths if lengths.min() < time else None
+        if behind is not None:
+            gain[behind] = 0
+        most, room, last = np.empty_like(gain), np.empty(batch, np.float32), np.zeros(batch, np.float32)
+        for own, to_here in zip(gain, most, strict=True):
+            last = np.add(np.maximum(last, enter, out=room), own, out=to_here)
+        last = np.zeros(batch, np.float32)
+        for own, both_ways in zip(gain[::-1], most[::-1], strict=True):
+            both_ways += np.maximum(last, leave, out=room)
+            np.add(room, own, out=last)
+        may = most > within - 0.01  # far more than rounding
+        if behind is not None:
+            may[behind] = False
+        window, at = np.divmod(np.flatnonzero(np.ascontiguousarray(may.T)), time)
+        begin = np.diff(window * (time + 1) + at, prepend=-2) != 1
+        open_scores = e.reshape(-1).take(at * (LABELS * batch) + window + np.arange(LABELS)[:, None] * batch)
+        open_scores[:, at == 0] -= a[0][:, None]
+        open_scores[:, at == lengths[window] - 1] -= a[:, 0][:, None]
+        return window, at, begin, open_scores
+
+    def _decode(self, e: np.ndarray, begin: np.ndarray, cells: int = 131_072) -> np.ndarray:
+        """Best labels of runs of positions with scores `e` (label, position) and "none" on either side, runs of similar length
+        at a time."""
+        starts, out = np.flatnonzero(begin), np.empty(len(begin), np.int8)
+        sizes = np.diff(starts, append=len(begin))
+        order = np.argsort(sizes, kind="stable")
+        while len(order):
+            longest = int(sizes[order[-1]])
+            low = max(int(np.searchsorted(sizes[order], longest // 2, "right")), len(order) - max(1, cells // longest))
+            some, order = order[low:], order[:low]
+            inside = np.arange(longest)[:, None] < sizes[some]
+            at = np.where(inside, starts[some] + np.arange(longest)[:, None], 0)
+            x = np.empty((longest + 2, LABELS, len(some)), np.float32)
+            x[:] = np.array([0] + [-1e9] * (LABELS - 1), np.float32)[:, None]
+            np.copyto(x[1:-1], e[:, at].transpose(1, 0, 2), where=inside[:, None])
+            out[at[inside]] = self._viterbi(x)[1:-1][inside]
+        return out
+
     def _viterbi(self, e: np.ndarray, steps: int = 32) -> np.ndarray:
         """Best labels (time, batch) of scores (time, label, batch). The best sums of all steps come first, then what led to each,
         for `steps` at a time."""

@@ -23,6 +23,7 @@ from tessera.llm.char_tagger import KINDS, Tagger, trained
 from tessera.llm.common import arrow, chunks, once, rows, ship
 
 Span = tuple[str, int, int]
+CHARS = 4_000_000  # of texts tagged at a time: with many windows, those of a batch are nearly as long
 TRIGGER = re.compile("[0-9@]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -139,7 +140,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(("tagger", name), lambda: _tagger(*given.value))
-        for held in chunks(rows(batches, "doc_id", "text")):
+        for held in chunks(rows(batches, "doc_id", "text"), chars=CHARS):
             out = []
             for (doc_id, _), (base, spans) in zip(held, all_spans([t for _, t in held], model), strict=True):
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
@@ -173,7 +174,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, length_column: str | N
         model = once(("tagger", name), lambda: _tagger(*given.value))
         for b in batches:
             texts: list = []
-            for held in chunks(rows(iter([b]), "text"), text_at=0):
+            for held in chunks(rows(iter([b]), "text"), text_at=0, chars=CHARS):
                 own = [t for (t,) in held]
                 texts += [t if t is None or not s else mask(t, s) for t, (_, s) in zip(own, all_spans(own, model), strict=True)]
             new = {"text": pa.array(texts, b.schema.field("text").type)}

@@ -115,6 +115,42 @@ def test_decoding_is_the_best_path():
     assert tagger.tag(texts) == [tagger.tag([t])[0] for t in texts]
 
 
+def _decoded(model, e, lengths):
+    """Labels of windows (time, label, batch), by runs of positions that may be labelled."""
+    window, at, begin, scores = model._open(e, lengths)
+    out = np.zeros((e.shape[0], e.shape[2]), np.int8)
+    out[at, window] = model._decode(scores, begin, cells=50)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_have_the_best_path_of_the_window(seed):
+    """What is left out of decoding has no label on the best path, whatever the steps between labels cost."""
+    rng = np.random.default_rng(seed)
+    model = char_tagger.Tagger(hidden=3, seed=2)
+    for scale, none in itertools.product((0.0, 1.0, 4.0), (-3.0, 0.0, 3.0, 9.0)):
+        model.w["a"] = rng.normal(0, scale, (5, 5)) + rng.choice([0.0, 2.0]) * np.eye(5)
+        lengths = np.sort(rng.integers(1, 31, 40))
+        lengths[-1] = 30
+        e = rng.normal(0, 2, (30, 5, 40)).astype(np.float32)
+        e[:, 0] += np.float32(none)
+        found = _decoded(model, e, lengths)
+        for j, n in enumerate(lengths):
+            assert (found[:n, j] == model._viterbi(np.ascontiguousarray(e[:n, :, j : j + 1]))[:, 0]).all() and not found[n:, j].any()
+
+
+def test_decoding_skips_plain_prose(monkeypatch):
+    """Every character is scored; the best path is searched for only where it may have a label."""
+    decoded, scored, tagger = [], [], char_tagger.trained()
+    viterbi, scores = char_tagger.Tagger._viterbi, char_tagger.Tagger.scores
+    monkeypatch.setattr(char_tagger.Tagger, "_viterbi", lambda self, e, **k: decoded.append(e.shape[0] * e.shape[2]) or viterbi(self, e, **k))
+    monkeypatch.setattr(char_tagger.Tagger, "scores", lambda self, x: scored.append(x.size) or scores(self, x))
+    texts = ["nd the anti. " * 200, "La reti onande erander ouch " * 150, "so it is " * 100 + "call (555) 123-4567" + " and the onder" * 50]
+    found = tagger.tag(texts)
+    assert [s for s in found[2] if s[0] == "phone"] == [("phone", 905, 919)]
+    assert sum(scored) >= sum(map(len, texts)) > 5 * sum(decoded)
+
+
 def test_single_precision_scores():
     model = char_tagger.Tagger(hidden=5, seed=3)
     x = np.random.default_rng(1).integers(0, 130, (40, 7))
