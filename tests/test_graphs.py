@@ -5,9 +5,11 @@ import itertools
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tessera.engine import Engine
+from tessera.operators import graph as operators
 from tessera.operators.graph import GENEROUS, Budget, Graph
 from tessera.session import Refused
 
@@ -164,6 +166,37 @@ def test_communities_by_component(spark):
         g.communities(most=5)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_communities_of_a_component_in_files(monkeypatch, small):
+    """Neighbours in files, several rows a vertex and several blocks a pass: the moves are those of dictionaries."""
+    r = random.Random(12)
+    n, k = (60, 400) if small else (300, 30_000)
+    if small:
+        monkeypatch.setattr(operators, "EACH", 3)
+        monkeypatch.setattr(operators, "BLOCK", 7)
+    edges = sorted((s, d, r.randint(1, 900) / 7) for s, d in ((r.randrange(n), r.randrange(n)) for _ in range(k)) if s != d)
+    near = defaultdict(lambda: defaultdict(float))
+    for s, d, w in edges:
+        near[s][d] += w
+        near[d][s] += w
+    ends = {v: sum(x.values()) for v, x in near.items()}
+    two_m, of, total = sum(ends.values()), {v: v for v in near}, dict(ends)
+    for _ in range(4):
+        for v in sorted(near):
+            total[of[v]] -= ends[v]
+            links = defaultdict(float)
+            for u, w in near[v].items():
+                links[of[u]] += w
+            of[v] = max(sorted({*links, of[v]}), key=lambda c: (links.get(c, 0.0) - total[c] * ends[v] / two_m, c == of[v]))
+            total[of[v]] += ends[v]
+    rows = sorted([(10 * v, s, d, w, 10 * u) for s, d, w in edges for v, u in ((s, d), (d, s))])
+    met = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((0, v, u, w) for v, _, _, w, u in rows), strict=True)], names=["c", "v", "u", "weight"])
+    gathered = list(operators._neighbours(iter([met.slice(0, 11), met.slice(11)])))
+    found = dict(x for b in operators._moved(iter(gathered), two_m, 4) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    least = {c: min(v for v in of if of[v] == c) for c in set(of.values())}
+    assert found == {10 * v: 10 * least[c] for v, c in of.items()}
+
+
 def test_influence_between_and_epochs(spark):
     g = graph(spark, [("a", "b", 0.5, 0, 1), ("b", "c", 0.5, 0, 1), ("a", "c", 0.5, 0, 1)])
     assert g.influence_between("a", "c") == 0.75 and g.influence_between("c", "a") == 0.0
