@@ -8,6 +8,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
+from tessera import session
 from tessera.engine import Engine
 from tessera.operators import graph as operators
 from tessera.operators.graph import GENEROUS, Budget, Graph
@@ -197,6 +198,31 @@ def test_communities_of_a_component_in_files(monkeypatch, small):
     assert found == {10 * v: 10 * least[c] for v, c in of.items()}
 
 
+@pytest.mark.parametrize("search", [lambda g: g.shortest_path("v0", "v1"), lambda g: g.time_respecting(["v0"])], ids=["path", "arrivals"])
+def test_rounds_do_not_shuffle_edges(spark, monkeypatch, search):
+    """A round that joins edges with what stands at their ends sends the outcome, and neither the edges nor the labels: of the plans
+    that are cut, those with a join have one exchange, but for the few that deal edges."""
+    joins = []
+
+    def cut(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Join" in plan:
+            joins.append(plan.count("Exchange hashpartitioning"))
+        return session.shared_cut(df)
+
+    monkeypatch.setattr(operators, "shared_cut", cut)
+    settings = [spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    g = graph(spark, [(f"v{i}", f"v{i + 1}", 1.0, i, None) for i in range(5)] + [("v5", "v0", 1.0, 5, None)] + some(13, 6, 40_000), budget=GENEROUS)
+    try:
+        assert search(g).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(n > 1 for n in joins) <= 2 and len(joins) > 3, str(joins)
+    assert settings == [spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")]
+
+
 def test_influence_between_and_epochs(spark):
     g = graph(spark, [("a", "b", 0.5, 0, 1), ("b", "c", 0.5, 0, 1), ("a", "c", 0.5, 0, 1)])
     assert g.influence_between("a", "c") == 0.75 and g.influence_between("c", "a") == 0.0
