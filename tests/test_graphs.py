@@ -198,7 +198,7 @@ def test_communities_of_a_component_in_files(monkeypatch, small):
     assert found == {10 * v: 10 * least[c] for v, c in of.items()}
 
 
-@pytest.mark.parametrize("search", [lambda g: g.shortest_path("v0", "v1"), lambda g: g.time_respecting(["v0"])], ids=["path", "arrivals"])
+@pytest.mark.parametrize("search", [lambda g: g.shortest_path("v0", "v1"), lambda g: g.strong_components(), lambda g: g.time_respecting(["v0"])], ids=["path", "strong", "arrivals"])
 def test_rounds_do_not_shuffle_edges(spark, monkeypatch, search):
     """A round that joins edges with what stands at their ends sends the outcome, and neither the edges nor the labels: of the plans
     that are cut, those with a join have one exchange, but for the few that deal edges."""
